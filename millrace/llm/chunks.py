@@ -114,7 +114,7 @@ def cut(text: bytes, own: int, found: list[dict], min_words: int = MIN_WORDS) ->
     names = digests(text, starts)
     for x in found:  # rows of one doc_id may hold other texts: the digest tells which chunks are meant
         i = x["ord"]
-        if i < n and int.from_bytes(names[i][:8], "little", signed=True) == x["d1"]:
+        if i < n and i not in first and int.from_bytes(names[i][:8], "little", signed=True) == x["d1"]:
             first[i] = x["first"]
             repeated[i] = first[i] < own or names[i] in seen
             seen.add(names[i])

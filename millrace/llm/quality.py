@@ -59,6 +59,8 @@ def compile_rules(rules=RULES) -> Column:
 
     def sql(r: Rule) -> str:
         metric = re.sub(r"[a-z_]+", lambda m: P + m[0], r.metric)
+        if "/" in metric:
+            metric = f"try_divide({metric.replace(' / ', ', ')})"
         tests = [f"({metric}) < {r.low}"] * (r.low is not None) + [f"({metric}) > {r.high}"] * (r.high is not None)
         return f"CASE WHEN {' OR '.join(tests)} THEN '{r.name}' END"
 
@@ -129,7 +131,9 @@ def report(df: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def keep_good(df: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns only."""
-    return annotate(df).where(F.col(P + "kept")).select(*df.columns)
+    # The explode of one verdict keeps the filter above it; pushed down, it would repeat the measuring inside itself.
+    verdict = F.explode(F.array(F.col(P + "kept"))).alias(P + "verdict")
+    return annotate(df).select(*df.columns, verdict).where(F.col(P + "verdict")).select(*df.columns)
 
 
 def oracle(table: str = "documents") -> str:
@@ -137,7 +141,7 @@ def oracle(table: str = "documents") -> str:
     from millrace.llm import quality as q
 
     stop = "\n".join(
-        f"WHEN lang = '{k}' THEN len(list_filter(w, x -> lower(x) IN ({', '.join(repr(s) for s in sorted(v))})))"
+        f"WHEN lang = '{k}' THEN len(list_filter(w, lambda x: lower(x) IN ({', '.join(repr(s) for s in sorted(v))})))"
         for k, v in STOP_WORDS.items()
     )
     every = ", ".join(repr(s) for s in sorted({w for v in STOP_WORDS.values() for w in v}))
@@ -150,14 +154,14 @@ def oracle(table: str = "documents") -> str:
     )
     return f"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
-lines AS (SELECT *, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ln FROM t),
+lines AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ln FROM t),
 tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
 m AS (SELECT l.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
   length(regexp_replace(text, '[^\\p{{L}}\\p{{M}}]+', '', 'g')) AS n_letters, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
   len(ln) AS n_lines, len(ln) - len(list_distinct(ln)) AS n_dup_lines, length(regexp_replace(text, '[^!?]+', '', 'g')) / 2.0 AS n_bang_words,
-  CASE {stop} ELSE len(list_filter(w, x -> lower(x) IN ({every}))) END AS n_stop_words, coalesce(r.n, 0) AS n_repeat_words
+  CASE {stop} ELSE len(list_filter(w, lambda x: lower(x) IN ({every}))) END AS n_stop_words, coalesce(r.n, 0) AS n_repeat_words
   FROM lines l LEFT JOIN rep r ON l.doc_id = r.doc_id),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, ({bad}) AS bad FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM v

@@ -112,6 +112,14 @@ class _Inflated:
                 return None
         return self.take(found + len(mark))
 
+    def skip_breaks(self) -> None:
+        """Pass over the line breaks behind a record."""
+        while self.held or self.fill():
+            left = self.held.lstrip(b"\r\n")
+            del self.held[: len(self.held) - len(left)]
+            if self.held:
+                return
+
     def take(self, n: int) -> bytes:
         out = bytes(self.held[:n])
         del self.held[:n]
@@ -133,12 +141,13 @@ def normalise(source, out, level: int = 6):
     """
     stream, offset = _Inflated(source), 0
     while (head := stream.until(b"\r\n\r\n")) is not None:
-        fields = parse_head(head.lstrip(b"\r\n"))
+        fields = parse_head(head)
         z = zlib.compressobj(level, zlib.DEFLATED, 31)
-        length = out.write(z.compress(head.lstrip(b"\r\n")))
+        length = out.write(z.compress(head))
         for part in stream.body(int(fields["content-length"])):
             length += out.write(z.compress(part))
         length += out.write(z.compress(b"\r\n\r\n") + z.flush())
+        stream.skip_breaks()
         yield {"offset": offset, "length": length, "type": fields["warc-type"], "record": fields["warc-record-id"], "digest": fields.get("warc-payload-digest")}
         offset += length
 

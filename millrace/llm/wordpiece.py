@@ -39,7 +39,7 @@ def read_pieces(source: str) -> list[bytes]:
 class PieceCounter:
     """Greedy longest-match piece counts. ``pieces`` with a leading space begin words; the others go on with them.
 
-    Every single byte must be a continuation and the bare space a beginning, so that any word can be cut.
+    Every single byte but the space must be a continuation and the bare space a beginning, so that any word can be cut.
     """
 
     ROOT, SUFFIX = 0, 1
@@ -79,7 +79,7 @@ class PieceCounter:
                 z = self.fail[z]
             if z >= 0:
                 self.fail[node], self.popped[node] = self.edges[z << 8 | b], self.popped[up] + extra
-        if any((self.SUFFIX << 8 | b) not in self.edges or not ends[self.edges[self.SUFFIX << 8 | b]] for b in range(256)) or not ends[self.edges.get(self.ROOT << 8 | 32, 0)]:
+        if any((self.SUFFIX << 8 | b) not in self.edges or not ends[self.edges[self.SUFFIX << 8 | b]] for b in range(256) if b != 32) or not ends[self.edges.get(self.ROOT << 8 | 32, 0)]:
             raise ValueError("the vocabulary must hold every byte and the bare space")
         self.cache: dict[bytes, int] = {}
 
