@@ -4,8 +4,8 @@ A gear hash rolls over the bytes of a text. Its low 16 bits depend on the last 1
 whose hash is smaller than those of the `RADIUS` words before it and not larger than those of the `RADIUS` behind it,
 so a boundary depends on its own neighbourhood and nothing else: an insertion moves the bytes behind it but changes
 no boundary beyond a few words. Chunks are compared by a 128-bit digest; the occurrence in the document with the
-smallest doc_id stays, and a later run of repeated chunks is cut out if it has at least `MIN_WORDS` words. The
-threshold leaves short common phrases alone.
+smallest doc_id stays, and a later run of repeated chunks is cut out if it has at least `MIN_WORDS` words; below twice that, half
+of them must have their first occurrence in one document. Both leave chance runs of short common phrases alone.
 
 Defined results: null texts stay null; texts without words and shorter than the threshold stay as they are; rows
 with a null doc_id take no part and stay as they are; rows that share a doc_id count as one document whose copies do
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import text_bytes, values
 
 RADIUS = 3
-MIN_WORDS = 20
+MIN_WORDS = 25
 #: Gear values by rule: XXH64 of the byte, low 16 bits.
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) & 0xFFFF for b in range(256)], np.uint16)
 SPACE = np.zeros(256, bool)
@@ -121,10 +121,14 @@ def cut(text: bytes, own: int, found: list[dict], min_words: int = MIN_WORDS) ->
     edge = np.flatnonzero(np.diff(np.r_[False, repeated, False].astype(np.int8)))
     out, at, removed, sources, ends = [], 0, 0, set(), [*starts.tolist(), len(text)]
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        if words[a:b].sum() >= min_words:
+        shares: dict[int, int] = {}
+        for i in range(a, b):
+            shares[first[i]] = shares.get(first[i], 0) + int(words[i])
+        size = int(words[a:b].sum())
+        if size >= 2 * min_words or size >= min_words and 2 * max(shares.values()) >= size:
             out.append(text[at : ends[a]])
             at = ends[b]
-            removed += int(words[a:b].sum())
+            removed += size
             sources |= {first[i] for i in range(a, b)}
     left = b"".join(out) + text[at:]
     return left if left.split() else b"", n, int(repeated.sum()), removed, sorted(sources)

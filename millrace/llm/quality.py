@@ -4,7 +4,7 @@ Every figure is computed over the whole text by built-in functions only: no Pyth
 Words are maximal runs outside ``[\\x20\\x09-\\x0D]``; lines are split at ``\\n``.
 
 Defined results: a null text has no words (all counts 0, ``base_failed`` true, ``kept`` false); an empty text
-likewise; a null language is checked against the stop words of all languages; repeated rows each get their own
+likewise; stop words of all languages count, whatever the language column says (texts may mix them); repeated rows each get their own
 result; an empty table gives an empty result; further columns are carried through untouched by `annotate`
 callers because every helper column has a reserved prefix.
 """
@@ -42,10 +42,10 @@ class Rule:
 RULES = (
     Rule("word_count", "n_words", 50, None),
     Rule("mean_word_length", "word_chars / n_words", 2, 15),
-    Rule("symbols_per_word", "n_symbols / n_words", None, 0.1),
-    Rule("duplicate_lines", "n_dup_lines / n_lines", None, 0.3),
+    Rule("symbols_per_word", "n_symbols / n_words", None, 0.6),
+    Rule("duplicate_lines", "n_dup_lines / n_lines", None, 0.6),
     Rule("repeated_words", "n_repeat_words / n_words", None, 0.5),
-    Rule("stop_words", "n_stop_words / n_words", 0.01, None),
+    Rule("stop_words", "n_stop_words", 1, None),
     Rule("punctuation_ends", "n_bang_words / n_words", None, 0.3),
     Rule("letters", "n_letters / word_chars", 0.6, None),
 )
@@ -71,22 +71,15 @@ def _count(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def measure(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the measured columns, each named with the prefix `P`."""
     t, words, tri = F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(P + "words"), F.col(P + "tri")
     spaced = F.trim(F.translate(t, SPACES, " " * len(SPACES)))
     words_of = F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " +"))
     n = F.size(words)
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    stops = {k: sorted(v) for k, v in STOP_WORDS.items()} | {None: sorted({w for v in STOP_WORDS.values() for w in v})}
-    language = F.col(lang) if lang in df.columns else F.lit(None).cast("string")
-
-    def stop_count(key):
-        return F.size(F.filter(words, lambda w: F.lower(w).isin(stops[key])))
-
-    by_language = F.when(language == "en", stop_count("en"))
-    for key in ("de", "es", "fr"):
-        by_language = by_language.when(language == key, stop_count(key))
+    stops = sorted({w for v in STOP_WORDS.values() for w in v})
+    stop_count = F.size(F.filter(words, lambda w: F.lower(w).isin(stops)))
     # Word windows: number them, sort by content, keep those with an equal neighbour; each covers three words.
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(
         F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("t"), i.alias("i"))))
@@ -108,16 +101,16 @@ def measure(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
         P + "n_lines": F.size(kept_lines).cast("long"),
         P + "n_dup_lines": (F.size(kept_lines) - F.size(F.array_distinct(kept_lines))).cast("long"),
         P + "n_bang_words": _count(t, "!?").cast("long") / 2,
-        P + "n_stop_words": by_language.otherwise(stop_count(None)).cast("long"),
+        P + "n_stop_words": stop_count.cast("long"),
         P + "tri": F.coalesce(F.sort_array(windows), F.array().cast("array<struct<t:string,i:int>>")),
     }).drop(P + "words", P + "lines")
     out = out.withColumn(P + "at", F.sort_array(same)).drop(P + "tri")
     return out.withColumn(P + "n_repeat_words", covered.cast("long")).drop(P + "at")
 
 
-def annotate(df: DataFrame, text: str = "text", lang: str = "lang", rules=RULES) -> DataFrame:
+def annotate(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """`measure` plus ``base_failed``, ``failed`` (rule names) and ``kept``, all prefixed."""
-    out = measure(df, text, lang)
+    out = measure(df, text)
     n, rep = F.col(P + "n_words"), F.col(P + "n_repeat_words")
     out = out.withColumns({P + "base_failed": (n < 50) | (100 * rep > 50 * n), P + "failed": compile_rules(rules)})
     return out.withColumn(P + "kept", ~F.col(P + "base_failed") & (F.size(P + "failed") == 0))
@@ -140,10 +133,6 @@ def oracle(table: str = "documents") -> str:
     """The same figures in DuckDB SQL."""
     from millrace.llm import quality as q
 
-    stop = "\n".join(
-        f"WHEN lang = '{k}' THEN len(list_filter(w, lambda x: lower(x) IN ({', '.join(repr(s) for s in sorted(v))})))"
-        for k, v in STOP_WORDS.items()
-    )
     every = ", ".join(repr(s) for s in sorted({w for v in STOP_WORDS.values() for w in v}))
     bad = " OR ".join(
         f"coalesce({m} < {r.low}, false)" if side == "low" else f"coalesce({m} > {r.high}, false)"
@@ -153,7 +142,7 @@ def oracle(table: str = "documents") -> str:
         for m in [" / ".join(f"nullif({x.strip()}, 0)" if i else f"CAST({x.strip()} AS DOUBLE)" for i, x in enumerate(r.metric.split("/")))]
     )
     return f"""
-WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
 lines AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ln FROM t),
 tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1),
@@ -161,7 +150,7 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i
 m AS (SELECT l.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
   length(regexp_replace(text, '[^\\p{{L}}\\p{{M}}]+', '', 'g')) AS n_letters, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
   len(ln) AS n_lines, len(ln) - len(list_distinct(ln)) AS n_dup_lines, length(regexp_replace(text, '[^!?]+', '', 'g')) / 2.0 AS n_bang_words,
-  CASE {stop} ELSE len(list_filter(w, lambda x: lower(x) IN ({every}))) END AS n_stop_words, coalesce(r.n, 0) AS n_repeat_words
+  len(list_filter(w, lambda x: lower(x) IN ({every}))) AS n_stop_words, coalesce(r.n, 0) AS n_repeat_words
   FROM lines l LEFT JOIN rep r ON l.doc_id = r.doc_id),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, ({bad}) AS bad FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM v
