@@ -208,7 +208,7 @@ def bbeh_reference(t: Column) -> Column:
 
 def split_gold(t: Column) -> Column:
     """S-22."""
-    return F.filter(F.transform(F.split(t, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(t, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def concept_key(kind: Column, name: Column) -> Column:
@@ -301,7 +301,7 @@ def content_id(text: Column, index: Column) -> Column:
 
 def active_concepts(t: Column) -> Column:
     """S-29."""
-    return F.filter(F.transform(F.split(t, r"[;|,\n\t]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(t, r"[;|,\n\t]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_quota_error(t: Column) -> Column:

@@ -16,7 +16,7 @@ def r6(c, name):
     return F.round(c, 6).alias(name)
 
 
-ARRIVAL = [F.col("ts"), F.col("event_id")]
+ARRIVAL = ["ts", "event_id"]
 
 # ---- votes and grading (events: user = question, event type = answer)
 
