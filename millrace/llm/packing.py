@@ -1,6 +1,6 @@
 """Packed token-id sequences: best-fit-decreasing with a segment tree over free capacities.
 
-Documents are encoded, each ends with one end-of-text id, and documents longer than a sequence are split without loss.
+Documents are encoded by the tiktoken library, each ends with one end-of-text id, and documents longer than a sequence are split without loss.
 Within a window of tokens the pieces are placed from the longest down into the sequence with the least free room that
 still holds them; a segment tree over room finds that sequence in logarithmic time. Every packed row holds its ids,
 the cumulative lengths of its segments and position ids that restart at every segment.
@@ -23,8 +23,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import broadcast_vocabulary, codec
 from millrace.llm.common import text_bytes, values
+from millrace.llm.wordpiece import default_vocabulary
 
 LENGTH = 2048
 END_ID = 50256
@@ -32,6 +32,26 @@ PAD_ID = 50256
 WINDOW_TOKENS = 2_000_000
 
 
+#: How the vocabulary cuts a text, and its special token.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPECIAL = {"<|endoftext|>": END_ID}
+_ENCODERS: dict[int, object] = {}
+
+
+def encoder(source: str):
+    """The tiktoken encoding of a rank file's text, made once per worker."""
+    import base64
+
+    import tiktoken
+
+    key = hash(source)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in source.splitlines() if line.strip())}
+        _ENCODERS[key] = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    return _ENCODERS[key]
+
+
 class RoomTree:
     """Multiset of sequences by free room, with the smallest room of at least ``need`` found in O(log length)."""
 
@@ -107,16 +127,17 @@ def pack_window(name: str, docs: list[tuple[int | None, np.ndarray]], length: in
 
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, vocabulary: str | None = None, window_tokens: int = WINDOW_TOKENS) -> DataFrame:
     """One row per packed sequence. ``input_ids`` are ``length`` little-endian 32-bit ids, padded behind ``n_tokens``."""
-    source = broadcast_vocabulary(df.sparkSession, vocabulary)
+    with open(vocabulary or default_vocabulary(), encoding="ascii") as f:
+        source = df.sparkSession.sparkContext.broadcast(f.read())  # below 1 MB, whatever the data
 
     def run(batches):
         from pyspark import TaskContext
 
-        c, part, n, held, size = codec(source.value), TaskContext.get().partitionId(), 0, [], 0
+        c, part, n, held, size = encoder(source.value), TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             keys = values(batch, "id")
             for i, t in text_bytes(batch):
-                ids = np.fromiter(c.encode((t or b"").decode("utf-8", "replace")), np.int32)
+                ids = np.array(c.encode((t or b"").decode("utf-8", "replace"), allowed_special="all"), np.int32)
                 held.append((keys[i], np.append(ids, np.int32(END_ID))))
                 size += len(ids) + 1
                 if size >= window_tokens:
