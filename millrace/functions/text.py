@@ -131,8 +131,8 @@ def named_score(t: Column, name: str) -> Column:
 def first_json(t: Column, schema: str) -> Column:
     """S-12: the outermost braces parsed, with stray backslashes doubled if that is what keeps them from parsing."""
     raw = first_of(t, r"(?s)(\{.*\})")
-    mended = F.regexp_replace(raw, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
-    return F.coalesce(F.from_json(raw, schema), F.from_json(mended, schema))
+    mended = F.regexp_replace(raw, r'\\(?!["\\/bfnrtu])', r"\\\\")
+    return F.when(F.get_json_object(raw, "$").isNotNull(), F.from_json(raw, schema)).otherwise(F.from_json(mended, schema))
 
 
 def render(template: Column, values: dict[str, Column]) -> Column:
