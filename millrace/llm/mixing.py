@@ -26,6 +26,8 @@ ROUNDS = 5
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 #: Expected share of the token mass in the sample, before probabilities are cut at 1.
 FRACTION = 0.6
+#: Size up to which the fitted table of cells is broadcast.
+BROADCAST_BYTES = 16 << 20
 P = "__mr_x_"
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -71,7 +73,7 @@ def fit(weighed: DataFrame, rounds: int = ROUNDS, powers: dict[str, float] | Non
         else:
             sums = cells.groupBy(P + d).agg(F.sum(P + "mass").alias("m"))
             raised = sums.select(P + d, F.pow("m", F.lit(powers[d])).alias("g"))
-            share = raised.crossJoin(raised.agg(F.sum("g").alias("all"))).select(P + d, (F.col("g") / F.col("all")).alias(P + "goal_" + d))
+            share = raised.select(P + d, (F.col("g") / raised.agg(F.sum("g")).scalar()).alias(P + "goal_" + d))
         cells = cells.join(share, P + d)
     cells = materialize(cells)
     for _ in range(rounds):
@@ -95,10 +97,12 @@ def calibrate(df: DataFrame, key: str = "doc_id", fraction: float = FRACTION, **
     weighed = weigh(df)
     narrow = materialize(weighed.select(*[P + d for d in DIMENSIONS], P + "tokens").groupBy(*[P + d for d in DIMENSIONS]).agg(F.sum(P + "tokens").alias(P + "tokens")))
     cells = fit(narrow, **fitting)
-    total = narrow.agg(F.sum(P + "tokens").cast("double").alias(P + "all"))
-    rates = cells.crossJoin(total).select(
-        *[P + d for d in DIMENSIONS], P + "factor", F.least(F.lit(1.0), F.lit(float(fraction)) * F.col(P + "all") * F.col(P + "factor")).alias(P + "probability")
-    )
+    total = narrow.agg(F.sum(P + "tokens").cast("double")).scalar()
+    rates = cells.select(*[P + d for d in DIMENSIONS], P + "factor", F.least(F.lit(1.0), F.lit(float(fraction)) * total * F.col(P + "factor")).alias(P + "probability"))
+    # The texts need not be shuffled where the table of cells is small, and it is measured; beyond the bound the optimizer joins by key.
+    held = rates.agg(F.coalesce(F.sum(sum((F.octet_length(P + d) for d in DIMENSIONS), F.lit(64))), F.lit(0))).first()[0]
+    if held <= BROADCAST_BYTES:
+        rates = F.broadcast(rates)
     return weighed.join(rates, [P + d for d in DIMENSIONS]).withColumn(P + "sampled", uniform(F.col(key)) < F.col(P + "probability"))
 
 
