@@ -292,6 +292,13 @@ def test_mixing_marginals(spark, odd, none):
     assert mixing.sample(odd).columns == odd.columns
 
 
+def test_mixing_beyond_the_broadcast_bound(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    small = sorted(mixing.report(df).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", -1)
+    assert sorted(mixing.report(df).collect()) == small
+
+
 # ---- Packing
 
 
