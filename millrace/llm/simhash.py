@@ -5,7 +5,9 @@ most `MAX_BITS` bits. Cut into ``B`` blocks, a linked pair agrees in at least ``
 every choice of that many blocks brings each linked pair together under some key. Rows that share a key are sorted
 together and compared there; of the links found only a spanning forest leaves the task, never all pairs of a group.
 
-Equal fingerprints are one node, so groups of copies shrink before any comparison.
+Equal fingerprints are one node, so groups of copies shrink before any comparison. A key with more than `CROWDED`
+fingerprints is not gathered: its task lets them pass and reports the key, whose rows are then spread over longer keys
+that are complete for it.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; a null doc_id gets its
 fingerprint and a null component_id and links nothing; rows that share a doc_id are nodes of one document; ties
@@ -36,6 +38,8 @@ SEED = 42
 PER_KEY = 64
 #: Groups up to this size are compared by shifted rows; larger ones by a search that visits each member once.
 SHIFTED = 48
+#: Fingerprints that a task gathers under one key; beyond it the key is refined.
+CROWDED = 1 << 17
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -112,8 +116,34 @@ def group_forest(fp: np.ndarray, rep: np.ndarray, bits: int = MAX_BITS) -> list[
     return edges
 
 
-def links(keyed: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """``(src, dst)``: for each key a spanning forest of the verified links among its fingerprints."""
+def masks(spans: list[tuple[int, int]], bits: int = MAX_BITS) -> list[int]:
+    """The longer keys that refine a key: its own blocks with every choice of half of ``2 * bits`` blocks of the other bits.
+
+    A linked pair under the key differs in ``bits`` of the other bits at most and so agrees in one of these choices.
+    """
+    own = sum(((1 << width) - 1) << offset for offset, width in spans)
+    rest = np.array_split([i for i in range(64) if not own >> i & 1], 2 * bits)
+    return [own | sum(1 << int(i) for block in choice for i in block) for choice in combinations(rest, bits)]
+
+
+def refine(crowded: DataFrame, choices, bits: int = MAX_BITS) -> DataFrame:
+    """Rows of crowded keys under the longer keys of `masks`; the number of the mask is part of the key."""
+    longer = [np.array(masks(spans, bits), np.uint64).view(np.int64) for spans in choices]
+
+    def run(batches):
+        for batch in batches:
+            for c, rows in batch.groupby("c"):
+                for i, mask in enumerate(longer[c]):
+                    yield rows.assign(c=np.int32(c * len(longer[c]) + i), v=rows["fp"] & mask)
+
+    return crowded.select("c", "v", "fp", "rep").mapInPandas(run, "c int, v long, fp long, rep long")
+
+
+def links(keyed: DataFrame, bits: int = MAX_BITS, most: int | None = None) -> DataFrame:
+    """``(src, dst, c, v)``: for each key a spanning forest of the verified links among its fingerprints.
+
+    A key with more than ``most`` fingerprints gives one row with that key and null ends instead.
+    """
 
     def of(rows: pd.DataFrame):
         fp, rep = rows["fp"].to_numpy().view(np.uint64), rows["rep"].to_numpy()
@@ -132,29 +162,44 @@ def links(keyed: DataFrame, bits: int = MAX_BITS) -> DataFrame:
             part = slice(starts[k], starts[k] + sizes[k])
             out += group_forest(fp[part], rep[part], bits)
         found = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"src": found.min(axis=1), "dst": found.max(axis=1)}).drop_duplicates()
+        return table(pa.array(found.min(axis=1)), pa.array(found.max(axis=1)))
+
+    def table(src, dst, c=None, v=None):
+        none = [None] * len(src)
+        return pa.RecordBatch.from_arrays([src, dst, pa.array(none if c is None else [c], pa.int32()), pa.array(none if v is None else [v], pa.int64())], ["src", "dst", "c", "v"])
 
     def run(batches):
-        held = None  # rows of the last key so far, which the next batch may go on with
-        for rows in batches:
+        held, full = None, None  # rows of the last key so far, which the next batch may go on with; a crowded key whose rows pass by
+        for rows in (b.to_pandas() for b in batches):
+            if full is not None:
+                rows = rows[(rows["c"] != full[0]) | (rows["v"] != full[1])]
             if held is not None:
                 rows = pd.concat([held, rows], ignore_index=True)
-            last = (rows["c"] == rows["c"].iloc[-1]) & (rows["v"] == rows["v"].iloc[-1]) if len(rows) else None
-            if last is None:
+            if not len(rows):
                 continue
+            key = int(rows["c"].iloc[-1]), int(rows["v"].iloc[-1])
+            last = (rows["c"] == key[0]) & (rows["v"] == key[1])
             held, whole = rows[last], rows[~last]
             if len(whole):
                 yield of(whole.reset_index(drop=True))
+            if most is not None and len(held) > most:
+                held, full = None, key
+                yield table(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *key)
         if held is not None and len(held):
             yield of(held.reset_index(drop=True))
 
-    return keyed.repartition("c", "v").sortWithinPartitions("c", "v", "fp").mapInPandas(run, "src long, dst long")
+    return keyed.repartition("c", "v").sortWithinPartitions("c", "v", "fp").mapInArrow(run, "src long, dst long, c int, v long")
 
 
 def components(fps: DataFrame) -> DataFrame:
     """``(id, fp, component_id)`` for a table of ``(id, fp)``; ``fps`` is read more than once."""
     nodes = materialize(fps.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")))
-    edges = links(block_keys(nodes, plan_blocks(nodes.count()))).distinct()
+    choices = plan_blocks(nodes.count())
+    keyed = block_keys(nodes, choices)
+    found = materialize(links(keyed, most=CROWDED).distinct())
+    edges, crowded = found.where("c IS NULL").select("src", "dst"), found.where("c IS NOT NULL").select("c", "v")
+    if not crowded.isEmpty():
+        edges = edges.unionByName(links(refine(keyed.join(crowded, ["c", "v"], "left_semi"), choices)).select("src", "dst"))
     # Rows that share an id are one document: link the nodes that it lies on.
     twice = (
         fps.where("id IS NOT NULL").distinct().groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")

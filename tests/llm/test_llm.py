@@ -96,7 +96,21 @@ def test_blocks_are_complete(n):
     assert len({tuple(s) for s in choices}) == len(choices)
 
 
-def test_simhash_dense_groups(spark):
+def test_refined_keys_are_complete():
+    rng = random.Random(5)
+    for n in (10, 10**10):
+        for spans in simhash.plan_blocks(n)[:9]:
+            own = sum(((1 << w) - 1) << o for o, w in spans)
+            longer = simhash.masks(spans)
+            assert all(m & own == own and m != own for m in longer)
+            for _ in range(100):
+                flips = sum(1 << i for i in rng.sample([i for i in range(64) if not own >> i & 1], 4))
+                assert any(not m & flips for m in longer)
+
+
+@pytest.mark.parametrize("most", [simhash.CROWDED, 60])
+def test_simhash_dense_groups(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "CROWDED", most)
     rng = np.random.default_rng(3)
     fps = set()
     for _ in range(6):
