@@ -95,3 +95,28 @@ def warmup_cosine(step: Column, warmup: int, total: int, floor: float = 0.0, cyc
 
 #: O-128: estimators by name.
 ESTIMATORS = {"grpo": z_score, "rloo": leave_one_out}
+
+
+def minus_baseline(value: Column, baseline: Column) -> Column:
+    return value - baseline
+
+
+def whiten(df: DataFrame, group: str, value: str, mask: Column, eps: float = 1e-8) -> DataFrame:
+    """``df`` with ``whitened``: values in units of the deviation over the masked rows of the group, 0 outside the mask."""
+    kept = F.when(mask, F.col(value))
+    stats = df.groupBy(group).agg(F.avg(kept).alias("__mr_mean"), F.var_samp(kept).alias("__mr_var"))
+    out = F.when(mask, (F.col(value) - F.col("__mr_mean")) / F.sqrt(F.col("__mr_var") + eps)).otherwise(0.0)
+    return df.join(stats, group).withColumn("whitened", out).drop("__mr_mean", "__mr_var")
+
+
+def by_name(df: DataFrame, kind: str, group: str, value: str, **more) -> DataFrame:
+    """``df`` with ``advantage`` by one of the named estimators."""
+    if kind == "grpo":
+        return z_score(df, group, value)
+    if kind == "rloo":
+        return leave_one_out(df, group, value)
+    if kind == "remax":
+        return df.withColumn("advantage", minus_baseline(F.col(value), F.col(more["baseline"])))
+    if kind == "gae":
+        return gae(df, group, more["order"], value, more["value"], more.get("gamma", 0.99), more.get("lam", 0.95))
+    raise ValueError(f"no estimator is named {kind}")

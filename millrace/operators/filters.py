@@ -94,3 +94,22 @@ def within_words(text: Column, most: int) -> Column:
 def row_slice(df: DataFrame, order: list, start: int, end: int) -> DataFrame:
     """O-35: rows ``start <= n < end`` in an explicit order."""
     return df.orderBy(*order).offset(start).limit(end - start)
+
+
+def flatten_record(record: dict[str, list[Column]]) -> list[Column]:
+    """One column per field: the first of its places (verified shape first, raw shape behind) that is not null."""
+    return [F.coalesce(*places).alias(name) for name, places in record.items()]
+
+
+def sft_rows(df: DataFrame, question: str, cot: Column, answer: Column, passes: Column) -> DataFrame:
+    """``(question, completion)`` of the rows that pass the gate."""
+    return df.where(passes).select(question, completion(cot, answer).alias("completion"))
+
+
+def sft_counts(df: DataFrame, cot: Column, verdict: Column, passes: Column) -> DataFrame:
+    """Rows in all, included and filtered, with a reasoning text and with a verdict."""
+    ok = F.coalesce(passes, F.lit(False))
+    return df.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("included"), F.count_if(~ok).alias("filtered"),
+        F.count_if(F.trim(cot) != "").alias("has_cot"), F.count_if(verdict.isNotNull()).alias("has_verification"),
+    )

@@ -55,3 +55,29 @@ def prune(edges: DataFrame, valid: DataFrame, item: str = "item") -> DataFrame:
     """O-34: edges whose ends both are in a vocabulary."""
     v = valid.select(F.col(item).alias("__v"))
     return edges.join(v, F.col("src") == F.col("__v"), "left_semi").join(v, F.col("dst") == F.col("__v"), "left_semi")
+
+
+def three_hop(edges: DataFrame) -> DataFrame:
+    """``(src, dst, paths)``: the number of walks of three steps; walks are counted, not listed, after each step."""
+    step = edges.select(F.col("src").alias("__mr_mid"), F.col("dst").alias("__mr_end"))
+    near = two_hop(edges)
+    return near.join(step, near["dst"] == F.col("__mr_mid")).groupBy("src", F.col("__mr_end").alias("dst")).agg(F.sum("paths").alias("paths"))
+
+
+def apply_mapping(sets: DataFrame, key: str, items: str, mapping: DataFrame) -> DataFrame:
+    """``(key, items)`` with every item replaced by its ``to`` where ``mapping (from, to)`` has one; repeats are dropped."""
+    flat = sets.select(key, F.explode(items).alias("from"))
+    named = flat.join(mapping, "from", "left").select(key, F.coalesce("to", "from").alias("item")).distinct()
+    return named.groupBy(key).agg(F.array_sort(F.collect_list("item")).alias(items))
+
+
+def bundles(sets: DataFrame, key: str, items: str, edges: DataFrame, size: int = 3, seed: int = 0) -> DataFrame:
+    """``(key, items)``: up to ``size`` items of every set by keyed hash, the last of them swapped for a neighbour of it."""
+    order = F.array_sort(F.transform(items, lambda x: F.struct(F.xxhash64(F.lit(seed), F.col(key), x).alias("h"), x.alias("x"))))
+    picked = sets.select(key, F.slice(F.transform(order, lambda s: s["x"]), 1, size).alias("__mr_p")).where(F.size("__mr_p") > 0)
+    last = F.element_at("__mr_p", -1)
+    near = sample_neighbor(edges, seed)
+    here, there = near.columns[0], near.columns[1]
+    joined = picked.join(near.select(F.col(here).alias("__mr_at"), F.col(there).alias("__mr_to")), last == F.col("__mr_at"), "left")
+    swapped = F.concat(F.slice("__mr_p", F.lit(1), F.size("__mr_p") - 1), F.array(F.coalesce("__mr_to", last)))
+    return joined.select(key, F.array_distinct(swapped).alias(items))

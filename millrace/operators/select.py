@@ -131,3 +131,16 @@ def greedy_partitions(lengths: list[int], k: int) -> list[list[int]]:
 def micro_batches(lengths: list[int], budget: int) -> list[list[int]]:
     """O-125: ``ceil(total / budget)`` balanced batches."""
     return balanced_partitions(lengths, max(1, -(-sum(lengths) // budget)))
+
+
+def partition_batches(df: DataFrame, batch: str, row: str, length: str, k: int) -> DataFrame:
+    """``(batch, row, part)``: every batch of sequences dealt to ``k`` parts of nearly equal length; a batch is one step's rows."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(row, ignore_index=True)
+        part = np.empty(len(rows), np.int64)
+        for p, members in enumerate(balanced_partitions(rows[length].tolist(), k)):
+            part[members] = p
+        return pd.DataFrame({batch: rows[batch], row: rows[row], "part": part})
+
+    return df.select(batch, row, length).groupBy(batch).applyInPandas(run, f"{batch} long, {row} long, part long")

@@ -111,3 +111,24 @@ def compare_vectors(a: Column, b: Column) -> dict[str, Column]:
     """O-58."""
     gaps = F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))
     return {"cosine": cosine(a, b), "l2": F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x)), "max_gap": F.array_max(gaps)}
+
+
+def nonzero(df: DataFrame, vector: str) -> DataFrame:
+    """The rows whose vector holds a component other than zero."""
+    return df.where(F.exists(vector, lambda x: x != 0))
+
+
+#: Weights of the bonuses for rarity, uniqueness in the batch and uniqueness within the cluster.
+BONUS = (0.1, 0.05, 0.05)
+
+
+def diversity_bonus(mode: int, eligible: Column, rarity: Column, batch: Column, within: Column, scale: Column | None = None, weights=BONUS) -> Column:
+    """Bonus by mode: 1 none, 2 rarity, 3 also the batch's uniqueness, 4 also the cluster's, 5 rarity without a weight.
+
+    Rows that are not eligible get 0; ``scale`` multiplies the weighted modes. Rarity is that before the batch's update.
+    """
+    if mode == 1:
+        return F.lit(0.0)
+    parts = [w * c for w, c in zip(weights, (rarity, batch, within))][: mode - 1]
+    total = rarity if mode == 5 else sum(parts[1:], parts[0]) * (F.lit(1.0) if scale is None else scale)
+    return F.when(eligible, total).otherwise(0.0)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import grading, models, rewards, text
 from millrace.operators import advantage, batch, components, dedup, filters, graph, joins, penalty, select, stats, vectors, vote
-from millrace.plans import curation
+from millrace.plans import curation, report_queries  # noqa: F401  registers its own
 from millrace.plans.registry import query
 from millrace.session import table
 from millrace.streaming import state
@@ -549,9 +549,9 @@ def semi(s, d):
     return graph.prune(graph.cooccurrence(sets, "items", 100), graph.vocabulary(sets, "items").where("n >= 120"))
 
 
-@query("connected_components", "WITH RECURSIVE e AS (SELECT DISTINCT user_id AS u, 1000000 + CAST(floor(value * 1000) AS BIGINT) % 997 AS v FROM events WHERE event_id % 12 = 0), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(n, m) AS (SELECT u, u FROM b UNION SELECT b.v, r.m FROM r JOIN b ON r.n = b.u) SELECT n AS node, min(m) AS component FROM r GROUP BY n")
+@query("connected_components", "WITH RECURSIVE e AS (SELECT DISTINCT user_id AS u, 1000000 + CAST(floor(value * 1000) AS BIGINT) AS v FROM events), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(n, m) AS (SELECT u, u FROM e UNION SELECT b.v, r.m FROM r JOIN b ON r.n = b.u) SELECT n AS node, min(m) AS component FROM r GROUP BY n")
 def comps(s, d):
-    e = table(s, d, "events").where("event_id % 12 = 0").select(F.col("user_id").alias("src"), (F.lit(1000000) + F.floor(F.col("value") * 1000) % 997).cast("long").alias("dst"))
+    e = table(s, d, "events").select(F.col("user_id").alias("src"), (F.lit(1000000) + F.floor(F.col("value") * 1000)).cast("long").alias("dst"))
     return components.connected_components(e)
 
 
@@ -623,6 +623,5 @@ def ema(s, d):
 
 @query("kk_partition")
 def kk(s, d):
-    lengths = [r["n_chars"] for r in table(s, d, "documents").orderBy("doc_id").limit(256).collect()]  # one batch of sequences
-    parts = select.balanced_partitions(lengths, 8, equal_size=True)
-    return s.createDataFrame([(i, p) for i, part in enumerate(parts) for p in part], "part long, position long")
+    docs = table(s, d, "documents").select(F.floor(F.col("doc_id") / 256).cast("long").alias("batch"), "doc_id", "n_chars")
+    return select.partition_batches(docs, "batch", "doc_id", "n_chars", 8)
