@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 def _share(hit: Column) -> Column:
     """Part of all rows for which ``hit`` is true; a null is not a hit."""
-    return F.count_if(hit) / F.count(F.lit(1))
+    return F.try_divide(F.count_if(hit), F.count(F.lit(1)))
 
 
 def verification_report(df: DataFrame, bucket: str, checks: dict[str, Column]) -> DataFrame:
@@ -70,22 +70,23 @@ def best_next(df: DataFrame, keys: list[str], question: str, valid: Column, r2:
     """
     premium = F.coalesce((r_m >= least_r_m) & (r2 >= least_r2), F.lit(False))
     score = F.struct(premium.alias("p"), F.coalesce(novelty, F.lit(0.0)).alias("n"))
-    ranked = df.where(valid).select(*keys, F.col(question).alias("q"), score.alias("s"))
-    top = ranked.groupBy(*keys).agg(F.max("s").alias("best"))
-    return ranked.join(top, keys).where("s = best").groupBy(*keys).agg(F.min("q").alias(question), F.first("best.p").alias("premium"))
+    ranked = df.where(valid).select(*keys, F.col(question).alias("__mr_q"), score.alias("__mr_s"))
+    best = ranked.groupBy(*keys).agg(F.max("__mr_s").alias("__mr_best"))
+    top = ranked.join(best, keys).where("__mr_s = __mr_best")
+    return top.groupBy(*keys).agg(F.min("__mr_q").alias(question), F.first("__mr_best.p").alias("premium"))
 
 
 def experiment_metrics(iterations: DataFrame, seed: str, r_m: str = "avg_r_m", novelty: str = "avg_novelty") -> DataFrame:
     """One row over all iterations: counts, mean and population deviation of ``r_m``, of positive novelties and of depths."""
+    x, positive = F.col(r_m), F.when(F.col(novelty) > 0, F.col(novelty))
     per_seed = iterations.groupBy(seed).agg(
-        F.count(F.lit(1)).alias("depth"), F.sum(r_m).alias("r"), F.sum(F.col(r_m) * F.col(r_m)).alias("rr"),
-        F.count_if(F.col(novelty) > 0).alias("k"), F.sum(F.when(F.col(novelty) > 0, F.col(novelty))).alias("nv"),
+        F.count(F.lit(1)).alias("depth"), F.sum(x).alias("__mr_r"), F.sum(x * x).alias("__mr_rr"), F.count(positive).alias("__mr_k"), F.sum(positive).alias("__mr_n"),
     )
     n = F.sum("depth")
-    mean = F.sum("r") / n
+    mean = F.try_divide(F.sum("__mr_r"), n)
     return per_seed.agg(
         F.count(F.lit(1)).alias("total_seeds"), n.alias("total_iterations"), mean.alias("mean_r_m"),
-        F.sqrt(F.greatest(F.lit(0.0), F.sum("rr") / n - mean * mean)).alias("std_r_m"), F.coalesce(F.try_divide(F.sum("nv"), F.sum("k")), F.lit(0.0)).alias("mean_novelty"),
+        F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.sum("__mr_rr"), n) - mean * mean)).alias("std_r_m"), F.coalesce(F.try_divide(F.sum("__mr_n"), F.sum("__mr_k")), F.lit(0.0)).alias("mean_novelty"),
         F.avg("depth").alias("mean_depth"), F.stddev_pop("depth").alias("std_depth"), F.max("depth").alias("max_depth"),
     )
 
