@@ -6,12 +6,14 @@ import math
 from collections import Counter
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Texts of one batch compared pairwise; a batch is one reward call.
 MAX_BATCH = 5000
+#: Texts expected in a batch where the operator deals them.
+BATCH = 512
 
 
 def bleu(hypothesis: list[str], reference: list[str], n: int = 4, epsilon: float = 0.1) -> float:
@@ -48,21 +50,47 @@ def average_linkage(d: np.ndarray, threshold: float) -> np.ndarray:
     return label
 
 
-def share_penalty(df: DataFrame, batch: str, key: str, text: str, threshold: float = 0.5) -> DataFrame:
+def distances(words: list[list[str]], n: int = 4, epsilon: float = 0.1) -> np.ndarray:
+    """``1 - bleu`` of every pair, the earlier text as hypothesis; n-grams are counted once a text and matched by n-gram."""
+    size, lengths = len(words), np.array([len(w) for w in words], float)
+    logs, none = np.zeros((size, size)), np.zeros((size, size), bool)
+    for k in range(1, n + 1):
+        found: dict[tuple, list[tuple[int, int]]] = {}
+        for i, w in enumerate(words):
+            for g, c in Counter(zip(*[w[j:] for j in range(k)])).items():
+                found.setdefault(g, []).append((i, c))
+        hits = np.zeros((size, size))
+        for held in found.values():
+            if len(held) > 1:
+                at, c = np.array(held).T
+                hits[np.ix_(at, at)] += np.minimum.outer(c, c)
+        if k == 1:
+            none = hits == 0
+        logs += np.log(np.where(hits > 0, hits, epsilon) / np.maximum(1, lengths - k + 1)[:, None])
+    brevity = np.where(lengths[:, None] > lengths, 0.0, 1 - lengths / np.maximum(1, lengths)[:, None])
+    d = np.triu(np.where(none, 1.0, 1 - np.exp(brevity + logs / n)), 1)
+    return d + d.T
+
+
+def batches(df: DataFrame, keys: list[str], text: str, size: int = BATCH) -> DataFrame:
+    """``df`` with ``copy``, the number of a row among those of its keys, and ``batch``, a hash modulo the table's size over ``size``."""
+    count = max(1, -(-df.count() // size))
+    out = df.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy(text)))
+    return out.withColumn("batch", F.pmod(F.xxhash64(*keys, "copy"), F.lit(count)))
+
+
+def share_penalty(df: DataFrame, batch: str, key: str | list[str], text: str, threshold: float = 0.5) -> DataFrame:
     """R-6: ``(batch, key, cluster, penalty)``, the penalty being the cluster's share of its batch."""
+    keys = [key] if isinstance(key, str) else key
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_BATCH:
-            raise ValueError(f"a batch of {len(pdf)} texts; at most {MAX_BATCH}")
-        pdf = pdf.sort_values("k")
-        words, n = [str(t or "").split() for t in pdf["t"]], len(pdf)
-        d = np.zeros((n, n))
-        for i in range(n):
-            for j in range(i + 1, n):
-                d[i, j] = d[j, i] = 1 - bleu(words[i], words[j])
-        label = average_linkage(d, threshold)
-        share = pd.Series(label).map(Counter(label.tolist())) / n
-        return pd.DataFrame({batch: pdf["b"].to_numpy(), key: pdf["k"].to_numpy(), "cluster": label, "penalty": share.to_numpy()})
+    def run(rows: pa.Table) -> pa.Table:
+        if len(rows) > MAX_BATCH:
+            raise ValueError(f"a batch of {len(rows)} texts; at most {MAX_BATCH}")
+        rows = rows.sort_by([(k, "ascending") for k in keys])
+        label = average_linkage(distances([(t or "").split() for t in rows["__t"].to_pylist()]), threshold)
+        share = np.bincount(label)[label] / len(rows)
+        return rows.drop_columns("__t").append_column("cluster", pa.array(label)).append_column("penalty", pa.array(share))
 
     t = dict(df.dtypes)
-    return df.select(F.col(batch).alias("b"), F.col(key).alias("k"), F.col(text).alias("t")).groupBy("b").applyInPandas(run, f"{batch} {t[batch]}, {key} {t[key]}, cluster long, penalty double")
+    kinds = ", ".join(f"{k} {t[k]}" for k in [batch, *keys])
+    return df.select(batch, *keys, F.col(text).cast("string").alias("__t")).groupBy(batch).applyInArrow(run, f"{kinds}, cluster long, penalty double")

@@ -374,8 +374,8 @@ def kmeans(s, d):
 
 @query("bleu_share_penalty")
 def bleu(s, d):
-    docs = table(s, d, "conversations").where("turn = 0").select("conv_id", F.substring("text", 1, 200).alias("t"), F.pmod("conv_id", F.lit(8)).alias("batch"))
-    return penalty.share_penalty(docs.dropDuplicates(["conv_id"]), "batch", "conv_id", "t")
+    turns = penalty.batches(table(s, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"], "text")
+    return penalty.share_penalty(turns, "batch", ["conv_id", "turn", "copy"], "text")
 
 
 @query("mock_generation", "SELECT item_id, CAST(s AS INTEGER) AS sample FROM benchmark, range(3) r(s)")

@@ -163,6 +163,25 @@ def test_penalty_and_linkage():
     assert label[0] == label[1] != label[2]
 
 
+def test_share_penalty_of_every_whole_turn(spark):
+    from millrace.plans import queries as _filled  # noqa: F401
+    from millrace.plans.registry import QUERIES
+
+    rng = random.Random(2)
+    words = [[rng.choice("abcde") for _ in range(rng.randint(0, 12))] for _ in range(30)]
+    d = penalty.distances(words)
+    assert all(d[i, j] == pytest.approx(1 - penalty.bleu(words[i], words[j])) for i in range(30) for j in range(i + 1, 30))
+    sf = "/root/testdata/sf0.001"
+    want = sorted((r["conv_id"], r["turn"]) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect())
+    assert sorted((r["conv_id"], r["turn"]) for r in QUERIES["bleu_share_penalty"](spark, sf).collect()) == want
+    start = " ".join("same" for _ in range(60))
+    rows = [(i, 0, f"{start} " + " ".join(f"w{i}x{k}" for k in range(200))) for i in range(20)] + [(50, 0, None)] * 3
+    df = penalty.batches(spark.createDataFrame(rows, "conv_id long, turn int, text string"), ["conv_id", "turn"], "text", 6)
+    assert 1 < df.select("batch").distinct().count() <= 4
+    got = penalty.share_penalty(df.withColumn("batch", F.lit(0)), "batch", ["conv_id", "turn", "copy"], "text").collect()
+    assert len(got) == 23 and len({r["cluster"] for r in got}) == 23  # alike in their first 200 characters only
+
+
 def test_generator_reports_failures(spark):
     def backend(prompts):
         if any("bad" in p for p in prompts):
