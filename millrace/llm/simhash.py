@@ -200,6 +200,11 @@ def components(fps: DataFrame) -> DataFrame:
     edges, crowded = found.where("c IS NULL").select("src", "dst"), found.where("c IS NOT NULL").select("c", "v")
     if not crowded.isEmpty():
         edges = edges.unionByName(links(refine(keyed.join(crowded, ["c", "v"], "left_semi"), choices)).select("src", "dst"))
+    return named_components(fps, nodes, edges)
+
+
+def named_components(fps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, fp, component_id)`` from the rows ``(id, fp)``, the nodes ``(fp, rep)`` and links between reps."""
     # Rows that share an id are one document: link the nodes that it lies on.
     twice = (
         fps.where("id IS NOT NULL").distinct().groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -221,10 +226,13 @@ def keep_one(df: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Rows with a null doc_id stay.
     """
-    fps = materialize(fingerprints(df, key))
-    found = components(fps)
+    return without_copies(df, components(materialize(fingerprints(df, key))), key)
+
+
+def without_copies(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """`keep_one` for the given ``(id, component_id)``."""
     gone = found.where("id <> component_id").select(F.col("id").alias("__mr_gone")).distinct()
     kept = df.join(gone, F.col(key).cast("long") == F.col("__mr_gone"), "left_anti")
-    if fps.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty():
+    if found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty():
         return kept
     return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))

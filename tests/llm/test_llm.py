@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 
-from millrace.llm import ann, bpe, chunks, licenses, mixing, packing, quality, registry, simhash, warc, wordpiece
+from millrace.llm import ann, bpe, chunks, licenses, mixing, near, packing, quality, registry, simhash, warc, wordpiece
 
 SF = "/root/testdata/sf0.01"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, n_words long, id long, fp string"
@@ -141,6 +141,36 @@ def test_simhash_edges(odd, none):
     assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 4, 5, 6, 7]
 
 
+def test_stage_links_similar_texts(spark, odd, docs):
+    rng = random.Random(4)
+    words = [d["text"].lower().split() for d in docs if d["text"]]
+    words = [w for w in words if 60 <= len(w) <= 600][:400]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    rows, alike = [], {"0.80-0.85": [], "0.85-0.90": [], "0.90-0.95": [], "0.95-1.00": []}
+    for i, w in enumerate(words):
+        other = list(w)
+        for at in rng.sample(range(len(w)), rng.randint(1, max(1, len(w) // 40))):
+            other[at] = f"new{at}x{i}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+        a, b = grams(w), grams(other)
+        j = len(a & b) / len(a | b)
+        for k, v in alike.items():
+            if float(k[:4]) <= j < float(k[5:]):
+                v.append(i)
+    got = {r["id"]: r["component_id"] for r in near.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {k: (sum(got[2 * i] == got[2 * i + 1] for i in v), len(v)) for k, v in alike.items()}
+    print("linked, pairs by similarity:", recall)
+    assert all(n >= 0.95 * m and m > 20 for n, m in recall.values())
+    kept = near.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 4, 5, 6, 7]
+    # Every link found is exact: small buckets and large ones.
+    base = " ".join(f"w{i}" for i in range(200))
+    many = [(i, base + f" end{i}") for i in range(200)] + [(999, " ".join(f"w{i}" for i in range(120)))]
+    found = {r["id"]: r["component_id"] for r in near.components(spark.createDataFrame(many, "doc_id long, text string")).collect()}
+    assert {found[i] for i in range(200)} == {0} and found[999] == 999
+
+
 # ---- Quality rules
 
 
