@@ -1,12 +1,14 @@
 """License scans by conditional compression.
 
-A block of text (a line with its neighbours) is a candidate if it holds a trigger word. Each candidate is compressed
-with zstandard alone and once with each template as raw dictionary; a template that explains the block lowers its size.
-Templates are ranked by that reduction and the leading ones are confirmed by the exact differences in wording: the
-share of the template's words found in order in the block, and which are missing or foreign.
+A block of text is a candidate if it holds a trigger word; it reaches from the trigger as far as the longest template
+can, in both directions. Each candidate is compressed with zstandard alone and once with each template as raw
+dictionary; a template that explains the block lowers its size. Every template above `MIN_REDUCTION` is confirmed by
+the exact differences in wording: the share of the template's words found in order in the block, and which are missing
+or foreign. The best confirmed match is reported and what lies before and behind it is scanned again.
 
 Defined results: null and empty texts give no rows; every row of a repeated document is scanned; a null doc_id is
-returned as null; ties in the ranking go to the template named first in the alphabet; blocks are cut at `BLOCK_WORDS`
+returned as null; ties go to the template named first in the alphabet; of overlapping matches the better
+one stays; ``line`` is that of a match's first word; blocks are cut at `BLOCK_WORDS`
 words, each overlapping the one before by the longest template, so long lines are scanned whole; an empty table gives
 an empty result; further columns are not read.
 """
@@ -14,6 +16,7 @@ an empty result; further columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -53,12 +56,11 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 #: Every template holds one of these.
-TRIGGER = r"(?i)licen[sc]e|copyright|permission is hereby|redistribution and use|free software"
+TRIGGER = r"(?i)licen[sc]e|copyright|permission[\W_]+is[\W_]+hereby|redistribution[\W_]+and[\W_]+use|free[\W_]+software"
 BLOCK_WORDS = 400
 MIN_COVERAGE = 0.8
 #: Share of the block's own compressed size that the dictionary must save, for a block no longer than the template.
 MIN_REDUCTION = 0.15
-LEADING = 3
 
 
 def words_of(text: str) -> list[str]:
@@ -80,21 +82,36 @@ class Scanner:
         self.longest = max(map(len, self.words.values()))
 
     def blocks(self, text: str):
-        """``(first line, block)``: each run of lines that lie at most one line from a trigger, in bounded pieces."""
+        """``[(word, line)]``: each run of lines within a template's reach of a trigger, overlaps merged."""
         lines = text.split("\n")
-        hot = sorted({k for i, line in enumerate(lines) if self.trigger.search(line) for k in (i - 1, i, i + 1) if 0 <= k < len(lines)})
-        at = 0
-        while at < len(hot):
-            end = at
-            while end + 1 < len(hot) and hot[end + 1] == hot[end] + 1:
-                end += 1
-            words = " ".join(lines[hot[at] : hot[end] + 1]).split()
-            step = BLOCK_WORDS - min(self.longest, BLOCK_WORDS // 2)
-            for k in range(0, max(1, len(words) - (BLOCK_WORDS - step)), step):
-                part = " ".join(words[k : k + BLOCK_WORDS])
-                if self.trigger.search(part):
-                    yield hot[at], part
-            at = end + 1
+        begins = [0]
+        for line in lines:
+            begins.append(begins[-1] + len(line) + 1)
+        reach, sizes, hot = self.longest + self.longest // 5, {}, set()
+
+        def size(k: int) -> int:
+            if k not in sizes:
+                sizes[k] = len(words_of(lines[k]))
+            return sizes[k]
+
+        spans = {(bisect_right(begins, m.start()) - 1, bisect_right(begins, m.end() - 1) - 1) for m in self.trigger.finditer(text)}
+        for first, last in sorted(spans):
+            hot |= set(range(first, last + 1))
+            for k, step in ((first - 1, -1), (last + 1, 1)):
+                room = reach
+                while 0 <= k < len(lines) and room > 0:
+                    hot.add(k)
+                    room -= size(k)
+                    k += step
+        run, before = [], None
+        for k in sorted(hot):
+            if run and k != before + 1:
+                yield run
+                run = []
+            run += [(w, k) for w in lines[k].split()]
+            before = k
+        if run:
+            yield run
 
     def ranked(self, block: str) -> list[tuple[float, str]]:
         """``(share of the template's size saved, name)`` from the best down."""
@@ -103,35 +120,68 @@ class Scanner:
         saved = [((alone - len(self.given[k].compress(raw))) / max(1, min(alone, len(" ".join(self.words[k])))), k) for k in self.names]
         return sorted(saved, key=lambda x: (-x[0], x[1]))
 
-    def compare(self, block: str, name: str) -> tuple[float, list[str], list[str]]:
-        """Share of the template's words that the block has in order; missing words; foreign words between them."""
-        want, have = self.words[name], words_of(block)
+    def align(self, have: list[str], name: str) -> tuple[float, list[str], list[str], int, int]:
+        """`compare` for a block's words, and the span of the match: the matching blocks that lie closest together."""
+        want = self.words[name]
         same = [m for m in SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks() if m.size]
         if not same:
-            return 0.0, want, []
+            return 0.0, want, [], 0, 0
+        # The run of matching blocks with most matched words less the foreign ones between them.
+        best, total, first = (0, 0, 0), 0, 0
+        for k, m in enumerate(same):
+            gap = m.a - same[k - 1].a - same[k - 1].size if k else 0
+            if total - gap <= 0:
+                total, first, gap = 0, k, 0
+            total += m.size - gap
+            if total > best[0]:
+                best = total, first, k
+        same = same[best[1] : best[2] + 1]
         kept = {i for m in same for i in range(m.b, m.b + m.size)}
         inside = {i for m in same for i in range(m.a, m.a + m.size)}
         a, b = min(inside), max(inside)
-        return len(kept) / len(want), [w for i, w in enumerate(want) if i not in kept], [have[i] for i in range(a, b + 1) if i not in inside]
+        return len(kept) / len(want), [w for i, w in enumerate(want) if i not in kept], [have[i] for i in range(a, b + 1) if i not in inside], a, b + 1
 
-    def scan(self, text: str):
-        """``(line, license, reduction, coverage, missing, foreign)`` of each confirmed block's best template."""
-        for line, block in self.blocks(text):
-            best = None
-            for reduction, name in self.ranked(block)[:LEADING]:
+    def compare(self, block: str, name: str) -> tuple[float, list[str], list[str]]:
+        """Share of the template's words that the block has in order; missing words; foreign words between them."""
+        return self.align(words_of(block), name)[:3]
+
+    def matches(self, block: list[str], offset: int = 0):
+        """``(rank, first word, end, license, reduction, coverage, missing, foreign)``: confirmed matches that do not overlap."""
+        todo = [(block, offset)]
+        while todo:
+            part, at = todo.pop()
+            joined = " ".join(part)
+            if not self.trigger.search(joined):
+                continue
+            have = [(w, i) for i, raw in enumerate(part) for w in words_of(raw)]
+            plain, best = [w for w, _ in have], None
+            for reduction, name in self.ranked(joined):
                 if reduction < MIN_REDUCTION:
                     break
-                coverage, missing, foreign = self.compare(block, name)
+                coverage, missing, foreign, a, b = self.align(plain, name)
                 if coverage >= MIN_COVERAGE and len(foreign) <= max(2, len(self.words[name]) // 5):
-                    rank = (coverage, len(self.words[name]) - len(foreign), reduction)
+                    rank = (len(self.words[name]) - len(missing) - len(foreign), coverage, reduction)
                     if best is None or rank > best[0]:
-                        best = rank, (line, name, round(reduction, 6), round(coverage, 6), missing, foreign)
+                        best = rank, have[a][1], have[b - 1][1] + 1, name, round(reduction, 6), round(coverage, 6), missing, foreign
             if best:
-                yield best[1]
+                yield best[0], at + best[1], at + best[2], *best[3:]
+
+    def scan(self, text: str):
+        """``(line, license, reduction, coverage, missing, foreign)`` of every confirmed match."""
+        step = BLOCK_WORDS - min(self.longest, BLOCK_WORDS // 2)
+        for block in self.blocks(text):
+            words, found, kept = [w for w, _ in block], [], []
+            for k in range(0, max(1, len(words) - (BLOCK_WORDS - step)), step):
+                found += self.matches(words[k : k + BLOCK_WORDS], k)
+            for m in sorted(found, key=lambda m: (m[0], -m[1]), reverse=True):  # pieces overlap: the better of two matches stays
+                if all(m[2] <= o[1] or o[2] <= m[1] for o in kept):
+                    kept.append(m)
+            for m in sorted(kept, key=lambda m: m[1]):
+                yield block[m[1]][1], *m[3:]
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
-    """A row for every confirmed license block. Texts without a trigger word are dropped before Python sees them."""
+    """A row for every confirmed match. Texts without a trigger word are dropped before Python sees them."""
     templates = templates or TEMPLATES
 
     def run(batches):

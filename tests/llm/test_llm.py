@@ -487,6 +487,17 @@ def test_licenses(spark, odd, none, docs):
     assert not licenses.scan(none).collect() and licenses.scan(odd).collect() is not None
 
 
+@pytest.mark.parametrize("width", [100, 72, 60, 40, 25])
+def test_licenses_wrapped(width):
+    import textwrap
+
+    s = licenses.Scanner()
+    for name, text in licenses.TEMPLATES.items():
+        for mark in ("", "# ", " * "):
+            wrapped = "\n".join(mark + line for line in textwrap.wrap(text, width))
+            assert [r[1] for r in s.scan("x = 1\n" * 30 + wrapped + "\n" + "y = 2 of the\n" * 30)] == [name], (name, width)
+
+
 def test_registry():
     names = registry.queries()
     assert len(names) == 10 and set(registry.oracle_sql()) <= set(names)
