@@ -165,6 +165,7 @@ class Scanner:
                         best = rank, have[a][1], have[b - 1][1] + 1, name, round(reduction, 6), round(coverage, 6), missing, foreign
             if best:
                 yield best[0], at + best[1], at + best[2], *best[3:]
+                todo += [(part[: best[1]], at), (part[best[2] :], at + best[2])]
 
     def scan(self, text: str):
         """``(line, license, reduction, coverage, missing, foreign)`` of every confirmed match."""

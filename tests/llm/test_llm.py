@@ -498,6 +498,15 @@ def test_licenses_wrapped(width):
             assert [r[1] for r in s.scan("x = 1\n" * 30 + wrapped + "\n" + "y = 2 of the\n" * 30)] == [name], (name, width)
 
 
+def test_licenses_several_in_a_block():
+    s, t = licenses.Scanner(), licenses.TEMPLATES
+    for gap in (" ", "\n", " and for the pictures of this text: "):
+        assert [r[1] for r in s.scan(t["MIT"] + gap + t["CC-BY-SA-4.0"])] == ["MIT", "CC-BY-SA-4.0"]
+        assert [r[1] for r in s.scan(gap.join(t.values()))] == list(t)
+        assert [r[1] for r in s.scan(gap.join([t["MIT"]] * 3))] == ["MIT"] * 3
+    assert [r[:2] for r in s.scan("first\nsecond\n" + t["MIT"])] == [(2, "MIT")]
+
+
 def test_registry():
     names = registry.queries()
     assert len(names) == 10 and set(registry.oracle_sql()) <= set(names)
