@@ -7,7 +7,9 @@ source that holds most rows costs no more than another.
 
 Targets are shares of the observed mass raised to a power (1 keeps the mix, 0 makes it even), or tables that the
 caller gives. Sampling compares a hash of the doc_id with the probability: the same documents are drawn under any
-partitioning, and equal ids are drawn together.
+partitioning, and equal ids are drawn together. `report` draws a document once at most and after `ROUNDS` rounds, as its
+SQL says, so cells whose rate is above 1 fall short of their targets; `sample` fits until the marginals agree within
+`TOLERANCE` (targets that the cells cannot meet end it where it stands still, with a warning) and draws a document as many times as its rate says, so that the targets are reached.
 
 Defined results: a null source, language or topic is a value of its own; null and empty texts weigh one token, so
 that they can be drawn; a null doc_id is hashed as the empty string; an empty table gives an empty result; further
@@ -16,15 +18,19 @@ columns are carried along, whatever their names.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.session import materialize
 
 ROUNDS = 5
+#: Largest difference of a marginal from its target where the fit of `sample` ends, and its rounds at most.
+TOLERANCE, MOST_ROUNDS = 1e-6, 50
 #: Powers of the observed shares that make the targets.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-#: Expected share of the token mass in the sample, before probabilities are cut at 1.
+#: Expected share of the token mass in the sample, before `report` cuts probabilities at 1.
 FRACTION = 0.6
 #: Size up to which the fitted table of cells is broadcast.
 BROADCAST_BYTES = 16 << 20
@@ -59,9 +65,11 @@ def weigh(df: DataFrame, text: str = "text") -> DataFrame:
     })
 
 
-def fit(weighed: DataFrame, rounds: int = ROUNDS, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def fit(weighed: DataFrame, rounds: int = ROUNDS, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, tolerance: float | None = None) -> DataFrame:
     """``(source, lang, topic, mass, factor)`` by cell, columns prefixed; ``mass * factor`` sums to 1.
 
+    With ``tolerance``, rounds go on until every marginal is that near to its target, the fit stands still or `MOST_ROUNDS` are over; the last two warn.
+
     ``targets`` may give tables ``(value, share)`` by dimension; otherwise the shares follow from ``powers``.
     """
     powers = powers or POWERS
@@ -76,11 +84,20 @@ def fit(weighed: DataFrame, rounds: int = ROUNDS, powers: dict[str, float] | Non
             share = raised.select(P + d, (F.col("g") / raised.agg(F.sum("g")).scalar()).alias(P + "goal_" + d))
         cells = cells.join(share, P + d)
     cells = materialize(cells)
-    for _ in range(rounds):
+    gap = None
+    for _ in range(rounds if tolerance is None else MOST_ROUNDS):
+        before, gap = gap, 0.0
         for d in DIMENSIONS:
             now = cells.groupBy(P + d).agg(F.sum(F.col(P + "mass") * F.col(P + "factor")).alias(P + "now"))
-            cells = cells.join(now, P + d).withColumn(P + "factor", F.col(P + "factor") * F.col(P + "goal_" + d) / F.col(P + "now")).drop(P + "now")
-            cells = materialize(cells)
+            cells = cells.join(now, P + d).withColumn(P + "gap", F.abs(F.col(P + "now") - F.col(P + "goal_" + d)))
+            cells = materialize(cells.withColumn(P + "factor", F.col(P + "factor") * F.col(P + "goal_" + d) / F.col(P + "now")).drop(P + "now"))
+            if tolerance is not None:
+                gap = max(gap, cells.agg(F.max(P + "gap")).first()[0] or 0.0)
+            cells = cells.drop(P + "gap")
+        if tolerance is not None and (gap <= tolerance or before is not None and 0 <= before - gap <= 1e-3 * gap):
+            break
+    if tolerance is not None and gap > tolerance:
+        warnings.warn(f"marginals differ from their targets by up to {gap}", stacklevel=2)
     return cells.select(*names, P + "mass", P + "factor")
 
 
@@ -90,20 +107,24 @@ def uniform(key: Column) -> Column:
 
 
 def calibrate(df: DataFrame, key: str = "doc_id", fraction: float = FRACTION, **fitting) -> DataFrame:
-    """``df`` with the prefixed columns tokens, topic, factor, probability and sampled.
+    """``df`` with the prefixed columns tokens, topic, factor, probability, rate, sampled and copies.
 
-    ``probability = min(1, fraction * all tokens * factor)``.
+    ``rate = fraction * all tokens * factor`` and ``probability = min(1, rate)``; ``copies`` is ``rate`` in expectation.
     """
     weighed = weigh(df)
     narrow = materialize(weighed.select(*[P + d for d in DIMENSIONS], P + "tokens").groupBy(*[P + d for d in DIMENSIONS]).agg(F.sum(P + "tokens").alias(P + "tokens")))
     cells = fit(narrow, **fitting)
     total = narrow.agg(F.sum(P + "tokens").cast("double")).scalar()
-    rates = cells.select(*[P + d for d in DIMENSIONS], P + "factor", F.least(F.lit(1.0), F.lit(float(fraction)) * total * F.col(P + "factor")).alias(P + "probability"))
+    rate = F.lit(float(fraction)) * total * F.col(P + "factor")
+    rates = cells.select(*[P + d for d in DIMENSIONS], P + "factor", F.least(F.lit(1.0), rate).alias(P + "probability"), rate.alias(P + "rate"))
     # The texts need not be shuffled where the table of cells is small, and it is measured; beyond the bound the optimizer joins by key.
     held = rates.agg(F.coalesce(F.sum(sum((F.octet_length(P + d) for d in DIMENSIONS), F.lit(64))), F.lit(0))).first()[0]
     if held <= BROADCAST_BYTES:
         rates = F.broadcast(rates)
-    return weighed.join(rates, [P + d for d in DIMENSIONS]).withColumn(P + "sampled", uniform(F.col(key)) < F.col(P + "probability"))
+    whole = F.floor(P + "rate")
+    return weighed.join(rates, [P + d for d in DIMENSIONS]).withColumns({
+        P + "sampled": uniform(F.col(key)) < F.col(P + "probability"), P + "copies": (whole + (uniform(F.col(key)) < F.col(P + "rate") - whole).cast("long")).cast("int"),
+    })
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -116,8 +137,19 @@ def report(df: DataFrame) -> DataFrame:
 
 
 def sample(df: DataFrame) -> DataFrame:
-    """The drawn documents, with their own columns only."""
-    return calibrate(df).where(F.col(P + "sampled")).select(*df.columns)
+    """The drawn documents, as often as they are drawn, with their own columns only."""
+    drawn = calibrate(df, tolerance=TOLERANCE).where(F.col(P + "copies") > 0)
+    return drawn.withColumn(P + "copy", F.explode(F.sequence(F.lit(1), F.col(P + "copies")))).select(*df.columns)
+
+
+def marginals(df: DataFrame, **fitting) -> DataFrame:
+    """``(dimension, value, copies, once)``: expected shares of the tokens drawn, with copies (as targeted) and once at most."""
+    out = calibrate(df, **({"tolerance": TOLERANCE} | fitting))
+    sums = out.groupBy(*[P + d for d in DIMENSIONS]).agg(F.sum(F.col(P + "tokens") * F.col(P + "rate")).alias("c"), F.sum(F.col(P + "tokens") * F.col(P + "probability")).alias("o"))
+    sums = materialize(sums)
+    c, o = sums.agg(F.sum("c"), F.sum("o")).first()
+    parts = [sums.groupBy(F.lit(d).alias("dimension"), F.col(P + d).alias("value")).agg((F.sum("c") / c).alias("copies"), (F.sum("o") / o).alias("once")) for d in DIMENSIONS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def oracle(rounds: int = ROUNDS) -> str:

@@ -336,6 +336,20 @@ def test_mixing_marginals(spark, odd, none):
     assert mixing.sample(odd).columns == odd.columns
 
 
+def test_sample_reaches_its_targets(spark):
+    # One source has a third, nineteen are even and ten have 0.1 % each; all in one language and topic.
+    sizes = {"big": 1000, **{f"even{i}": 103 for i in range(19)}, **{f"rare{i}": 3 for i in range(10)}}
+    rows = [(f"{s}-{i}", "word " * 40, "en", s) for s, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")
+    drawn = {r["source"]: r["count"] for r in mixing.sample(df).groupBy("source").count().collect()}
+    total, roots = sum(drawn.values()), sum(n**0.5 for n in sizes.values())
+    assert abs(total / len(rows) - mixing.FRACTION) < 0.02
+    share = 10 * 3**0.5 / roots
+    assert abs(sum(n for s, n in drawn.items() if s.startswith("rare")) / total - share) < 0.015
+    for r in mixing.marginals(df).where("dimension = 'source'").collect():
+        assert abs(r["copies"] - sizes[r["value"]] ** 0.5 / roots) < 1e-5
+
+
 def test_mixing_beyond_the_broadcast_bound(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     small = sorted(mixing.report(df).collect())
