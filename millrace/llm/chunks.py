@@ -1,8 +1,9 @@
 """Substring deduplication by content-defined chunks.
 
 A gear hash rolls over the bytes of a text. Its low 16 bits depend on the last 16 bytes only. A chunk begins at a word
-whose hash is smaller than those of the `RADIUS` words before it and not larger than those of the `RADIUS` behind it,
-so a boundary depends on its own neighbourhood and nothing else: an insertion moves the bytes behind it but changes
+whose hash is not larger than those of the `RADIUS` words before and behind it; in a stretch that repeats itself every
+period has such a word. A word of more than `LONG` bytes (text without spaces) is also cut within, at characters whose hash
+is not larger than those of the `LONG_RADIUS` characters around, and weighs a word for every `LONG_WORD` bytes. So a boundary depends on its own neighbourhood and nothing else: an insertion moves the bytes behind it but changes
 no boundary beyond a few words. Chunks are compared by a 128-bit digest; the occurrence in the document with the
 smallest doc_id stays, and a later run of repeated chunks is cut out if it has at least `MIN_WORDS` words; below twice that, half
 of them must have their first occurrence in one document. Both leave chance runs of short common phrases alone.
@@ -25,6 +26,7 @@ from millrace.llm.common import text_bytes, values
 
 RADIUS = 3
 MIN_WORDS = 25
+LONG, LONG_RADIUS, LONG_WORD = 64, 8, 8
 #: Gear values by rule: XXH64 of the byte, low 16 bits.
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) & 0xFFFF for b in range(256)], np.uint16)
 SPACE = np.zeros(256, bool)
@@ -41,6 +43,15 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def least(h: np.ndarray, radius: int) -> np.ndarray:
+    """Marks of the values that no value within the radius is smaller than."""
+    ok = np.ones(len(h), bool)
+    for d in range(1, min(radius, len(h) - 1) + 1):
+        ok[d:] &= h[d:] <= h[:-d]
+        ok[:-d] &= h[:-d] <= h[d:]
+    return ok
+
+
 def boundaries(text: bytes, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets at which chunks begin, and the number of words of each chunk."""
     data = np.frombuffer(text, np.uint8)
@@ -49,14 +60,19 @@ def boundaries(text: bytes, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarra
     n = len(starts)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = gear(data)[np.maximum(starts - 1, 0)]
-    ok = np.ones(n, bool)
-    for d in range(1, min(radius, n - 1) + 1):
-        ok[d:] &= h[d:] < h[:-d]
-        ok[:-d] &= h[:-d] <= h[d:]
+    rolled = gear(data)
+    ok = least(rolled[np.maximum(starts - 1, 0)], radius)
     ok[0] = True
-    at = np.flatnonzero(ok)
-    return starts[at], np.diff(np.r_[at, n])
+    sizes = np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1 - starts
+    weights = np.where(sizes > LONG, sizes // LONG_WORD, 1)
+    before = np.cumsum(weights) - weights
+    at, count = starts[ok], before[ok]
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        inner = starts[k] + 1 + np.flatnonzero(data[starts[k] + 1 : starts[k] + sizes[k]] & 0xC0 != 0x80)
+        inner = inner[least(rolled[inner - 1], LONG_RADIUS)]
+        at, count = np.r_[at, inner], np.r_[count, before[k] + (inner - starts[k]) // LONG_WORD]
+    order = np.argsort(at, kind="stable")
+    return at[order], np.diff(np.r_[count[order], weights.sum()])
 
 
 def digests(text: bytes, starts: np.ndarray) -> list[bytes]:

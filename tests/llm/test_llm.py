@@ -312,6 +312,19 @@ def test_substring_dedup(spark, odd, none):
     assert chunks.keep_rest(odd).columns == odd.columns
 
 
+def test_substring_dedup_of_stretches_without_minima(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    for k, passage in enumerate((" ".join(["again"] * 80), " ".join(["one two three"] * 30), "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(400)), "".join(rng.choice("abc{};=()") for _ in range(900)))):
+        rows = [(i, f"{prose(40)} {passage} {prose(40)}" if k < 2 else f"{prose(40)} x{i}{passage}y{i} {prose(40)}") for i in range(3)]
+        got = {r["doc_id"]: r for r in chunks.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), details=True).collect()}
+        for i in (1, 2):
+            assert got[i]["n_words_removed"] >= 50 and len(got[i]["text"]) < len(rows[i][1]) - 0.6 * len(passage), (k, i)
+            assert got[i]["text"][:60] == rows[i][1][:60] and got[i]["text"][-60:] == rows[i][1][-60:]
+    starts, words = chunks.boundaries(("a " + "é" * 3000 + " b").encode())
+    assert int(words.sum()) == 2 + 6000 // 8 and max(np.diff(starts)) <= 64
+
+
 def test_substring_dedup_of_copies(spark):
     text = " ".join(f"word{i}" for i in range(300))
     df = spark.createDataFrame([(i, text) for i in range(5)] + [(0, text)], "doc_id long, text string")
