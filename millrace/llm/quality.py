@@ -46,6 +46,8 @@ RULES = (
     Rule("duplicate_lines", "n_dup_lines / n_lines", None, 0.6),
     Rule("repeated_words", "n_repeat_words / n_words", None, 0.5),
     Rule("stop_words", "n_stop_words", 1, None),
+    # A share of 0.01; a table's cell marks are symbols, and a tenth of the words being symbols exempts it.
+    Rule("stop_word_share", "(10 * n_stop_words + n_symbols) / n_words", 0.1, None),
     Rule("punctuation_ends", "n_bang_words / n_words", None, 0.3),
     Rule("letters", "n_letters / word_chars", 0.6, None),
 )
