@@ -80,7 +80,7 @@ def weighted_draws(groups: DataFrame, group: str, weight: str, draws: int, seed:
     return u.join(edges, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", group)
 
 
-def kmeans(df: DataFrame, vector: str, k: int, seed: int = 42, starts: int = 3, iterations: int = 50):
+def kmeans(df: DataFrame, vector: str, k: int, seed: int = 42, starts: int = 10, iterations: int = 300):
     """O-56: the best of several k-means|| fits; ``k`` falls to ``max(10, n // 5)`` when there are fewer rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector

@@ -368,7 +368,7 @@ def curate(s, d):
 
 @query("kmeans_clusters")
 def kmeans(s, d):
-    _, out = select.kmeans(table(s, d, "embeddings").select("vec_id", "embedding"), "embedding", 10, starts=1, iterations=10)
+    _, out = select.kmeans(table(s, d, "embeddings").select("vec_id", "embedding"), "embedding", 10)
     return out.select("vec_id", "cluster_id")
 
 

@@ -182,6 +182,23 @@ def test_share_penalty_of_every_whole_turn(spark):
     assert len(got) == 23 and len({r["cluster"] for r in got}) == 23  # alike in their first 200 characters only
 
 
+def test_kmeans_query_fits_as_the_survey_says(spark, monkeypatch):
+    from pyspark.ml import clustering
+
+    from millrace.plans import queries as _filled  # noqa: F401
+    from millrace.plans.registry import QUERIES
+
+    fits, real = [], clustering.KMeans
+
+    def recorded(**args):
+        fits.append(args)
+        return real(**args)
+
+    monkeypatch.setattr(clustering, "KMeans", recorded)
+    assert QUERIES["kmeans_clusters"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(fits) == 10 and {f["maxIter"] for f in fits} == {300} and len({f["seed"] for f in fits}) == 10
+
+
 def test_generator_reports_failures(spark):
     def backend(prompts):
         if any("bad" in p for p in prompts):
