@@ -32,6 +32,13 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_shared(spark: SparkSession, path: str) -> None:
+    """Delete a path below the shared folder, by whatever file system holds it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable, eager checkpoint: cuts the lineage and survives the loss of executors."""
     shared_dir(df.sparkSession)
