@@ -10,14 +10,16 @@ Equal vectors are one index entry with the smallest ids that can appear in a res
 rows share costs one entry; no result is lost by that. Parts are dealt out in blocks of bounded size, queries likewise.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part; nor do
-vectors of another length than most of the sample; a null vec_id takes no part; rows that repeat an id and a vector
-count once; ties go to the smaller vec_id; with fewer than `K` candidates all are returned; an empty table gives an
+vectors of another length than most of the sample, with which a cosine is not defined; a null vec_id takes no part; rows
+that repeat an id and a vector count once; ties go to the smaller vec_id, however many rows tie; components may be as large
+or small as a double can be; with fewer than `K` candidates all are returned; an empty table gives an
 empty result; further columns are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from heapq import nsmallest
 
 import numpy as np
 import pandas as pd
@@ -34,14 +36,28 @@ PER_PART = 8192
 LEAST_PARTS, MOST_PARTS = 16, 96
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 LINKS = 10
+#: More than products of unit vectors can be off by rounding.
+ROUNDING = 1e-9
 
 
-def unit(x: np.ndarray) -> np.ndarray:
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two of their own: no digit is lost, and no square overflows or vanishes."""
     x = np.asarray(x, np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the vector ``a`` with the rows of ``b``, in extended precision and then rounded to double, so that cosines
+    that are equal come out equal."""
+    a, b = scaled(a[None]).astype(np.longdouble)[0], scaled(b).astype(np.longdouble)
+    return ((b * a).sum(axis=1) / (np.sqrt((b * b).sum(axis=1)) * np.sqrt((a * a).sum()))).astype(np.float64)
+
+
 def nearest(queries: np.ndarray, base: np.ndarray, k: int, skip_self: bool = False) -> np.ndarray:
     """Row numbers of the ``k`` largest inner products, in blocks."""
     out = []
@@ -187,12 +203,14 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int
         if not len(entries) or not len(queries):
             return pd.DataFrame({"q": [], "id": [], "score": []})
         a, b = np.stack(queries["v"]), np.stack(entries["v"])
-        ua, ub = unit(a), unit(b)
-        top = nearest(ua, ub, k + 8)
-        na, nbn = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
-        score = np.einsum("ijk,ik->ij", b[top], a) / (nbn[top] * na[:, None])
+        s, out = unit(a) @ unit(b).T, []
         ids, qs = entries["ids"].to_numpy(), queries["q"].to_numpy()
-        out = [(qs[i], x, s) for i in range(len(qs)) for x, s in sorted(((x, s) for j, s in zip(top[i], score[i]) for x in ids[j]), key=lambda y: (-y[1], y[0]))[: k + 1]]
+        # Every entry that may be among the k + 1 first, however many tie with the last of them, is ranked by its own score.
+        least = np.partition(s, -min(k + 1, s.shape[1]), axis=1)[:, -min(k + 1, s.shape[1])] - ROUNDING
+        for i in range(len(qs)):
+            at = np.flatnonzero(s[i] >= least[i])
+            found = ((x, c) for j, c in zip(at, cosines(a[i], b[at])) for x in ids[j])
+            out += [(qs[i], x, c) for x, c in nsmallest(k + 1, found, key=lambda y: (-y[1], y[0]))]
         return pd.DataFrame(out, columns=["q", "id", "score"])
 
     found = left.groupBy("part", "b", "c").cogroup(right.groupBy("part", "b", "c")).applyInPandas(compare, "q long, id long, score double")
