@@ -5,11 +5,17 @@ Within a window of tokens the pieces are placed from the longest down into the s
 still holds them; a segment tree over room finds that sequence in logarithmic time. Every packed row holds its ids,
 the cumulative lengths of its segments and position ids that restart at every segment.
 
-Windows lie within an input partition, so nothing is shuffled and memory is bounded by `WINDOW_TOKENS`.
+Windows lie within an input partition, so nothing is shuffled and memory is bounded by `WINDOW_TOKENS`. Which documents
+share a row thus follows from the partitions of the input: the same files and split size give the same rows, another
+partitioning the same documents in other rows.
 
-Defined results: null and empty texts give one end-of-text id; repeated rows are packed as often as they occur; a
-null doc_id is kept as null; very long texts fill several rows; an empty table gives an empty result; further columns
-are not read.
+A window is written as a raw id matrix (``.bin``) with its index (``.json``: shape, cumulative lengths, position resets,
+documents and offsets) to the shared folder by the task that packs it. A file is named by its task's attempt and by the
+manifest row, so a repeated task never mixes with an earlier one.
+
+Defined results: null and empty texts give one end-of-text id; ``<|endoftext|>`` within a text becomes that id, as the
+vocabulary says; repeated rows are packed as often as they occur; a null doc_id is kept as null; very long texts fill
+several rows; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import text_bytes, values
 from millrace.llm.wordpiece import default_vocabulary
+from millrace.session import materialize, new_shared_path
 
 LENGTH = 2048
 END_ID = 50256
@@ -35,6 +42,8 @@ WINDOW_TOKENS = 2_000_000
 #: How the vocabulary cuts a text, and its special token.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = {"<|endoftext|>": END_ID}
+#: White space from which a run is cut out before the library's pattern sees it, which backtracks over such runs.
+BLANKS = 4096
 _ENCODERS: dict[int, object] = {}
 
 
@@ -52,6 +61,21 @@ def encoder(source: str):
     return _ENCODERS[key]
 
 
+def encode(c, text: str) -> list[int]:
+    """Ids of a whole text. A long run of white space is one piece, but for a last character that a word follows."""
+    import regex
+
+    if len(text) < BLANKS:
+        return c.encode(text, allowed_special="all")
+    out, at = [], 0
+    for m in regex.finditer(rf"\s{{{BLANKS},}}+", text):
+        end = m.end() if m.end() == len(text) or text.startswith(tuple(SPECIAL), m.end()) else m.end() - 1
+        out += c.encode(text[at : m.start()], allowed_special="all")
+        out += c._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + c.encode(text[at:], allowed_special="all")
+
+
 class RoomTree:
     """Multiset of sequences by free room, with the smallest room of at least ``need`` found in O(log length)."""
 
@@ -125,28 +149,39 @@ def pack_window(name: str, docs: list[tuple[int | None, np.ndarray]], length: in
     return pa.RecordBatch.from_pydict(out, schema=ARROW)
 
 
-def pack(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, vocabulary: str | None = None, window_tokens: int = WINDOW_TOKENS) -> DataFrame:
-    """One row per packed sequence. ``input_ids`` are ``length`` little-endian 32-bit ids, padded behind ``n_tokens``."""
+def windows(df: DataFrame, key: str, text: str, length: int, vocabulary: str | None, window_tokens: int):
+    """The source of `pack` and `write`, and a function from its Arrow batches to ``(number, packed rows)``."""
     with open(vocabulary or default_vocabulary(), encoding="ascii") as f:
         source = df.sparkSession.sparkContext.broadcast(f.read())  # below 1 MB, whatever the data
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        c, part, n, held, size = encoder(source.value), TaskContext.get().partitionId(), 0, [], 0
+    def run(batches, part: int):
+        c, n, held, size = encoder(source.value), 0, [], 0
         for batch in batches:
             keys = values(batch, "id")
             for i, t in text_bytes(batch):
-                ids = np.array(c.encode((t or b"").decode("utf-8", "replace"), allowed_special="all"), np.int32)
+                ids = np.array(encode(c, (t or b"").decode("utf-8", "replace")), np.int32)
                 held.append((keys[i], np.append(ids, np.int32(END_ID))))
                 size += len(ids) + 1
                 if size >= window_tokens:
-                    yield pack_window(f"{part:06d}-{n:06d}", held, length)
+                    yield n, pack_window(f"{part:06d}-{n:06d}", held, length)
                     held, size, n = [], 0, n + 1
         if held:
-            yield pack_window(f"{part:06d}-{n:06d}", held, length)
+            yield n, pack_window(f"{part:06d}-{n:06d}", held, length)
+
+    return df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")), run
+
+
+def pack(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, vocabulary: str | None = None, window_tokens: int = WINDOW_TOKENS) -> DataFrame:
+    """One row per packed sequence. ``input_ids`` are ``length`` little-endian 32-bit ids, padded behind ``n_tokens``."""
+    source, packed = windows(df, key, text, length, vocabulary, window_tokens)
+
+    def run(batches):
+        from pyspark import TaskContext
 
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+        for _, rows in packed(batches, TaskContext.get().partitionId()):
+            yield rows
+
+    return source.mapInArrow(run, SCHEMA)
 
 
 def positions(cu_seqlens, length: int) -> np.ndarray:
@@ -167,30 +202,56 @@ def unpack(rows) -> dict[int | None, list[int]]:
     return {k: [x for _, part in sorted(v) for x in part] for k, v in found.items()}
 
 
-def write_binary(packed: DataFrame, uri: str) -> DataFrame:
-    """Write a raw id matrix per window (``.bin``) and its index (``.json``: shape, cumulative lengths, resets, documents)
-    to a folder that all executors share; returns ``(window, rows, file)``.
+INDEX = ("n_tokens", "cu_seqlens", "position_resets", "doc_ids", "doc_offsets")
+MANIFEST = "window string, rows long, file string"
 
-    Rows of a window are brought together by a shuffle on its name; a window is bounded, so is the memory.
-    """
 
-    def run(pdf):
-        pdf = pdf.sort_values("row")
-        name, (fs, base) = pdf["window"].iloc[0], pafs.FileSystem.from_uri(uri)
+def write(df: DataFrame, uri: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, vocabulary: str | None = None, window_tokens: int = WINDOW_TOKENS) -> DataFrame:
+    """Pack and write; the manifest ``(window, rows, file)`` of the id matrices, each with its ``.json`` beside it."""
+    source, packed = windows(df, key, text, length, vocabulary, window_tokens)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task, (fs, base) = TaskContext.get(), pafs.FileSystem.from_uri(uri)
         fs.create_dir(base, recursive=True)
-        raw = b"".join(pdf["input_ids"])
-        index = {"shape": [len(pdf), len(raw) // 4 // len(pdf)], "dtype": "<i4"} | {k: [None if v is None else np.asarray(v).tolist() for v in pdf[k]] for k in ("cu_seqlens", "position_resets", "doc_ids", "doc_offsets")}
-        for suffix, data in ((".bin", raw), (".json", json.dumps(index).encode())):
-            with fs.open_output_stream(f"{base}/.{name}{suffix}.tmp") as f:
-                f.write(data)
-            fs.move(f"{base}/.{name}{suffix}.tmp", f"{base}/{name}{suffix}")
-        import pandas as pd
+        for n, rows in packed(batches, task.partitionId()):
+            name = f"{base}/part-{task.partitionId():06d}-{n:06d}-{task.taskAttemptId()}"
+            index = {"window": values(rows, "window")[0], "shape": [len(rows), length], "dtype": "<i4"} | {k: values(rows, k) for k in INDEX}
+            with fs.open_output_stream(f"{name}.bin") as f:
+                for raw in rows.column("input_ids"):
+                    f.write(raw.as_buffer())
+            with fs.open_output_stream(f"{name}.json") as f:
+                f.write(json.dumps(index).encode())
+            yield pa.RecordBatch.from_arrays([pa.array([index["window"]]), pa.array([len(rows)], pa.int64()), pa.array([f"{name}.bin"])], ["window", "rows", "file"])
 
-        return pd.DataFrame({"window": [name], "rows": [len(pdf)], "file": [f"{base}/{name}.bin"]})
+    return materialize(source.mapInArrow(run, MANIFEST))
 
-    return packed.groupBy("window").applyInPandas(run, "window string, rows long, file string")
+
+def read(manifest: DataFrame, uri: str) -> DataFrame:
+    """The packed rows of written windows, as `pack` returns them."""
+
+    def run(batches):
+        fs, _ = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for file in values(batch, "file"):
+                with fs.open_input_stream(file.removesuffix(".bin") + ".json") as f:
+                    index = json.loads(f.read())
+                n, length = index["shape"]
+                with fs.open_input_stream(file) as f:
+                    raw = [f.read(4 * length) for _ in range(n)]
+                if any(len(r) != 4 * length for r in raw):
+                    raise EOFError(f"{file} ends early")
+                rows = {"window": [index["window"]] * n, "row": list(range(n)), "input_ids": raw, "ids_sha256": [hashlib.sha256(r).hexdigest() for r in raw]} | {k: index[k] for k in INDEX}
+                yield pa.RecordBatch.from_pydict(rows, schema=ARROW)
+
+    return manifest.select("file").mapInArrow(run, SCHEMA)
 
 
 def report(df: DataFrame) -> DataFrame:
-    """The packed sequences, with a digest in the place of the id matrix."""
-    return pack(df).drop("input_ids")
+    """The packed sequences as read back from the files written, with a digest in the place of the id matrix.
+
+    The files stay in the shared folder; they are the operator's output.
+    """
+    uri = new_shared_path(df.sparkSession, "packed")
+    return read(write(df, uri), uri).drop("input_ids")
