@@ -11,18 +11,22 @@ of them must have their first occurrence in one document. Both leave chance runs
 Defined results: null texts stay null; texts without words and shorter than the threshold stay as they are; rows
 with a null doc_id take no part and stay as they are; rows that share a doc_id count as one document whose copies do
 not delete each other; a text that repeats others throughout becomes empty; empty tables give empty results; further
-columns are carried along.
+columns are carried along, but a column named like one of the details (`ADDED`) is replaced by it, and a column ``n_chars``
+follows a text that is cut. Columns whose names begin with ``__mr_`` are the operator's own.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.common import text_bytes, values
+from millrace.llm.common import join_facts, text_bytes, values
+from millrace.session import materialize
 
 RADIUS = 3
 MIN_WORDS = 25
@@ -81,8 +85,14 @@ def digests(text: bytes, starts: np.ndarray) -> list[bytes]:
     return [h(text[a:b].rstrip()) for a, b in zip(cuts, cuts[1:])]
 
 
-def chunk_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(d1, d2, doc, ord)``: a row for every chunk of every document; ``d1, d2`` are the digest."""
+def row_name(key: str, text: str) -> Column:
+    """A row's name by its key and text: equal rows are one, rows that share a key only are not. Null without a key."""
+    return F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string")))
+
+
+def chunk_table(df: DataFrame, key: str = "doc_id", text: str = "text", named: bool = False) -> DataFrame:
+    """``(d1, d2, doc, ord)``: a row for every chunk of every document; ``d1, d2`` are the digest and ``doc`` the key, or the
+    row's name with ``named``."""
 
     def run(batches):
         for batch in batches:
@@ -105,26 +115,27 @@ def chunk_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             [pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), pa.array(np.concatenate(docs)), pa.array(np.concatenate(ords))], ["d1", "d2", "doc", "ord"]
         )
 
-    source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    name = row_name(key, text) if named else F.col(key).cast("long")
+    source = df.where(F.col(key).isNotNull()).select(name.alias("id"), F.col(text).cast("string").alias("text"))
     return source.mapInArrow(run, "d1 long, d2 long, doc long, ord int")
 
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc, chunks array<struct<ord, first, d1>>)``: for each document its chunks that occur elsewhere before, or again
-    in it, with the document of the first occurrence.
+    """``(doc, chunks array<struct<ord, first, d1>>)``: for each row, by name, its chunks that occur elsewhere before, or
+    again in it, with the document of the first occurrence.
 
-    Digests are counted with sums combined before the shuffle; a frequent digest is one row of the small side of the
-    join, and its many occurrences are on the side whose partitions can be split.
+    Digests are counted with sums combined before the shuffle. What is gathered by name is a row's own chunks, once,
+    however many rows share a key or are equal.
     """
     chunks = chunk_table(df, key, text)
-    firsts = chunks.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = chunk_table(df, key, text).join(firsts, ["d1", "d2"])
+    firsts = materialize(chunks.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    again = join_facts(chunk_table(df, key, text, named=True), firsts, ["d1", "d2"], "first", ["doc", "ord"]).where("first IS NOT NULL")
     # The first document keeps the first of its own occurrences, which `cut` sees for itself.
-    return again.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("ord", "first", "d1"))).alias("chunks"))
+    return again.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("ord", "first", "d1"))).alias("chunks"))
 
 
 def cut(text: bytes, own: int, found: list[dict], min_words: int = MIN_WORDS) -> tuple[bytes, int, int, int, list[int]]:
-    """Text without repeated runs; its chunks, repeated chunks, words removed and the documents that hold them first."""
+    """Text without repeated runs; its chunks, those removed, words removed and the documents that hold them first."""
     starts, words = boundaries(text)
     n, first, seen, repeated = len(starts), {}, set(), np.zeros(len(starts), bool)
     names = digests(text, starts)
@@ -135,7 +146,7 @@ def cut(text: bytes, own: int, found: list[dict], min_words: int = MIN_WORDS) ->
             repeated[i] = first[i] < own or names[i] in seen
             seen.add(names[i])
     edge = np.flatnonzero(np.diff(np.r_[False, repeated, False].astype(np.int8)))
-    out, at, removed, sources, ends = [], 0, 0, set(), [*starts.tolist(), len(text)]
+    out, at, gone, removed, sources, ends = [], 0, 0, 0, set(), [*starts.tolist(), len(text)]
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
         shares: dict[int, int] = {}
         for i in range(a, b):
@@ -144,43 +155,48 @@ def cut(text: bytes, own: int, found: list[dict], min_words: int = MIN_WORDS) ->
         if size >= 2 * min_words or size >= min_words and 2 * max(shares.values()) >= size:
             out.append(text[at : ends[a]])
             at = ends[b]
+            gone += b - a
             removed += size
             sources |= {first[i] for i in range(a, b)}
     left = b"".join(out) + text[at:]
-    return left if left.split() else b"", n, int(repeated.sum()), removed, sorted(sources)
+    return left if left.split() else b"", n, gone, removed, sorted(sources)
 
 
-ADDED = "n_chunks long, n_repeated_chunks long, n_words_removed long, first_doc_ids array<long>"
+ADDED = "n_chunks long, n_chunks_removed long, n_words_removed long, first_doc_ids array<long>"
 
 
-def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, details: bool = False) -> DataFrame:
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, details: bool = False, chars: str = "n_chars") -> DataFrame:
     """The rows of ``df`` with repeated passages cut out of ``text``.
 
-    With ``details``, adds the number of chunks in the repeated documents, how many are repeated, the words cut and
-    the documents that hold the passages first (zeros and an empty list where nothing repeats).
+    With ``details``, adds the number of chunks of a text that holds any found elsewhere, how many chunks and words are cut,
+    and the documents that hold them first (zeros and an empty list where nothing repeats). A column named ``chars``
+    becomes the number of characters where something is cut.
     """
-    from pyspark.sql import types as T
-
+    added = T.StructType.fromDDL(ADDED).fields if details else []
+    own = [f for f in df.schema.fields if f.name not in {a.name for a in added}]
     found = repeats(df, key, text).select(F.col("doc").alias("__mr_doc"), F.col("chunks").alias("__mr_chunks"))
-    joined = df.join(found, F.col(key).cast("long") == F.col("__mr_doc"), "left")
-    own = [f.name for f in df.schema.fields]
+    rows = df.select(*[F.col(f"`{f.name}`") for f in own], F.col(key).cast("long").alias("__mr_own"), row_name(key, text).alias("__mr_row"))
+    joined = rows.join(found, F.col("__mr_row") == F.col("__mr_doc"), "left")
 
     def run(batches):
         for batch in batches:
-            keys, chunks = values(batch, "__mr_doc"), values(batch, "__mr_chunks")
-            rows, texts = [], []
+            keys, chunks = values(batch, "__mr_own"), values(batch, "__mr_chunks")
+            rows, texts, sizes = [], [], []
             for i, t in text_bytes(batch, text):
                 done = cut(t or b"", keys[i], chunks[i], min_words) if chunks[i] else (t, 0, 0, 0, [])
                 rows.append(done[1:])
                 texts.append(None if t is None else done[0])
-            column = pa.array(texts, pa.binary()).cast(pa.string())
-            kept = [column if name == text else batch.column(k) for k, name in enumerate(own)]
+                sizes.append(len(done[0].decode("utf-8", "replace")) if done[3] else None)
+            made = {text: pa.array(texts, pa.binary()).cast(pa.string())}
+            if chars in batch.schema.names:
+                was = batch.column(batch.schema.get_field_index(chars))
+                made[chars] = pc.coalesce(pa.array(sizes, pa.int64()).cast(was.type), was)
+            kept = [made.get(f.name, batch.column(k)) for k, f in enumerate(own)]
             if details:
                 kept += [pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays(kept, [f.name for f in schema.fields])
 
-    added = T.StructType.fromDDL(ADDED).fields if details else []
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in [*df.schema.fields, *added]])
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in [*own, *added]])
     return joined.mapInArrow(run, schema)
 
 
