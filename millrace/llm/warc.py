@@ -13,7 +13,7 @@ manifest row names the file, so a repeated task never mixes with an earlier one.
 Defined results: a null html is an empty payload, and empty payloads are equal to each other; rows that repeat the
 largest page_id are all responses; a row with a null page_id revisits the largest page_id of its group, and is a
 response if there is none; long payloads are streamed in blocks while normalising; an empty table gives an empty
-result; further columns are not read.
+result; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import values
-from millrace.session import materialize, new_shared_path
+from millrace.llm.common import join_facts, text_bytes, values
+from millrace.session import materialize, new_shared_path, remove_shared
 
 BLOCK = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -168,9 +168,9 @@ def roles(pages: DataFrame) -> DataFrame:
     """``pages`` as ``(page, url, html, refers_to)``; ``refers_to`` is null for responses."""
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page"), F.col("url").cast("string").alias("url"), body.alias("html"), F.sha1(F.encode(body, "UTF-8")).alias("sha"))
-    groups = base.groupBy("sha").agg(F.max("page").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1 AND best IS NOT NULL").drop("n")
+    groups = materialize(base.groupBy("sha").agg(F.max("page").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1 AND best IS NOT NULL"))
     refers = F.when(F.col("page").isNull() | (F.col("page") != F.col("best")), F.col("best"))
-    return base.join(groups, "sha", "left").select("page", "url", "html", refers.alias("refers_to"))
+    return join_facts(base, groups, ["sha"], "best", ["page", "url"]).select("page", "url", "html", refers.alias("refers_to"))
 
 
 def write_archives(rows: DataFrame, uri: str, mono_level: int = 1, level: int = 4) -> DataFrame:
@@ -199,10 +199,11 @@ def write_archives(rows: DataFrame, uri: str, mono_level: int = 1, level: int =
             n, z, out, size = n + 1, None, None, 0
 
         for batch in batches:
-            for page, url, html, refers in zip(*(values(batch, c) for c in ("page", "url", "html", "refers_to"))):
+            pages, urls, refer = (values(batch, c) for c in ("page", "url", "refers_to"))
+            for i, html in text_bytes(batch, "html"):
                 if out is None:
                     z, out = zlib.compressobj(mono_level, zlib.DEFLATED, 31), fs.open_output_stream(f"{name}-{n}.mono.gz", compression=None, buffer_size=BLOCK)
-                record = build_record(page, url, html.encode(), refers)
+                record = build_record(pages[i], urls[i], html, refer[i])
                 out.write(z.compress(record))
                 size += len(record)
                 if size >= ARCHIVE_BYTES:
@@ -243,6 +244,11 @@ def read_archives(manifest: DataFrame, uri: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write every page to normalised archives in the shared folder and read them back."""
+    """Write every page to normalised archives in the shared folder and read them back.
+
+    The archives are deleted once what was read is materialized; `write_archives` leaves its archives to the caller.
+    """
     uri = new_shared_path(pages.sparkSession, "warc")
-    return read_archives(write_archives(roles(pages), uri), uri)
+    found = materialize(read_archives(write_archives(roles(pages), uri), uri))
+    remove_shared(pages.sparkSession, uri)
+    return found
