@@ -28,8 +28,9 @@ from millrace.llm.common import text_bytes, values
 #: Fixed value: how byte-level vocabularies cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCAN_LIMIT = 256
-#: Words whose ids a worker keeps; past it the cache starts anew.
+#: Words whose ids a worker keeps, and characters of a word that is kept at all; past the former the cache starts anew.
 CACHE_WORDS = 250_000
+CACHE_CHARS = 64
 #: Characters of a text from which its words are streamed rather than listed.
 STREAM_CHARS = 2_000_000
 NONE = 1 << 60
@@ -51,14 +52,16 @@ def byte_symbols() -> dict[str, int]:
 
 
 class _Words(dict):
-    """Ids by word; a missing word is encoded when asked for."""
+    """Ids by word; a missing word is encoded when asked for, and kept if it is short."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
 
     def __missing__(self, word: str):
-        found = self[word] = self.encode(word.encode())
+        found = self.encode(word.encode())
+        if len(word) <= CACHE_CHARS:
+            self[word] = found
         return found
 
 
