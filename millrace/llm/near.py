@@ -1,9 +1,11 @@
-"""Near-duplicates by Jaccard similarity of word shingles: banded MinHash finds candidates, the sets themselves decide.
+"""The similarity form of the SimHash operator: links by the Jaccard similarity of word shingles.
 
-Texts are compared by their sets of `SHINGLE`-word shingles, hashed to 64 bits. Equal sets are one node. Two nodes are
-candidates where one of `BANDS` bands of `ROWS` MinHash values agrees; a pair at similarity 0.8 does with probability
-0.98. Buckets up to `SMALL` nodes give all their pairs, larger ones a spanning forest of what their signatures make
-likely, so pairs grow with the rows. Every candidate is then verified on the whole sets.
+Texts are compared by their sets of `SHINGLE`-word shingles, hashed to 64 bits. Equal sets are one node. Candidates are the
+pairs that `simhash` links: fingerprints of the sets that share a pigeonhole block and differ in `simhash.MAX_BITS` bits
+at most, all of them. At a similarity of 0.8 fingerprints of 64 bits differ in about ten, which no affordable choice of
+blocks covers, so two nodes are candidates too where one of `BANDS` bands of `ROWS` MinHash values agrees; a pair at 0.8 does
+with probability 0.98. Buckets up to `SMALL` nodes give all their pairs, larger ones a spanning forest of what their
+signatures make likely, so pairs grow with the rows. Every candidate is then verified on the whole sets.
 
 Defined results: as those of `simhash.keep_one`; texts without words are alike.
 """
@@ -49,6 +51,14 @@ def signature(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set, as a signed 64-bit number: a bit is 1 if set in over half the hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(found), 1 << 16):
+        counts += np.unpackbits(found[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(found)).view(np.int64)[0])
+
+
 def name_of(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), 7) - 2**63
 
@@ -58,14 +68,15 @@ def _source(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, fp, sig)`` per row; ``fp`` names the set."""
+    """``(id, fp, sim, sig)`` per row; ``fp`` names the set and ``sim`` is its fingerprint."""
 
     def run(batches):
         for batch in batches:
             sets = [shingles(t) for _, t in text_bytes(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array(values(batch, "id"), pa.int64()), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], ["id", "fp", "sig"])
+            names, sims, sigs = [name_of(s) for s in sets], [fingerprint(s) for s in sets], [signature(s).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(values(batch, "id"), pa.int64()), pa.array(names, pa.int64()), pa.array(sims, pa.int64()), pa.array(sigs, pa.binary())], ["id", "fp", "sim", "sig"])
 
-    return _source(df, key, text).mapInArrow(run, "id long, fp long, sig binary")
+    return _source(df, key, text).mapInArrow(run, "id long, fp long, sim long, sig binary")
 
 
 def sets(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -96,8 +107,15 @@ def bucket_pairs(fp: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """``(a, b)``: distinct pairs of names."""
+def close(nodes: DataFrame) -> DataFrame:
+    """``(a, b)``: names of sets with equal fingerprints, and a spanning forest of the fingerprints that are linked."""
+    sims = materialize(nodes.groupBy(F.col("sim").alias("fp")).agg(F.min("fp").alias("rep")))
+    same = nodes.select("fp", "sim").join(sims.select(F.col("fp").alias("sim"), "rep"), "sim").where("fp <> rep").select(F.least("fp", "rep").alias("a"), F.greatest("fp", "rep").alias("b"))
+    return same.unionByName(simhash.all_links(sims).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")))
+
+
+def banded(nodes: DataFrame) -> DataFrame:
+    """``(a, b)``: names of sets that share a band."""
 
     def keyed(batches):
         for batch in batches:
@@ -129,7 +147,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
             yield of(held)
 
     rows = nodes.select("fp", "sig").mapInArrow(keyed, "key long, fp long, sig binary")
-    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -151,8 +169,8 @@ def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, fp, component_id)`` per row."""
     rows = materialize(signatures(df, key, text))
-    nodes = materialize(rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.min("sig").alias("sig")))
-    pairs = materialize(candidates(nodes))
+    nodes = materialize(rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.min("sim").alias("sim"), F.min("sig").alias("sig")))
+    pairs = materialize(close(nodes).unionByName(banded(nodes)).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     found = materialize(sets(df, key, text).join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("found").alias("found")))
     reps = nodes.select("fp", "rep")
@@ -163,8 +181,3 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         .select("src", "dst")
     )
     return simhash.named_components(rows.select("id", "fp"), reps, edges)
-
-
-def keep_one(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents without those that have a smaller near-duplicate; of rows that share a doc_id one stays."""
-    return simhash.without_copies(df, materialize(components(df, key)), key)

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import text_bytes, values
@@ -191,16 +191,21 @@ def links(keyed: DataFrame, bits: int = MAX_BITS, most: int | None = None) -> Da
     return keyed.repartition("c", "v").sortWithinPartitions("c", "v", "fp").mapInArrow(run, "src long, dst long, c int, v long")
 
 
-def components(fps: DataFrame) -> DataFrame:
-    """``(id, fp, component_id)`` for a table of ``(id, fp)``; ``fps`` is read more than once."""
-    nodes = materialize(fps.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")))
+def all_links(nodes: DataFrame) -> DataFrame:
+    """``(src, dst)``: spanning forests of all links between the nodes ``(fp, rep)``, which are read more than once."""
     choices = plan_blocks(nodes.count())
     keyed = block_keys(nodes, choices)
     found = materialize(links(keyed, most=CROWDED).distinct())
     edges, crowded = found.where("c IS NULL").select("src", "dst"), found.where("c IS NOT NULL").select("c", "v")
     if not crowded.isEmpty():
         edges = edges.unionByName(links(refine(keyed.join(crowded, ["c", "v"], "left_semi"), choices)).select("src", "dst"))
-    return named_components(fps, nodes, edges)
+    return edges
+
+
+def components(fps: DataFrame) -> DataFrame:
+    """``(id, fp, component_id)`` for a table of ``(id, fp)``; ``fps`` is read more than once."""
+    nodes = materialize(fps.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")))
+    return named_components(fps, nodes, all_links(nodes))
 
 
 def named_components(fps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -221,18 +226,20 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents without those that have a smaller near-duplicate; of rows that share a doc_id one stays.
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
+    """The documents without those that have a smaller near-duplicate; of rows that share a doc_id that with the smallest text stays.
 
-    Rows with a null doc_id stay.
+    Near are fingerprints that differ in `MAX_BITS` bits at most, or with ``similar`` the sets of five-word shingles that are
+    at least 0.8 alike, as `near` finds them. Rows with a null doc_id stay.
     """
-    return without_copies(df, components(materialize(fingerprints(df, key))), key)
-
+    from millrace.llm import near
 
-def without_copies(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """`keep_one` for the given ``(id, component_id)``."""
+    found = materialize(near.components(df, key, text)) if similar else components(materialize(fingerprints(df, key, text)))
     gone = found.where("id <> component_id").select(F.col("id").alias("__mr_gone")).distinct()
     kept = df.join(gone, F.col(key).cast("long") == F.col("__mr_gone"), "left_anti")
     if found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty():
         return kept
-    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
+    # A repeated key keeps its row with the smallest text; all but one row a task are dropped before the shuffle.
+    order = Window.partitionBy(key).orderBy(text, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    one = kept.where(F.col(key).isNotNull()).withColumn("__mr_n", F.row_number().over(order)).where("__mr_n = 1").drop("__mr_n")
+    return one.unionByName(kept.where(F.col(key).isNull()))
