@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import BLANKS, let, strip
+
 #: What counts as mathematical reasoning.
 EQUATIONS = r"[a-zA-Z_]\s*=\s*[\d\.\-\+\*/\(\)a-zA-Z\\]+"
 LATEX = r"\\(?:frac|sqrt|sum|int|prod|lim|sin|cos|tan|log|ln|binom|cdot|times|div|pm|mp|leq|geq|neq|approx)\b"
 CALCULATIONS = r"(?m)=\s*[\-]?\d+(?:\.\d+)?(?:\s*$|\s*[,\.])"
-STEPS = (
-    r"(?i)(?:^|\n)\s*(?:step\s*\d+|first|second|third|next|then|therefore|thus|hence|so|finally|consequently|since|because|given\s+that"
-    r"|we\s+(?:know|have|get|find|can|need|see|note))\b"
-)
-KEYWORDS = (
-    r"(?i)\b(?:equation|substitut|simplif|factor|expand|combin|permut|probabilit|triangle|circle|angle|area|volume|perimeter|hypotenuse|quadratic|polynomial"
-    r"|derivative|integral|limit|sequence|series|modulo|remainder|divisible|prime|gcd|lcm|congruent|parallel|perpendicular)\b"
-)
+#: A marker at the start of the text or of a line; blank lines before it are passed over only once.
+STEPS = r"(?i)(?:^\s*+|\n[^\S\n]*+)(?:step\s*\d+|first|second|third|next|then|therefore|thus|hence|so|finally|consequently|since|because|given\s+that|we\s+(?:know|have|get|find|can|need|see|note))\b"
+KEYWORDS = r"(?i)\b(?:equation|substitut|simplif|factor|expand|combin|permut|probabilit|triangle|circle|angle|area|volume|perimeter|hypotenuse|quadratic|polynomial|derivative|integral|limit|sequence|series|modulo|remainder|divisible|prime|gcd|lcm|congruent|parallel|perpendicular)\b"
 RESULTS = r"(?:=\s*[\-]?\d+(?:\.\d+)?(?:/\d+)?|\\frac\{[^}]+\}\{[^}]+\})"
 
 
@@ -24,15 +21,10 @@ def _n(t: Column, pattern: str) -> Column:
     return F.regexp_count(t, F.lit(pattern))
 
 
-def let(value: Column, f) -> Column:
-    """``f(value)`` with the value computed once, however often ``f`` uses it inside other lambdas."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def words(t: Column) -> Column:
     """Words between white space of any kind."""
-    t = F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    t = strip(t)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, BLANKS + "+"))
 
 
 def n_words(t: Column) -> Column:
@@ -80,18 +72,29 @@ def blend(accuracy: Column, form: Column, process: Column, f: float = 0.1, p: fl
 
 def reasoning(t: Column) -> Column:
     """R-10: think block, else what stands before a box, else everything."""
-    before = F.trim(F.regexp_extract(t, r"(?s)^(.*?)\\boxed\{", 1))
-    return F.when(t.rlike("(?s)<think>.*?</think>"), F.trim(F.regexp_extract(t, "(?s)<think>(.*?)</think>", 1))).when(before != "", before).otherwise(F.trim(t))
+    before = strip(F.regexp_extract(t, r"(?s)^(.*?)\\boxed\{", 1))
+    return F.when(t.rlike("(?s)<think>.*?</think>"), strip(F.regexp_extract(t, "(?s)<think>(.*?)</think>", 1))).when(before != "", before).otherwise(strip(t))
+
+
+def paragraphs(t: Column) -> Column:
+    return F.size(F.filter(F.split(t, r"\n\s*\n"), lambda x: strip(x) != ""))
 
 
 def step_count(t: Column) -> Column:
     """R-11."""
-    paragraphs = F.size(F.filter(F.split(t, r"\n\s*\n"), lambda x: F.trim(F.regexp_replace(x, r"\s", "")) != ""))
-    return F.when(t == "", 0).otherwise(F.greatest(_n(t, STEPS), paragraphs, F.lit(1)))
+    return F.when(t == "", 0).otherwise(F.greatest(_n(t, STEPS), paragraphs(t), F.lit(1)))
+
+
+def _math(t: Column) -> Column:
+    return _n(t, EQUATIONS) + _n(t, LATEX) + _n(t, KEYWORDS)
+
+
+def _density(found: Column, n: Column) -> Column:
+    return F.least(F.lit(1.0), found / F.greatest(F.lit(1.0), n / 20))
 
 
 def math_density(t: Column) -> Column:
-    return F.least(F.lit(1.0), (_n(t, EQUATIONS) + _n(t, LATEX) + _n(t, KEYWORDS)) / F.greatest(F.lit(1.0), n_words(t) / 20))
+    return _density(_math(t), n_words(t))
 
 
 def step_structure(t: Column) -> Column:
@@ -106,23 +109,46 @@ def calculation_presence(t: Column) -> Column:
     return F.least(F.lit(1.0), (_n(t, CALCULATIONS) + _n(t, RESULTS)) / 3.0)
 
 
+def _length(n: Column) -> Column:
+    return F.when(n < 50, 0.5 + 0.5 * n / 50.0).when(n > 800, F.greatest(F.lit(0.7), 1 - (n - 800) / 2000.0)).otherwise(1.0)
+
+
 def length_multiplier(t: Column) -> Column:
     """R-13."""
-    n = n_words(t)
-    return F.when(t == "", 0.5).when(n < 50, 0.5 + 0.5 * n / 50.0).when(n > 800, F.greatest(F.lit(0.7), 1 - (n - 800) / 2000.0)).otherwise(1.0)
+    return F.when(t == "", 0.5).otherwise(_length(n_words(t)))
+
+
+def sentences(t: Column) -> Column:
+    return F.filter(F.transform(F.split(t, r"[.!?\n]+"), lambda x: F.lower(strip(x))), lambda x: F.length(x) > 10)
+
+
+def _repetition(t: Column, s: Column, w: Column) -> Column:
+    """R-14 from a text, its sentences and its words in lower case. Word triples are compared by their hashes."""
+    triples = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    share = lambda x: F.size(F.array_distinct(x)) / F.size(x)
+    ratio = F.when(F.size(w) > 20, let(triples(w), share)).otherwise(1.0)
+    return F.when((F.length(t) < 100) | (F.size(s) < 3), 1.0).otherwise(F.greatest(F.lit(0.3), F.least(share(s), ratio)))
 
 
 def repetition_multiplier(t: Column) -> Column:
     """R-14: share of unique sentences or word triples, whichever is smaller; at least 0.3; 1 for short texts."""
-    s = F.filter(F.transform(F.split(t, r"[.!?\n]+"), lambda x: F.lower(F.trim(x))), lambda x: F.length(x) > 10)
-    triples = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    share = lambda x: F.size(F.array_distinct(x)) / F.size(x)
-    ratio = let(words(F.lower(t)), lambda w: F.when(F.size(w) > 20, let(triples(w), share)).otherwise(1.0))
-    return F.when((F.length(t) < 100) | (F.size(s) < 3), 1.0).otherwise(F.greatest(F.lit(0.3), F.least(let(s, share), ratio)))
+    return let(F.struct(sentences(t).alias("s"), words(F.lower(t)).alias("w")), lambda m: _repetition(t, m["s"], m["w"]))
 
 
 def process_reward(t: Column, repetition: bool = True) -> Column:
-    """R-15."""
-    base = 0.30 * math_density(t) + 0.30 * step_structure(t) + 0.20 * logical_flow(t) + 0.20 * calculation_presence(t)
-    out = base * length_multiplier(t)
-    return F.when(t == "", 0.0).otherwise(out * repetition_multiplier(t) if repetition else out)
+    """R-15: the reward of a text's reasoning (R-10). Words, steps and matches are each found once."""
+
+    def measured(r: Column) -> Column:
+        return F.struct(
+            r.alias("r"), words(F.lower(r)).alias("w"), _n(r, STEPS).alias("marks"), paragraphs(r).alias("paras"), _math(r).alias("math"),
+            (_n(r, CALCULATIONS) + _n(r, RESULTS)).alias("calcs"), sentences(r).alias("s"),
+        )
+
+    def blend(m: Column) -> Column:
+        one, n = F.lit(1.0), F.size(m["w"])
+        steps = F.least(one, F.greatest(m["marks"], m["paras"], F.lit(1)) / 5.0)
+        base = 0.30 * _density(m["math"], n) + 0.30 * steps + 0.20 * F.least(one, m["marks"] / 4.0) + 0.20 * F.least(one, m["calcs"] / 3.0)
+        out = base * _length(n)
+        return F.when(m["r"] == "", 0.0).otherwise(out * _repetition(m["r"], m["s"], m["w"]) if repetition else out)
+
+    return let(reasoning(t), lambda r: let(measured(r), blend))

@@ -6,6 +6,21 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space as the str methods of Python see it: the characters, and the same as a class for regular expressions.
+BLANK = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+BLANKS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def strip(t: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.trim(t, F.lit(BLANK))
+
+
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it inside other lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 # ---- boxed answers: unbounded nesting has no regular expression, so these scan braces in Arrow batches
 
 
@@ -63,8 +78,8 @@ def has_boxed(t: Column) -> Column:
     return t.contains("\\boxed{")
 
 
-#: Fixed value: a box with at most two nested levels (S-4).
-BOX_2 = r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
+#: A box with at most two nested levels (S-4). Every repeat is possessive, so long texts cost no stack.
+BOX_2 = r"\\boxed\{([^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+)\}"
 
 
 def last_of(t: Column, pattern: str, group: int = 1) -> Column:
@@ -83,38 +98,43 @@ def boxed_regex_last(t: Column) -> Column:
 
 def answer_cascade(t: Column) -> Column:
     """S-5: box without braces, "The answer is", "Final answer", last line."""
-    lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
-    return F.coalesce(
-        first_of(t, r"\\boxed\{([^}]+)\}"), F.trim(first_of(t, r"(?i)the answer is:?\s*([^\n.]+)")), F.trim(first_of(t, r"(?i)final answer:?\s*([^\n.]+)")), F.trim(F.try_element_at(lines, F.lit(-1)))
-    )
+    asked = [strip(first_of(t, p)) for p in (r"\\boxed\{([^}]+)\}", r"[Tt]he answer is[:\s]+([^\n.]+)", r"[Ff]inal answer[:\s]+([^\n.]+)")]
+    return F.coalesce(*asked, strip(F.substring_index(strip(t), "\n", -1)))
 
 
 def final_answer(t: Column) -> Column:
     """S-6: chat turns and stop tokens cut, then last box or last "Final Answer:" / "The answer is:" line."""
-    tail = F.when(t.contains("<|im_start|>user"), F.regexp_replace(t, r"(?s)^.*?<\|im_start\|>assistant", "<|im_start|>assistant")).when(
-        t.contains("Assistant:"), F.trim(F.element_at(F.split(t, "Assistant:"), -1))
+    tail = F.when(t.contains("<|im_start|>user"), F.regexp_replace(t, r"(?s)\A.*?<\|im_start\|>assistant", "<|im_start|>assistant")).when(
+        t.contains("Assistant:"), strip(F.substring_index(t, "Assistant:", -1))
     ).otherwise(t)
-    for stop in ("</s>", r"<\|im_end\|>", r"<\|endoftext\|>"):
-        tail = F.regexp_replace(tail, f"(?s)\\s*{stop}.*$", "")
-    box = boxed_regex_last(tail)
-    return F.coalesce(F.when(box != "", box), last_of(tail, r"Final Answer:((?:[^<]|<[^<])*?)\n"), last_of(tail, r"The answer is:((?:[^<]|<[^<])*?)\n"))
+    before = lambda stop: lambda x: F.when(x.contains(stop), strip(F.substring_index(x, stop, 1))).otherwise(x)
+    for stop in ("</s>", "<|im_end|>", "<|endoftext|>"):
+        tail = let(tail, before(stop))
+
+    def found(x: Column) -> Column:
+        box = boxed_regex_last(x)
+        # Up to the first line break that does not follow "<"; "<<" ends the search.
+        named = [last_of(x, rf"{name}:((?:[^<\n]|<[^<])*+)\n") for name in ("Final Answer", "The answer is")]
+        return F.coalesce(F.when(box != "", box), *named)
+
+    return let(tail, found)
 
 
 def tag(t: Column, name: str) -> Column:
     """S-7: content of the first ``<name>…</name>``, any case."""
-    return F.trim(first_of(t, f"(?is)<{name}>(.*?)</{name}>"))
+    return strip(first_of(t, f"(?is)<{name}>(.*?)</{name}>"))
 
 
 def tag_last(t: Column, name: str) -> Column:
     """S-8."""
-    return F.trim(last_of(t, f"(?is)<{name}>(.*?)</{name}>"))
+    return strip(last_of(t, f"(?is)<{name}>(.*?)</{name}>"))
 
 
 def tag_tolerant(t: Column, name: str) -> Column:
     """S-9: also an unclosed tag; content before a leaked tag; trailing tags dropped; null when empty."""
     raw = F.coalesce(tag_strict(t, name), first_of(t, f"(?s)<{name}>\\s*(.*?)(?=<[a-zA-Z_]+>|$)"))
-    raw = F.trim(F.when(F.trim(raw).rlike("^<[a-zA-Z_]+>"), F.lit(None)).otherwise(raw))
-    out = F.trim(F.regexp_replace(raw, r"</?[a-zA-Z_]+>\s*$", ""))
+    raw = F.when(~strip(raw).rlike("^<[a-zA-Z_]+>"), strip(raw))
+    out = strip(F.regexp_replace(raw, r"</?[a-zA-Z_]+>\z", ""))
     return F.when(out != "", out)
 
 
@@ -130,13 +150,14 @@ def named_score(t: Column, name: str) -> Column:
 
 def first_json(t: Column, schema: str) -> Column:
     """S-12: the outermost braces parsed, with stray backslashes doubled if that is what keeps them from parsing."""
-    raw = first_of(t, r"(?s)(\{.*\})")
+    first, behind = F.instr(t, "{"), F.instr(F.reverse(t), "}")  # a pattern would begin anew at every brace
+    raw = F.when((first > 0) & (behind > 0) & (F.length(t) - behind + 1 > first), F.substring(t, first, F.length(t) - behind - first + 2))
     mended = F.regexp_replace(raw, r'\\(?!["\\/bfnrtu])', r"\\\\")
     return F.when(F.get_json_object(raw, "$").isNotNull(), F.from_json(raw, schema)).otherwise(F.from_json(mended, schema))
 
 
 def render(template: Column, values: dict[str, Column]) -> Column:
-    """S-13: ``{{ name }}`` filled in; unknown names stay. Values must not hold backslashes or dollar signs unescaped."""
+    """S-13: ``{{ name }}`` filled in, once each; unknown names stay. Give lists and maps through `F.to_json`."""
     for name, v in values.items():
         safe = F.replace(F.replace(v.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
         template = F.regexp_replace(template, F.lit(r"\{\{\s*" + name + r"\s*\}\}"), safe)
@@ -173,42 +194,50 @@ def normalize_b(t: Column, lower: bool = False) -> Column:
 
 
 def normalize_c(t: Column) -> Column:
-    """S-18."""
-    return F.regexp_replace(F.regexp_replace(F.trim(t), r"^\$+|\$+$", ""), r"\s+", " ")
+    """S-18: without white space and dollar signs at the ends; white space collapsed; null as empty."""
+    inner = strip(F.trim(strip(F.coalesce(t, F.lit(""))), F.lit("$")))
+    return F.regexp_replace(inner, BLANKS + "+", " ")
 
 
 def normalize_d(t: Column) -> Column:
     """S-19."""
-    t = F.trim(t)
+    t = strip(t)
     return F.when(F.lower(t) == "wrong", "WRONG").otherwise(F.translate(F.replace(t, F.lit("\\text{"), F.lit("")), "}\\ ", ""))
 
 
 def normalize_e(t: Column) -> Column:
     """S-20."""
-    t = F.regexp_replace(F.replace(F.trim(t), F.lit("$"), F.lit("")), r"\\[a-zA-Z]+", "")
-    return F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
+    t = F.regexp_replace(F.replace(strip(t), F.lit("$"), F.lit("")), r"\\[a-zA-Z]+", "")
+    return F.lower(strip(F.regexp_replace(t, BLANKS + "+", " ")))
+
+
+#: What stands before an answer, and what wraps it, in the order in which they are looked for.
+ANSWER_PREFIXES = ("The answer is:", "The final answer is ", "The final answer is: ", "The answer is ")
+LATEX_MARKS = ("boxed{", "text{", "texttt{")
 
 
 def bbeh_prediction(t: Column) -> Column:
     """S-21: what follows the last answer prefix, without LaTeX wrapping, lower case, first line, no trailing dot."""
-    t = F.trim(F.coalesce(t, F.lit("")))
-    for prefix in ("The answer is:", "The final answer is ", "The final answer is: ", "The answer is "):
-        t = F.when(t.contains(prefix), F.trim(F.substring_index(t, prefix, -1))).otherwise(t)
-    t = F.regexp_replace(t, r"\.$", "")
-    t = F.when(t.startswith("$") & t.endswith("$") & (F.length(t) > 1), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
-    for mark in ("boxed{", "text{", "texttt{"):
-        t = F.when(t.contains(mark) & t.endswith("}"), F.get(F.split(F.substring(t, F.lit(1), F.length(t) - 1), mark.replace("{", r"\{")), F.lit(1))).otherwise(t)
+    no_dot = lambda x: F.regexp_replace(x, r"\.\z", "")
+    behind = lambda prefix: lambda x: F.when(x.contains(prefix), strip(F.substring_index(x, prefix, -1))).otherwise(x)
+    inside = lambda mark: lambda x: F.when(x.contains(mark) & x.endswith("}"), F.get(F.split(F.substring(x, F.lit(1), F.length(x) - 1), mark.replace("{", r"\{")), F.lit(1))).otherwise(x)
+    t = strip(F.coalesce(t, F.lit("")))
+    for prefix in ANSWER_PREFIXES:
+        t = let(t, behind(prefix))
+    t = let(no_dot(t), lambda x: F.when(x.startswith("$") & x.endswith("$") & (F.length(x) > 1), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x))
+    for mark in LATEX_MARKS:
+        t = let(t, inside(mark))
     t = F.replace(F.replace(F.lower(t), F.lit(", "), F.lit(",")), F.lit("**"), F.lit(""))
-    return F.regexp_replace(F.substring_index(t, "\n", 1), r"\.$", "")
+    return no_dot(F.substring_index(t, "\n", 1))
 
 
 def bbeh_reference(t: Column) -> Column:
-    return F.replace(F.lower(F.trim(t)), F.lit(", "), F.lit(","))
+    return F.replace(F.lower(strip(t)), F.lit(", "), F.lit(","))
 
 
 def split_gold(t: Column) -> Column:
     """S-22."""
-    return F.filter(F.transform(F.split(t, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(t, ","), strip), lambda x: x != "")
 
 
 def concept_key(kind: Column, name: Column) -> Column:
@@ -278,12 +307,13 @@ CONCEPT_RULES = [
 
 
 def choice_in_box(t: Column) -> Column:
-    """S-25: a single capital letter in the last box."""
-    return first_of(boxed_regex_last(t), r"\b([A-Z])\b")
+    """S-25: a capital letter standing alone in the last box, in any case; else the whole content."""
+    box = F.upper(strip(boxed_regex_last(t)))
+    return F.coalesce(first_of(box, r"\b([A-Z])\b"), strip(boxed_regex_last(t)))
 
 
 def is_choice(t: Column) -> Column:
-    return F.trim(t).rlike("^[A-Z]$")
+    return strip(t).rlike("^[A-Za-z]$")
 
 
 def option_prediction(t: Column, key: Column, letters: str = "ABCDEFGHIJ") -> Column:
@@ -301,9 +331,21 @@ def content_id(text: Column, index: Column) -> Column:
 
 def active_concepts(t: Column) -> Column:
     """S-29."""
-    return F.filter(F.transform(F.split(t, r"[;|,\n\t]"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(t, r"[;|,\n\t]"), strip), lambda x: x != "")
 
 
 def is_quota_error(t: Column) -> Column:
     """S-30."""
     return F.lower(t).rlike("quota|insufficient|rate limit|429")
+
+
+def ontology_text(domains: dict[str, list[str]]) -> str:
+    """S-27: a static list of concepts as text, a line per domain."""
+    return "\n".join(f"- {domain}: {', '.join(names)}" for domain, names in domains.items())
+
+
+def prompt_parts(text: str) -> tuple[str, str]:
+    """S-31: the ``[SYSTEM]`` and ``[USER]`` parts of a prompt file; without marks the whole text is the user's."""
+    head, mark, user = text.partition("[USER]")
+    system = head.partition("[SYSTEM]")[2] if "[SYSTEM]" in head else ""
+    return (system.strip(), user.strip()) if mark else ("", text.strip())

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import grading, models, rewards, text
 from millrace.operators import advantage, batch, components, dedup, filters, graph, joins, penalty, select, stats, vectors, vote
-from millrace.plans import curation, report_queries  # noqa: F401  registers its own
+from millrace.plans import curation, report_queries, text_queries  # noqa: F401  register their own
 from millrace.plans.registry import query
 from millrace.session import table
 from millrace.streaming import state
@@ -147,13 +147,6 @@ def question_format(s, d):
     return table(s, d, "documents").select("doc_id", filters.question_format_ok(F.col("text")).alias("ok"))
 
 
-@query("boxed_answers")
-def boxed(s, d):
-    rows = [("none",), ("\\boxed{1}",), ("\\boxed{1} \\boxed{\\frac{1}{2}}",), ("\\boxed{1} \\boxed{2",), ("\\boxed{}",), ("\\boxed{a{b{c}}}",)]
-    t = F.col("t")
-    return s.createDataFrame(rows, "t string").select("t", text.boxed_last(t).alias("last"), text.boxed_all(t).alias("every"), text.boxed_first(t).alias("first"), text.boxed_stripped(t).alias("rest"))
-
-
 @query("concept_rules", "SELECT unnest(['Prime Numbers', 'GCD (greatest common divisor)', 'Euler''s theorem', 'sets']) AS name, unnest(['prime number', 'gcd', 'euler''s theorem', 'sets']) AS canonical")
 def concept_rules(s, d):
     rows = [("Prime Numbers",), ("GCD (greatest common divisor)",), ("Euler's theorem",), ("sets",)]
@@ -175,7 +168,19 @@ def length_multiplier(s, d):
     return table(s, d, "documents").select("doc_id", r6(rewards.length_multiplier(F.col("text")), "m"))
 
 
-STEP = rewards.STEPS.replace("'", "''")
+STEP = rewards.STEPS.replace(r"(?:^\s*+|\n[^\S\n]*+)", r"(?:^|\n)\s*")
+#: Texts as documents, every fourth within a think block and every fourth with a box.
+SOLVED = """(SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '<think> ' || text || '</think> so \\boxed{7}' WHEN 1 THEN text || ' = 12. \\boxed{x = 3}' ELSE text END AS text FROM documents)"""
+REASONED = f"""(SELECT doc_id, CASE WHEN regexp_matches(text, '(?s)<think>.*?</think>') THEN trim(regexp_extract(text, '(?s)<think>(.*?)</think>', 1), chr(32) || chr(9) || chr(10) || chr(13))
+WHEN trim(split_part(text, '\\boxed{{', 1), chr(32) || chr(9) || chr(10) || chr(13)) <> '' AND contains(text, '\\boxed{{') THEN trim(split_part(text, '\\boxed{{', 1), chr(32) || chr(9) || chr(10) || chr(13))
+ELSE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) END AS text FROM {SOLVED})"""
+
+
+def solved(s, d):
+    t, k = F.col("text"), F.col("doc_id") % 4
+    return table(s, d, "documents").select("doc_id", F.when(k == 0, F.concat(F.lit("<think> "), t, F.lit("</think> so \\boxed{7}"))).when(k == 1, F.concat(t, F.lit(" = 12. \\boxed{x = 3}"))).otherwise(t).alias("text"))
+
+
 QUALITY = f"""SELECT doc_id, text, len(regexp_extract_all(text, '{STEP}')) AS marks, {W} AS n, len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: regexp_replace(x, '\\s', '', 'g') <> '')) AS paras,
 len(regexp_extract_all(text, '{rewards.EQUATIONS}')) + len(regexp_extract_all(text, '{rewards.LATEX}')) + len(regexp_extract_all(text, '{rewards.KEYWORDS}')) AS math,
 len(regexp_extract_all(text, '{rewards.CALCULATIONS}')) + len(regexp_extract_all(text, '{rewards.RESULTS}')) AS calcs FROM documents WHERE text <> ''"""
@@ -199,11 +204,11 @@ def repetition(s, d):
     return table(s, d, "documents").select("doc_id", r6(rewards.repetition_multiplier(F.col("text")), "m"))
 
 
-@query("process_reward", REPEAT + f""", q AS ({QUALITY})
+@query("process_reward", REPEAT.replace("FROM documents", f"FROM {REASONED}") + f""", q AS ({QUALITY.replace("FROM documents", f"FROM {REASONED}")})
 SELECT doc_id, round((0.3 * least(1.0, math / greatest(1.0, n / 20)) + 0.3 * least(1.0, greatest(marks, paras, 1) / 5) + 0.2 * least(1.0, marks / 4) + 0.2 * least(1.0, calcs / 3))
-* CASE WHEN n < 50 THEN 0.5 + 0.5 * n / 50.0 WHEN n > 800 THEN greatest(0.7, 1 - (n - 800) / 2000.0) ELSE 1 END * m, 6)::DOUBLE AS reward FROM q JOIN m USING (doc_id)""")
+* CASE WHEN n < 50 THEN 0.5 + 0.5 * n / 50.0 WHEN n > 800 THEN greatest(0.7, 1 - (n - 800) / 2000.0) ELSE 1 END * m, 6)::DOUBLE AS reward FROM q JOIN m USING (doc_id) UNION ALL SELECT doc_id, 0 FROM {REASONED} WHERE text = ''""")
 def process(s, d):
-    return table(s, d, "documents").where("text <> ''").select("doc_id", r6(rewards.process_reward(F.col("text")), "reward"))
+    return solved(s, d).select("doc_id", r6(rewards.process_reward(F.col("text")), "reward"))
 
 
 @query("reward_modes", """SELECT event_id, round(least(s, 1 - s), 6) AS m1, round(CASE WHEN s < 0.3 OR s > 0.9 THEN 0 ELSE greatest(0, 1 - abs(s - 0.75) / 0.4) * 1.5 END, 6)::DOUBLE AS m2, CASE WHEN s BETWEEN 0.49 AND 0.99 THEN 1.0 ELSE 0.0 END::DOUBLE AS m5
