@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import normalize_a, normalize_b, split_gold
@@ -40,3 +43,68 @@ def fuzzy(p: Column, r: Column) -> Column:
     brackets = (F.concat(F.lit("["), r, F.lit("]")) == p) | (F.concat(F.lit("["), p, F.lit("]")) == r)
     question = p.endswith("?") & (F.regexp_replace(p, r"\?$", "") == r)
     return F.when(p == r, True).when(bracketed(p), inner(p) == r).when(bracketed(r), inner(r) == p).otherwise(numbers | quotes | brackets | question)
+
+
+def bounded(grade: Callable[[str, str], bool], seconds: float = 10.0):
+    """E-3: an Arrow-batched UDF of a verifier given by the caller: ``"True"``, ``"False"``, ``"TIMED_OUT"`` or ``"FAILED"``.
+
+    A verdict that takes longer than ``seconds`` is given up; its thread is left behind and another takes the next pair.
+    """
+
+    @F.pandas_udf("string")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        import threading
+
+        def one(x, y):
+            said = ["TIMED_OUT"]
+
+            def work():
+                try:
+                    said[0] = str(bool(grade(x, y)))
+                except Exception:  # noqa: BLE001  the verifier's own failures are a verdict
+                    said[0] = "FAILED"
+
+            t = threading.Thread(target=work, daemon=True)
+            t.start()
+            t.join(seconds)
+            return said[0]
+
+        return pd.Series([one(x, y) for x, y in zip(a, b)])
+
+    return run
+
+
+def verified(a: Column, b: Column, grade, seconds: float = 10.0) -> Column:
+    """E-1 with a symbolic verifier: equal by rule, or verified in either direction within the time. The verifier only
+    sees the pairs that the rules leave open."""
+    run = bounded(grade, seconds)
+    open_ = ~F.coalesce(equivalent(a, b), F.lit(False)) & a.isNotNull() & b.isNotNull()
+    left, right = F.when(open_, a), F.when(open_, b)
+    return ~open_ & F.coalesce(equivalent(a, b), F.lit(False)) | (run(F.coalesce(left, F.lit("")), F.coalesce(right, F.lit(""))) == "True") & open_ | (run(F.coalesce(right, F.lit("")), F.coalesce(left, F.lit(""))) == "True") & open_
+
+
+def judged(df: DataFrame, question: Column, given: Column, gold: Column, generate) -> DataFrame:
+    """E-5: ``df`` with ``verdict``: a model's yes or no on whether an answer means the same as the gold one; a failed call is no.
+
+    ``generate`` is a UDF of `models.generator`; equal texts are settled without it.
+    """
+    ask = F.concat(F.lit("Question: "), question, F.lit("\nAnswer: "), given, F.lit("\nReference: "), gold, F.lit("\nReply with Yes or No only."))
+    said = F.lower(F.trim(F.coalesce(generate(ask), F.lit("No")))).startswith("yes")
+    return df.withColumn("verdict", F.when(equivalent(given, gold), True).otherwise(said))
+
+
+def benchmark_scores(df: DataFrame, response: Column, gold: Column, pattern: str, choice: bool = False) -> DataFrame:
+    """E-9: ``df`` with ``extracted`` and ``score`` (0 or 1): letter equality for multiple choice, else equivalence."""
+    from millrace.functions.text import first_of
+
+    out = df.withColumn("extracted", first_of(response, pattern))
+    same = F.col("extracted") == gold.cast("string") if choice else equivalent(F.col("extracted"), gold.cast("string"))
+    return out.withColumn("score", F.coalesce(same, F.lit(False)).cast("double"))
+
+
+def rechecked(df: DataFrame, answer: Column, gold: Column, score: str, generate, below: float = 0.5) -> DataFrame:
+    """E-10: rows with a score under ``below`` are asked again; a yes makes the score 1, a failed call counts as no."""
+    ask = F.concat(F.lit("There is an answer: "), answer, F.lit("\n\nand the ground truth answer is: "), gold, F.lit("\n\nIs the answer correct? Reply with Yes or No only."))
+    low = df.where(F.col(score) < below)
+    again = low.withColumn(score, F.when(F.lower(F.coalesce(generate(ask), F.lit("No"))).contains("yes"), 1.0).otherwise(F.col(score)))
+    return df.where(~(F.col(score) < below) | F.col(score).isNull()).unionByName(again)

@@ -321,7 +321,8 @@ def option_prediction(t: Column, key: Column, letters: str = "ABCDEFGHIJ") -> Co
     out = F.when(F.lit(False), "")
     for x in letters:
         out = out.when(t.contains(x), x)
-    return out.otherwise(F.char(65 + F.pmod(F.xxhash64(key), F.lit(len(letters)))))
+    drawn = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % len(letters)
+    return out.otherwise(F.substring(F.lit(letters), (drawn + 1).cast("int"), F.lit(1)))
 
 
 def content_id(text: Column, index: Column) -> Column:

@@ -25,8 +25,36 @@ def leave_one_out(df: DataFrame, group: str, value: str) -> DataFrame:
 def discounted(rewards: Column, gamma: float) -> Column:
     """W-3 on an array: the reverse scan ``r_t + gamma * next``."""
     seed = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out"))
-    step = lambda acc, r: F.struct((r + gamma * acc["run"]).alias("run"), F.concat(F.array(r + gamma * acc["run"]), acc["out"]).alias("out"))
-    return F.aggregate(F.reverse(rewards), seed, step, lambda acc: acc["out"])
+    step = lambda acc, r: F.struct((r + gamma * acc["run"]).alias("run"), F.array_append(acc["out"], r + gamma * acc["run"]).alias("out"))
+    return F.reverse(F.aggregate(F.reverse(rewards), seed, step, lambda acc: acc["out"]))
+
+
+def masked_returns(rewards: Column, mask: Column, gamma: float) -> Column:
+    """W-3 with the mask: ``r_t + gamma * next``, where what is carried on is 0 behind a masked position."""
+    steps = F.reverse(F.zip_with(rewards, mask, lambda r, m: F.struct(r.cast("double").alias("r"), m.cast("double").alias("m"))))
+    seed = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out"))
+    ret = lambda acc, x: x["r"] + gamma * acc["run"]
+    step = lambda acc, x: F.struct((ret(acc, x) * x["m"]).alias("run"), F.array_append(acc["out"], ret(acc, x)).alias("out"))
+    return F.reverse(F.aggregate(steps, seed, step, lambda acc: acc["out"]))
+
+
+def reinforce_plus_plus(df: DataFrame, rewards: str, mask: str, gamma: float = 1.0, eps: float = 1e-8) -> DataFrame:
+    """``df`` with ``returns`` and ``advantage``: masked returns whitened over all unmasked positions of the table, by sums alone."""
+    out = df.withColumn("returns", masked_returns(F.col(rewards), F.col(mask), gamma))
+    flat = out.select(F.explode(F.filter(F.zip_with("returns", mask, lambda r, m: F.when(m != 0, r)), lambda x: x.isNotNull())).alias("x"))
+    sums = F.broadcast(flat.agg(F.avg("x").alias("__mr_mean"), F.sqrt(F.var_samp("x") + eps).alias("__mr_std")))  # one row
+    whitened = F.zip_with("returns", mask, lambda r, m: (r - F.col("__mr_mean")) / F.col("__mr_std"))
+    return out.crossJoin(sums).withColumn("advantage", whitened).drop("__mr_mean", "__mr_std")
+
+
+def kl_full(log_p: Column, log_q: Column) -> Column:
+    """W-6 "full": the sum of ``q * (log q - log p)`` over a position's whole distribution."""
+    return F.aggregate(F.zip_with(log_p, log_q, lambda p, q: F.exp(q) * (q - p)), F.lit(0.0), lambda s, x: s + x)
+
+
+def kl_penalized(score: Column, kl_value: Column, coefficient: float) -> Column:
+    """W-6: a token's reward less its weighted divergence."""
+    return score - coefficient * kl_value
 
 
 def gae(df: DataFrame, group: str, order: list, reward: str, value: str, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
@@ -73,8 +101,10 @@ def response_mask(ids: Column, end: int) -> Column:
 
 
 def position_ids(mask: Column) -> Column:
-    """W-9: ``max(cumulative sum - 1, 0)``."""
-    return F.transform(F.sequence(F.lit(1), F.size(mask)), lambda n: F.greatest(F.lit(0), F.aggregate(F.slice(mask, 1, n), F.lit(0), lambda s, x: s + x.cast("int")) - 1))
+    """W-9: ``max(cumulative sum - 1, 0)``, in one pass."""
+    seed = F.struct(F.lit(0).alias("run"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, x: F.struct((acc["run"] + x.cast("int")).alias("run"), F.array_append(acc["out"], F.greatest(F.lit(0), acc["run"] + x.cast("int") - 1)).alias("out"))
+    return F.aggregate(mask, seed, step, lambda acc: acc["out"])
 
 
 def adaptive_kl(kls: Column, start: float, target: float, horizon: float, batch: int) -> Column:
@@ -93,8 +123,8 @@ def warmup_cosine(step: Column, warmup: int, total: int, floor: float = 0.0, cyc
     return F.when(step < warmup, step / float(max(1, warmup))).otherwise(floor + (1 - floor) * wave)
 
 
-#: O-128: estimators by name.
-ESTIMATORS = {"grpo": z_score, "rloo": leave_one_out}
+#: O-128: names that `by_name` knows.
+ESTIMATORS = ("gae", "grpo", "reinforce_plus_plus", "remax", "rloo")
 
 
 def minus_baseline(value: Column, baseline: Column) -> Column:
@@ -119,4 +149,6 @@ def by_name(df: DataFrame, kind: str, group: str, value: str, **more) -> DataFra
         return df.withColumn("advantage", minus_baseline(F.col(value), F.col(more["baseline"])))
     if kind == "gae":
         return gae(df, group, more["order"], value, more["value"], more.get("gamma", 0.99), more.get("lam", 0.95))
-    raise ValueError(f"no estimator is named {kind}")
+    if kind == "reinforce_plus_plus":
+        return reinforce_plus_plus(df, value, more["mask"], more.get("gamma", 1.0))
+    raise ValueError(f"no estimator is named {kind}; there are {', '.join(ESTIMATORS)}")

@@ -15,10 +15,11 @@ MAX_GROUP = 200_000
 
 
 def lexical(df: DataFrame, text: str, order: str) -> DataFrame:
-    """O-48: the first row of every normalized text. The key is hashed for the shuffle, and minima combine before it."""
-    keyed = df.withColumn("__k", F.sha2(dedup_key(F.coalesce(F.col(text), F.lit(""))), 256))
-    first = keyed.groupBy("__k").agg(F.min(order).alias("__first"))
-    return keyed.join(first, (keyed["__k"] == first["__k"]) & (keyed[order] == first["__first"]), "left_semi").drop("__k")
+    """O-48: the first row of every normalized text; ``order`` names rows. The key is hashed for the shuffle, minima combine
+    before it, and only the names of the first rows are joined with the texts."""
+    key = F.sha2(dedup_key(F.coalesce(F.col(text), F.lit(""))), 256)
+    first = df.groupBy(key.alias("__k")).agg(F.min(order).alias("__first")).select("__first")
+    return df.join(first, F.col(order) == F.col("__first"), "left_semi")
 
 
 def lexical_groups(df: DataFrame, text: str, order: str) -> DataFrame:
@@ -57,6 +58,48 @@ def against_accepted(df: DataFrame, accepted: DataFrame, key: str, vector: str,
     return pairs.withColumn("duplicate", F.coalesce(F.col("max_similarity") >= threshold, F.lit(False)))
 
 
+def against_growing(df: DataFrame, key: str, vector: str, block: str, threshold: float = 0.92, accepted: DataFrame | None = None) -> DataFrame:
+    """O-49: ``(key, block, duplicate)`` in key order: a row is a duplicate if it is at least ``threshold`` alike to an accepted
+    row of its block, given or accepted before it. Vectors of ``accepted`` are kept in the block, whose rows are bounded."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) > MAX_GROUP:
+            raise ValueError(f"block {rows['c'].iloc[0]} has {len(rows)} rows; split blocks to at most {MAX_GROUP}")
+        rows = rows.sort_values(["new", "k"], ignore_index=True)
+        x, again = _unit(rows["v"]), np.zeros(len(rows), bool)
+        for i in range(len(rows)):
+            if not again[i]:
+                behind = np.arange(len(rows)) > i
+                again |= behind & rows["new"].to_numpy() & (x @ x[i] >= threshold)
+        new = rows["new"].to_numpy()
+        return pd.DataFrame({key: rows["k"][new], block: rows["c"][new], "duplicate": again[new]})
+
+    t = dict(df.dtypes)
+    cols = lambda d, new: d.select(F.col(block).alias("c"), F.col(key).alias("k"), F.col(vector).alias("v"), F.lit(new).alias("new"))
+    rows = cols(df, True) if accepted is None else cols(df, True).unionByName(cols(accepted, False))
+    return rows.groupBy("c").applyInPandas(run, f"{key} {t[key]}, {block} {t[block]}, duplicate boolean")
+
+
+def top_neighbours(df: DataFrame, key: str, vector: str, block: str, k: int = 10) -> DataFrame:
+    """T-3: ``(key, neighbour, similarity, rank)``: the ``k`` most similar other rows of each row's block; ties by key."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) > MAX_GROUP:
+            raise ValueError(f"block has {len(rows)} rows; split blocks to at most {MAX_GROUP}")
+        rows = rows.sort_values("k", ignore_index=True)
+        x, keys, out, most = _unit(rows["v"]), rows["k"].to_numpy(), [], min(k, len(rows) - 1)
+        for at in range(0, len(rows) if most > 0 else 0, 1024):
+            s = x[at : at + 1024] @ x.T
+            s[np.arange(len(s)), at + np.arange(len(s))] = -np.inf
+            top = np.argsort(-s, axis=1, kind="stable")[:, :most]
+            n = len(s)
+            out.append(pd.DataFrame({key: np.repeat(keys[at : at + n], most), "neighbour": keys[top.ravel()], "similarity": np.take_along_axis(s, top, 1).ravel(), "rank": np.tile(np.arange(1, most + 1), n)}))
+        return pd.concat(out) if out else pd.DataFrame({key: [], "neighbour": [], "similarity": [], "rank": []})
+
+    kind = dict(df.dtypes)[key]
+    return df.select(F.col(block).alias("c"), F.col(key).alias("k"), F.col(vector).alias("v")).groupBy("c").applyInPandas(run, f"{key} {kind}, neighbour {kind}, similarity double, rank int")
+
+
 def similar_pairs(df: DataFrame, key: str, vector: str, block: str, threshold: float) -> DataFrame:
     """``(src, dst, similarity)`` above the threshold within blocks. Blocks are chosen by the caller and must be bounded."""
     from millrace.operators.vectors import cosine
@@ -87,3 +130,27 @@ def first_in(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def clean_names(counts: DataFrame, name: str, count: str, rules, groups=None, merges: DataFrame | None = None) -> DataFrame:
+    """O-52: ``(name, canonical)`` of every name, by three passes with counts summed again at each: rules, then components of
+    similar names (``groups`` makes ``(node, component)`` from the names left), each under its most frequent name, then
+    ``merges (name, canonical)`` that a model gave."""
+    from millrace.functions.text import apply_rules
+    from millrace.session import materialize
+
+    named = materialize(counts.select(F.col(name), F.col(count).alias("__n"), apply_rules(F.col(name), rules).alias("canonical")))
+    if groups is not None:
+        left = named.groupBy("canonical").agg(F.sum("__n").alias("__n"))
+        found = groups(left.select(F.col("canonical").alias(name))).join(left, F.col("node") == F.col("canonical"))
+        best = canonical(found, "component", "node", "__n").withColumnRenamed("canonical", "__best")
+        mapping = found.join(best, "component").select(F.col("node").alias("__from"), "__best")
+        named = named.join(mapping, F.col("canonical") == F.col("__from"), "left").select(name, "__n", F.coalesce("__best", "canonical").alias("canonical"))
+    if merges is not None:
+        m = merges.select(F.col(name).alias("__from"), F.col("canonical").alias("__to"))
+        named = named.join(m, F.col("canonical") == F.col("__from"), "left").select(name, "__n", F.coalesce("__to", "canonical").alias("canonical"))
+    return named.select(name, F.col("__n").alias(count), "canonical")
+
+
+def reduction(cleaned: DataFrame, name: str) -> DataFrame:
+    """O-52: names before and after, and the share that is gone."""
+    out = cleaned.agg(F.count_distinct(name).alias("names"), F.count_distinct("canonical").alias("canonical_names"))
+    return out.withColumn("reduction", F.coalesce(1 - F.try_divide("canonical_names", "names"), F.lit(0.0)))

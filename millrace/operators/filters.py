@@ -19,6 +19,11 @@ def band_or_all(df: DataFrame, value: str, low: float = 0.3, high: float = 1.0)
     return df.crossJoin(hits).where(inside | (F.col("__hits") == 0)).drop("__hits")
 
 
+def unprocessed(df: DataFrame, score: str = "score") -> DataFrame:
+    """O-23: the rows whose score is 0."""
+    return df.where(F.col(score) == 0)
+
+
 def ungradable(question: Column, answer: Column) -> Column:
     """O-24."""
     q = F.lower(question)

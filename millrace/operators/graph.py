@@ -81,3 +81,47 @@ def bundles(sets: DataFrame, key: str, items: str, edges: DataFrame, size: int =
     joined = picked.join(near.select(F.col(here).alias("__mr_at"), F.col(there).alias("__mr_to")), last == F.col("__mr_at"), "left")
     swapped = F.concat(F.slice("__mr_p", F.lit(1), F.size("__mr_p") - 1), F.array(F.coalesce("__mr_to", last)))
     return joined.select(key, F.array_distinct(swapped).alias(items))
+
+
+def walk(starts: DataFrame, node: str, edges: DataFrame, hops: str | int, seed: int = 0) -> DataFrame:
+    """``starts`` with ``reached``: the end of a walk of as many steps as ``hops`` says, each to a neighbour drawn for the walk
+    by hash of its key columns, step and neighbour; null where a node has none. Walks that stand on one node draw from one
+    row of candidates each, so the fan-out of a step is a node's degree and is reduced before the next."""
+    keys = [c for c in starts.columns if c != node]
+    most = hops if isinstance(hops, int) else 3
+    out = starts.withColumn("reached", F.col(node))
+    if not isinstance(hops, int):
+        keys = [c for c in keys if c != hops]
+    near = edges.select(F.col("src").alias("__mr_at"), F.col("dst").alias("__mr_to"))
+    for step in range(1, most + 1):
+        go = F.lit(True) if isinstance(hops, int) else F.col(hops) >= step
+        cand = out.where(go & F.col("reached").isNotNull()).join(near, F.col("reached") == F.col("__mr_at"))
+        drawn = cand.groupBy(*keys).agg(F.min_by("__mr_to", F.xxhash64(*keys, F.lit(seed), F.lit(step), "__mr_to")).alias("__mr_next"))
+        stays = F.lit(False) if isinstance(hops, int) else F.col(hops) < step
+        out = out.join(drawn, keys, "left").withColumn("reached", F.when(stays, F.col("reached")).otherwise(F.col("__mr_next"))).drop("__mr_next")
+    return out
+
+
+#: Shares of one, two and three steps in mixed mode.
+HOP_RATIOS = (0.5, 0.3, 0.2)
+HOP_MODES = {"explicit": 1, "implicit_2hop": 2, "implicit_3hop": 3}
+
+
+def specs(sets: DataFrame, key: str, items: str, edges: DataFrame, size: int = 4, mode: str = "mixed", ratios=HOP_RATIOS, seed: int = 0) -> DataFrame:
+    """G-6: ``(key, items, hop_mode)``: up to ``size`` items of every set drawn by hash, one of which, drawn likewise, is swapped for
+    a node one, two or three steps away. Ratios of the mixed mode are normalized; if all are 0, they are even."""
+    from millrace.operators.select import hash_uniform
+
+    total = sum(ratios)
+    shares = [r / total for r in ratios] if total > 0 else [1 / 3] * 3
+    u = hash_uniform(key, F.lit("mode"), seed=seed)
+    hops = F.when(u < shares[0], 1).when(u < shares[0] + shares[1], 2).otherwise(3) if mode == "mixed" else F.lit(HOP_MODES.get(mode, 1))
+    order = F.array_sort(F.transform(items, lambda x: F.struct(F.xxhash64(F.lit(seed), F.col(key), x).alias("h"), x.alias("x"))))
+    picked = sets.select(key, F.slice(F.transform(order, lambda s: s["x"]), 1, size).alias("__mr_p")).where(F.size("__mr_p") > 0)
+    at = (F.floor(hash_uniform(key, F.lit("place"), seed=seed) * F.size("__mr_p")) + 1).cast("int")
+    picked = picked.select(key, "__mr_p", at.alias("__mr_i"), hops.alias("__mr_hops"))
+    there = walk(picked.select(key, "__mr_hops", F.element_at("__mr_p", F.col("__mr_i")).alias("node")), "node", edges, "__mr_hops", seed)
+    joined = picked.join(there.select(key, "reached"), key)
+    swapped = F.transform("__mr_p", lambda x, i: F.when((i + 1 == F.col("__mr_i")) & F.col("reached").isNotNull(), F.col("reached")).otherwise(x))
+    named = F.element_at(F.array(*[F.lit(n) for n in HOP_MODES]), F.col("__mr_hops"))
+    return joined.select(key, swapped.alias(items), F.when(F.col("reached").isNotNull(), named).otherwise(F.lit(mode)).alias("hop_mode"))

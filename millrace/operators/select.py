@@ -144,3 +144,20 @@ def partition_batches(df: DataFrame, batch: str, row: str, length: str, k: int)
         return pd.DataFrame({batch: rows[batch], row: rows[row], "part": part})
 
     return df.select(batch, row, length).groupBy(batch).applyInPandas(run, f"{batch} long, {row} long, part long")
+
+
+def budget_batches(df: DataFrame, batch: str, row: str, length: str, budget: int) -> DataFrame:
+    """O-125: ``(batch, row, part, position)``: every step's rows in ``ceil(tokens / budget)`` balanced parts; ``position`` is a row's place
+    in the new order (by part), so sorting by row undoes it."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(row, ignore_index=True)
+        parts = micro_batches(rows[length].tolist(), budget)
+        order = [i for p in parts for i in p]
+        part, position = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
+        position[order] = np.arange(len(rows))
+        for p, members in enumerate(parts):
+            part[members] = p
+        return pd.DataFrame({batch: rows[batch], row: rows[row], "part": part, "position": position})
+
+    return df.select(batch, row, length).groupBy(batch).applyInPandas(run, f"{batch} long, {row} long, part long, position long")

@@ -123,3 +123,33 @@ def masked(df: DataFrame, group: str, value: Column, mask: Column) -> DataFrame:
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """A-29: mean, maximum and minimum of each metric."""
     return df.agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("max", F.max), ("min", F.min))])
+
+
+def reward_counts(df: DataFrame, reward: str, near: float = 1e-6) -> DataFrame:
+    """R-4: how many rewards are 1, 0, -1 (within ``near``) and other."""
+    r = F.col(reward)
+    hits = [F.coalesce(F.abs(r - x) < near, F.lit(False)) for x in (1.0, 0.0, -1.0)]
+    named = zip(("reward_1", "reward_0", "reward_neg1"), hits)
+    return df.agg(*[F.count_if(h).alias(n) for n, h in named], F.count_if(~(hits[0] | hits[1] | hits[2])).alias("reward_other"), F.count(F.lit(1)).alias("total"))
+
+
+def step_log(df: DataFrame, step: str, cluster: str, score: str) -> DataFrame:
+    """A-22: a row per step: rows, and their counts and mean scores by cluster."""
+    by = df.groupBy(step, cluster).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("m"))
+    entry = F.sort_array(F.collect_list(F.struct(F.col(cluster).alias("k"), "n", "m")))
+    out = by.groupBy(step).agg(F.sum("n").alias("num_questions"), entry.alias("e"))
+    pick = lambda name: F.map_from_entries(F.transform("e", lambda x: F.struct(x["k"], x[name])))
+    return out.select(step, "num_questions", pick("n").alias("distribution"), pick("m").alias("avg_scores"))
+
+
+def adaptive_histogram(df: DataFrame, value: str, most: int = 50) -> DataFrame:
+    """A-14: equal bins over the observed range, as many as there are distinct values but ``most`` at most."""
+    bins = F.least(F.lit(most), F.greatest(F.lit(1), F.count_distinct(value)))
+    edge = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), bins.alias("bins"))
+    at = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")), F.col("bins") - 1))
+    return df.where(F.col(value).isNotNull()).crossJoin(edge).groupBy(at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def worst(report: DataFrame, cluster: str, n: int = 10) -> DataFrame:
+    """A-8: the clusters with the lowest match rate."""
+    return report.orderBy("match_rate", F.desc("total"), cluster).limit(n)

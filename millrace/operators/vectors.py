@@ -132,3 +132,20 @@ def diversity_bonus(mode: int, eligible: Column, rarity: Column, batch: Column,
     parts = [w * c for w, c in zip(weights, (rarity, batch, within))][: mode - 1]
     total = rarity if mode == 5 else sum(parts[1:], parts[0]) * (F.lit(1.0) if scale is None else scale)
     return F.when(eligible, total).otherwise(0.0)
+
+
+def diversity_score(df: DataFrame, cluster: str, text: str, counts: DataFrame, weight: float = 0.5) -> DataFrame:
+    """O-46c: ``df`` with ``diversity_score``, the weighted rarity of its cluster by the given counts, which stay as they are;
+    0 for blank texts and unknown clusters."""
+    from millrace.functions.text import strip
+
+    rare = rarity(counts).select(F.col("cluster_id").alias("__c"), F.col("rarity").alias("__r"))
+    score = F.when(strip(F.col(text)) != "", weight * F.col("__r"))
+    return df.join(rare, F.col(cluster) == F.col("__c"), "left").withColumn("diversity_score", F.coalesce(score, F.lit(0.0))).drop("__c", "__r")
+
+
+def vector_moments(df: DataFrame, vector: str) -> DataFrame:
+    """A-7: ``(position, mean, variance)`` over all vectors, the population variance."""
+    parts = df.select(F.posexplode(vector).alias("position", "x"))
+    x = F.col("x").cast("double")
+    return parts.groupBy("position").agg(F.avg(x).alias("mean"), F.var_pop(x).alias("variance"))

@@ -14,14 +14,13 @@ def majority(df: DataFrame, group: str, answer: Column, order: list, denominator
     """``(group, answer, votes, n, score)`` per group: V-1 (non_empty), V-2 (all), V-3 (``empty_is_class``).
 
     Two aggregations: counts by answer combine before the shuffle, so a group with many answers costs no more.
-    ``order`` gives the arrival order; its smallest value per answer breaks ties.
+    ``order`` gives the arrival order; its smallest value per answer breaks ties. For V-5 give the answer in lower case.
     """
     rows = df.select(F.col(group), answer.alias("answer"), F.struct(*order).alias("at"))
     blank = F.coalesce(F.trim("answer") == "", F.lit(True))
     counted = rows.where(F.lit(True) if empty_is_class else ~blank).groupBy(group, "answer").agg(F.count(F.lit(1)).alias("votes"), F.min("at").alias("at"))
-    best = counted.groupBy(group).agg(F.sum("votes").alias("n"), F.max("votes").alias("votes"))
-    first = counted.join(best.select(group, "n", F.col("votes").alias("top")), group).where(F.col("votes") == F.col("top"))
-    won = first.groupBy(group).agg(F.min_by("answer", "at").alias("answer"), F.first("votes").alias("votes"), F.first("n").alias("n"))
+    rank = F.struct((-F.col("votes")).alias("v"), "at")
+    won = counted.groupBy(group).agg(F.min_by("answer", rank).alias("answer"), F.max("votes").alias("votes"), F.sum("votes").alias("n"))
     if denominator == "all":
         won = won.drop("n").join(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group)
     score = F.col("votes") / F.col("n")
@@ -75,3 +74,39 @@ def upsert(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
     marked = new.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__n_{c}") for c in new.columns if c != key], F.lit(True).alias("__hit"))
     cols = [F.when(F.col("__hit"), F.col(f"__n_{c}")).otherwise(F.col(c)).alias(c) if c in new.columns and c != key else F.col(c) for c in base.columns]
     return base.join(marked, F.col(key) == F.col("__k"), "left").select(*cols)
+
+
+def agreement(df: DataFrame, group: str, answer: Column, own: Column, order: list) -> DataFrame:
+    """V-4: the majority per group and how many of its answers equal the questioner's own, by stripped text or as numbers.
+
+    Groups without an answer give a row of zeros.
+    """
+    from millrace.functions.grading import rational
+    from millrace.functions.text import strip
+
+    rows = df.select("*", strip(answer).alias("__a"), strip(own).alias("__own"))
+    won = majority(rows, group, F.col("__a"), order)
+    same = (F.col("__a") == F.col("__own")) | F.coalesce(F.abs(rational(F.col("__a")) - rational(F.col("__own"))) < 1e-6, F.lit(False))
+    agreed = rows.groupBy(group).agg(F.count_if((F.col("__a") != "") & same).alias("agreed"))
+    out = agreed.join(won, group, "left")
+    n = F.coalesce("n", F.lit(0))
+    return out.select(
+        group, "answer", F.coalesce("votes", F.lit(0)).alias("votes"), n.alias("n"), F.coalesce("score", F.lit(0.0)).alias("score"), "agreed", F.coalesce(F.try_divide("agreed", n), F.lit(0.0)).alias("agreement")
+    )
+
+
+def difficulty(df: DataFrame, group: str, answer: Column, gold: Column, order: list) -> DataFrame:
+    """V-6: ``(group, p_succ, rollouts, correct, modal_answer)``.
+
+    With a gold answer, the share of rollouts that are right; without, the share of the modal answer among all rollouts.
+    A tie goes to the answer seen first.
+    """
+    from millrace.functions.grading import correct
+
+    rows = df.select("*", F.coalesce(answer, F.lit("")).alias("__a"), F.coalesce(gold, F.lit("")).alias("__gold"))
+    right = (F.col("__gold") != "") & F.coalesce(correct(F.col("__a"), F.col("__gold")), F.lit(False))
+    counted = rows.groupBy(group).agg(F.max("__gold").alias("gold"), F.count(F.lit(1)).alias("rollouts"), F.count_if(right).alias("correct"))
+    mode = majority(rows, group, F.col("__a"), order).select(group, "answer", "votes")
+    out = counted.join(mode, group, "left")
+    share = F.when(F.col("gold") != "", F.col("correct") / F.col("rollouts")).otherwise(F.coalesce("votes", F.lit(0)) / F.col("rollouts"))
+    return out.select(group, share.alias("p_succ"), "rollouts", "correct", F.when(F.col("gold") != "", "").otherwise(F.coalesce("answer", F.lit(""))).alias("modal_answer"))

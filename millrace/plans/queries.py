@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import grading, models, rewards, text
 from millrace.operators import advantage, batch, components, dedup, filters, graph, joins, penalty, select, stats, vectors, vote
-from millrace.plans import curation, report_queries, text_queries  # noqa: F401  register their own
+from millrace.plans import curation, more_queries, report_queries, text_queries  # noqa: F401  register their own
 from millrace.plans.registry import query
 from millrace.session import table
 from millrace.streaming import state
@@ -147,15 +147,10 @@ def question_format(s, d):
     return table(s, d, "documents").select("doc_id", filters.question_format_ok(F.col("text")).alias("ok"))
 
 
-@query("concept_rules", "SELECT unnest(['Prime Numbers', 'GCD (greatest common divisor)', 'Euler''s theorem', 'sets']) AS name, unnest(['prime number', 'gcd', 'euler''s theorem', 'sets']) AS canonical")
-def concept_rules(s, d):
-    rows = [("Prime Numbers",), ("GCD (greatest common divisor)",), ("Euler's theorem",), ("sets",)]
-    return s.createDataFrame(rows, "name string").select("name", text.apply_rules(F.col("name"), text.CONCEPT_RULES).alias("canonical"))
-
-
-@query("option_prediction", "SELECT doc_id, regexp_extract_all(text, '[A-J]').list_sort()[1] AS letter FROM documents WHERE regexp_matches(text, '[A-J]')")
+@query("option_prediction", "SELECT doc_id, CASE WHEN regexp_matches(t, '[A-J]') THEN regexp_extract_all(t, '[A-J]').list_sort()[1] ELSE chr((65 + ('0x' || substr(md5('' || doc_id), 1, 8))::BIGINT % 10)::INT) END AS letter FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lower(text) ELSE text END AS t FROM documents)")
 def option_prediction(s, d):
-    return table(s, d, "documents").where(F.col("text").rlike("[A-J]")).select("doc_id", text.option_prediction(F.col("text"), F.col("doc_id")).alias("letter"))
+    t = F.when(F.col("doc_id") % 2 == 0, F.lower("text")).otherwise(F.col("text"))
+    return table(s, d, "documents").select("doc_id", text.option_prediction(t, F.col("doc_id")).alias("letter"))
 
 
 # ---- rewards over documents
@@ -226,9 +221,11 @@ def band(s, d):
     return filters.score_band(table(s, d, "documents").select("doc_id", "n_chars", "source"), 500, 2000, "n_chars", answer="source").select("doc_id", "n_chars")
 
 
-@query("band_or_all", "SELECT event_id FROM events WHERE value BETWEEN 1e9 AND 2e9 OR NOT EXISTS (SELECT 1 FROM events WHERE value BETWEEN 1e9 AND 2e9)")
+@query("band_or_all", "SELECT 'all' AS kind, event_id FROM events UNION ALL SELECT 'band', event_id FROM events WHERE value BETWEEN 10 AND 20")
 def band_or_all(s, d):
-    return filters.band_or_all(table(s, d, "events"), "value", 1e9, 2e9).select("event_id")
+    e = table(s, d, "events")
+    kinds = {"all": filters.band_or_all(e, "value", 1e9, 2e9), "band": filters.band_or_all(e, "value", 10, 20)}
+    return kinds["all"].select(F.lit("all").alias("kind"), "event_id").unionByName(kinds["band"].select(F.lit("band").alias("kind"), "event_id"))
 
 
 @query("reject_cascade", """WITH k AS (SELECT doc_id, text, source, row_number() OVER (PARTITION BY regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[^\\p{L}\\p{N}_\\s]', '', 'g') ORDER BY doc_id) AS r FROM documents)
@@ -318,11 +315,6 @@ def cluster_accuracy(s, d):
     return stats.cluster_accuracy(rows, "cluster_id", F.col("label") == F.col("cluster_id")).select("clusters", r6(F.col("mean_accuracy"), "mean_accuracy"), r6(F.col("var_accuracy"), "var_accuracy"))
 
 
-@query("greedy_dedup")
-def greedy(s, d):
-    return dedup.greedy_in_cluster(table(s, d, "embeddings"), "label", "vec_id", "embedding", 0.3)
-
-
 @query("similarity_components", """WITH RECURSIVE e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.35),
 r(n, m) AS (SELECT u, u FROM e UNION SELECT e.v, r.m FROM r JOIN e ON r.n = e.u) SELECT n AS node, min(m) AS component FROM r GROUP BY n""")
 def similarity_components(s, d):
@@ -383,11 +375,10 @@ def bleu(s, d):
     return penalty.share_penalty(turns, "batch", ["conv_id", "turn", "copy"], "text")
 
 
-@query("mock_generation", "SELECT item_id, CAST(s AS INTEGER) AS sample FROM benchmark, range(3) r(s)")
+@query("mock_generation", "SELECT item_id, CAST(s AS INTEGER) AS sample, 'Therefore \\boxed{' || ('0x' || substr(md5(text || '#' || s), 1, 8))::BIGINT % 7 || '}' AS reply FROM benchmark, range(3) r(s)")
 def mock(s, d):
     g = models.generator()
-    out = models.fan_out(table(s, d, "benchmark"), 3).withColumn("reply", g(F.concat_ws("#", "text", "sample")))
-    return out.where(F.col("reply").isNotNull()).select("item_id", "sample")
+    return models.fan_out(table(s, d, "benchmark"), 3).withColumn("reply", g(F.concat_ws("#", "text", "sample"))).select("item_id", "sample", "reply")
 
 
 # ---- statistics
@@ -595,16 +586,12 @@ def positional(s, d):
     return batch.zip_join(table(s, d, "region").select(F.col("r_regionkey").alias("row"), "r_name"), table(s, d, "nation").select(F.col("n_nationkey").alias("row"), "n_name"), "row").select("r_name", "n_name")
 
 
-@query("split_list", "SELECT n_nationkey::BIGINT AS n_nationkey, ntile(4) OVER (ORDER BY n_nationkey)::BIGINT AS part FROM nation")
-def split_list(s, d):
-    return batch.split_list(table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey")), 4, ["n_nationkey"]).withColumn("part", F.col("part").cast("long"))
-
-
-@query("resume_antijoin", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("resume_antijoin", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)")
 def resume(s, d):
     from millrace.sources.writers import remaining
 
-    return remaining(table(s, d, "customer").select("c_custkey"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    done = table(s, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return remaining(table(s, d, "customer").select("c_custkey"), done, "c_custkey")
 
 
 @query("leftjoin_fallback", "SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), 'doc-' || d.doc_id) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")

@@ -225,14 +225,6 @@ def diversity(s, d):
     return known.select("event_id", *[r6(vectors.diversity_bonus(m, c("s") >= 0.5, c("rarity"), c("u"), c("w"), zone), f"m{m}") for m in range(1, 6)])
 
 
-@query("concept_clean", "WITH c AS (SELECT source AS name, count(*) AS n FROM documents GROUP BY 1), m AS (SELECT CASE WHEN name < 'm' THEN 'low' ELSE name END AS name, n FROM c) SELECT name, sum(n)::BIGINT AS n FROM m GROUP BY 1")
-def concept_clean(s, d):
-    counts = table(s, d, "documents").groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    clean = counts.withColumn("name", text.apply_rules(F.col("name"), ()))
-    mapping = clean.where(F.col("name") < "m").select("name", F.lit("low").alias("canonical"))
-    return dedup.remap_counts(clean, mapping, "name", "n")
-
-
 # ---- sets and graphs (sets: event types of a user)
 
 

@@ -59,21 +59,52 @@ def pool(frames: dict[str, DataFrame]) -> DataFrame:
     return out.where(F.col("problem").isNotNull() & F.col("score").isNotNull() & (F.trim("answer") != "") & (F.col("answer") != "None"))
 
 
+#: Bytes of a matrix file that a task reads.
+MATRIX_BYTES = 64 << 20
+
+
 def read_matrix(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """O-10: raw little-endian 4-byte floats as ``(index, vector)``; the row count follows from the file's size."""
+    """O-10: raw little-endian 4-byte floats as ``(path, index, vector)``; the row count follows from a file's size.
+
+    ``path`` is a URI of a file or folder that all executors see. Files are read by byte ranges, so none needs to fit a task.
+    """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.fs as pafs
 
-    def run(batches):
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                m = np.frombuffer(content, "<f4")
-                m = m[: len(m) // dim * dim].reshape(-1, dim)
-                for at in range(0, len(m), 4096):
-                    part = m[at : at + 4096]
-                    yield pd.DataFrame({"path": name, "index": np.arange(at, at + len(part)), "vector": list(part)})
+    sizes = spark.read.format("binaryFile").load(path).select("path", "length")  # the contents are pruned
+    step = max(1, MATRIX_BYTES // (4 * dim))
+    rows = (F.col("length") / (4 * dim)).cast("long")
+    ranges = sizes.where(rows > 0).select("path", rows.alias("rows"), F.explode(F.sequence(F.lit(0).cast("long"), rows - 1, F.lit(step).cast("long"))).alias("first"))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, index long, vector array<float>")
+    def run(batches):
+        for batch in batches:
+            for name, n, first in zip(*(c.to_pylist() for c in batch.columns)):
+                fs, base = pafs.FileSystem.from_uri(name)
+                with fs.open_input_file(base) as f:
+                    f.seek(4 * dim * first)
+                    for at in range(first, min(first + step, n), 4096):
+                        m = np.frombuffer(f.read(4 * dim * (min(at + 4096, first + step, n) - at)), "<f4")
+                        vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(m) + 1, dim, dtype=np.int32)), pa.array(m))
+                        k = len(m) // dim
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * k), pa.array(np.arange(at, at + k)), vectors], ["path", "index", "vector"])
+
+    return ranges.repartition("path", "first").mapInArrow(run, "path string, index long, vector array<float>")
+
+
+def load_centroids(source: DataFrame | str, spark: SparkSession, column: str = "centroid", dim: int | None = None) -> DataFrame:
+    """O-16b: ``(cluster_id, centroid)`` from the named column, else from a column ``centroids`` (an array of vectors), else, for a
+    path without either, from a raw matrix of ``dim`` columns."""
+    if isinstance(source, str):
+        if dim is not None:
+            return read_matrix(spark, source, dim).select(F.col("index").alias("cluster_id"), F.col("vector").alias("centroid"))
+        source = spark.read.parquet(source)
+    if column in source.columns:
+        return source.select("cluster_id", F.col(column).alias("centroid")).where(F.col("centroid").isNotNull())
+    if "centroids" in source.columns:
+        first = source.where(F.col("centroids").isNotNull()).limit(1)
+        return first.select(F.posexplode("centroids").alias("cluster_id", "centroid")).withColumn("cluster_id", F.col("cluster_id").cast("long"))
+    raise ValueError(f"neither {column} nor centroids is a column")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -103,3 +134,53 @@ def seeds(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     from millrace.operators.select import shuffled_head
 
     return shuffled_head(df, key, n, seed)
+
+
+def seed_rows(df: DataFrame, problem: str = "problem", solution: str = "solution") -> DataFrame:
+    """O-12: ``(problem, answer)``, the answer being the last box of the solution, which rows without one lack."""
+    from millrace.functions.text import boxed_last
+
+    return df.select(F.col(problem).alias("problem"), boxed_last(F.coalesce(F.col(solution), F.lit(""))).alias("answer"))
+
+
+def hash_answer_benchmark(df: DataFrame, question: str = "question", answer: str = "answer", repeat: int = 1) -> DataFrame:
+    """O-8: sets whose answer stands behind the last ``#### ``."""
+    return benchmark_rows(df, question, final_hash_answer(F.col(answer)), repeat)
+
+
+def first_answer_benchmark(df: DataFrame, question: str = "question", answers: str = "final_answer", repeat: int = 1) -> DataFrame:
+    """O-8: sets with a list of answers, of which the first counts."""
+    return benchmark_rows(df, question, F.get(F.col(answers), F.lit(0)), repeat)
+
+
+def option_benchmark(df: DataFrame, key: str, question: str, options: str, answer_index: str, n: int = 1000, seed: int = 0) -> DataFrame:
+    """O-8: the first ``n`` of a seeded shuffle of a multiple-choice set, as lettered prompts."""
+    from millrace.operators.select import shuffled_head
+
+    return option_rows(shuffled_head(df, key, n, seed), question, options, answer_index)
+
+
+def corpus(frames: dict[str, DataFrame], text: str, least: int = 1, most: int = 10_000) -> DataFrame:
+    """O-9: the union of several sources as ``(text, kind, level, source)``; texts outside the bounds of length are dropped."""
+    parts = [df.select(F.col(text).alias("text"), coalesce_keys(df, ("type", "subject")).cast("string").alias("kind"), coalesce_keys(df, ("level", "difficulty")).cast("string").alias("level"), F.lit(name).alias("source")) for name, df in frames.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where(F.length("text").between(least, most))
+
+
+def corpus_counts(df: DataFrame) -> DataFrame:
+    """O-9: rows by source, kind and level."""
+    return df.groupBy("source", "kind", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+def read_limited(spark: SparkSession, paths: list[str], schema: str, limit: int) -> DataFrame:
+    """O-11: JSON lines of several sources, one after the other, up to a limit over all; lines that do not parse are skipped."""
+    parts, out = [], None
+    for i, p in enumerate(paths):
+        bad = "__mr_bad"
+        rows = spark.read.schema(f"{schema}, {bad} string").option("columnNameOfCorruptRecord", bad).json(p)
+        parts.append(rows.where(F.col(bad).isNull()).drop(bad).withColumn("source_number", F.lit(i)))
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return out.orderBy("source_number").limit(limit)

@@ -57,13 +57,44 @@ def ema_stream(stream: DataFrame, cluster: str, state_path: str, checkpoint: str
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
-def first_seen_stream(stream: DataFrame, key: Column) -> DataFrame:
-    """ST-3: the first row of each key; state is kept per key."""
-    return stream.withColumn("__key", key).dropDuplicates(["__key"]).drop("__key")
+def restore_counts(spark, path: str, k: int, alpha: float = 1.0) -> DataFrame:
+    """ST-2: the state of the last step in a folder of JSON logs ``{"step", "cluster_stats": {"cluster_counts": [...]}}``; ones times
+    alpha if there is no log or the last one has another number of clusters."""
+    from pyspark.sql.utils import AnalysisException
+
+    schema = "step long, cluster_stats struct<cluster_counts: array<double>>"
+    try:
+        logs = spark.read.schema(schema).option("multiLine", True).json(path)
+        last = logs.where("step IS NOT NULL").agg(F.max_by("cluster_stats.cluster_counts", "step").alias("c"))
+        found = last.select(F.posexplode("c").alias("cluster_id", "count")).withColumn("cluster_id", F.col("cluster_id").cast("long"))
+        return ema_initial(spark, k, alpha, found)
+    except AnalysisException:
+        return ema_initial(spark, k, alpha)
+
+
+def step_entry(state: DataFrame, step: int) -> DataFrame:
+    """ST-5: one log row of a state, as `restore_counts` reads it."""
+    held = state.agg(F.sort_array(F.collect_list(F.struct("cluster_id", "count"))).alias("s"), F.sum("count").alias("t"), F.count(F.lit(1)).alias("n"))
+    counts = F.transform("s", lambda x: x["count"])
+    stats = F.struct(counts.alias("cluster_counts"), F.transform("s", lambda x: x["count"] / F.col("t")).alias("cluster_probabilities"), F.col("t").alias("total_count"), F.col("n").alias("num_clusters"))
+    return held.select(F.lit(step).cast("long").alias("step"), stats.alias("cluster_stats"))
 
 
-def quota_stream(stream: DataFrame, cluster: str, key: str, cap: int) -> DataFrame:
-    """ST-4: accept rows while their cluster has fewer than ``cap``; one counter of state per cluster."""
+def first_seen_stream(stream: DataFrame, key: Column, event: str | None = None, delay: str | None = None) -> DataFrame:
+    """ST-3: the first row of each key. State is kept per key; with an event time and a delay, a key's state goes when the
+    watermark has passed it, and a later row of the key counts as new."""
+    keyed = stream.withColumn("__key", key)
+    if event is None:
+        return keyed.dropDuplicates(["__key"]).drop("__key")
+    return keyed.withWatermark(event, delay or "0 seconds").dropDuplicatesWithinWatermark(["__key"]).drop("__key")
+
+
+def quota_stream(stream: DataFrame, cluster: str, key: str, cap: int, order: str | None = None) -> DataFrame:
+    """ST-4: accept rows while their cluster has fewer than ``cap``; one counter of state per cluster.
+
+    Within a batch rows are taken in the order of a column (the key if none is named), however they are cut into frames; of a
+    batch no more rows are held than there is room.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -71,11 +102,13 @@ def quota_stream(stream: DataFrame, cluster: str, key: str, cap: int) -> DataFra
 
     def accept(group, frames, state: GroupState):
         used = state.get[0] if state.exists else 0
+        room, held = max(0, cap - used), None
         for pdf in frames:
-            rows = pdf.sort_values("k").head(max(0, cap - used))
-            used += len(rows)
-            yield pd.DataFrame({cluster: rows["c"], key: rows["k"]})
-        state.update((used,))
+            rows = pdf if held is None else pd.concat([held, pdf])
+            held = rows.sort_values(["o", "k"], kind="stable").head(room)
+        if held is not None:
+            state.update((used + len(held),))
+            yield pd.DataFrame({cluster: held["c"], key: held["k"]})
 
-    rows = stream.select(F.col(cluster).alias("c"), F.col(key).alias("k"))
+    rows = stream.select(F.col(cluster).alias("c"), F.col(key).alias("k"), F.col(order or key).alias("o"))
     return rows.groupBy("c").applyInPandasWithState(accept, f"{cluster} {t[cluster]}, {key} {t[key]}", "used long", "append", GroupStateTimeout.NoTimeout)
