@@ -36,6 +36,8 @@ from millrace.session import materialize, new_shared_path
 LENGTH = 2048
 END_ID = 50256
 PAD_ID = 50256
+#: How an id is written: 16 bits hold every id of this vocabulary.
+ID_TYPE = "<u2"
 WINDOW_TOKENS = 2_000_000
 
 
@@ -58,6 +60,8 @@ def encoder(source: str):
         _ENCODERS.clear()
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in source.splitlines() if line.strip())}
         _ENCODERS[key] = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        if _ENCODERS[key].max_token_value > np.iinfo(ID_TYPE).max:
+            raise ValueError(f"ids of {ID_TYPE} do not hold this vocabulary")
     return _ENCODERS[key]
 
 
@@ -139,7 +143,7 @@ def pack_window(name: str, docs: list[tuple[int | None, np.ndarray]], length: in
     pieces = [(key, at, ids[at : at + length]) for key, ids in docs for at in range(0, len(ids), length)]
     out: dict[str, list] = {f.name: [] for f in ARROW}
     for n, row in enumerate(best_fit([len(p[2]) for p in pieces], length)):
-        ids = np.full(length, pad, "<i4")
+        ids = np.full(length, pad, ID_TYPE)
         cut = np.cumsum([0, *(len(pieces[i][2]) for i in row)])
         for i, a, b in zip(row, cut, cut[1:]):
             ids[a:b] = pieces[i][2]
@@ -172,7 +176,7 @@ def windows(df: DataFrame, key: str, text: str, length: int, vocabulary: str | N
 
 
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, vocabulary: str | None = None, window_tokens: int = WINDOW_TOKENS) -> DataFrame:
-    """One row per packed sequence. ``input_ids`` are ``length`` little-endian 32-bit ids, padded behind ``n_tokens``."""
+    """One row per packed sequence. ``input_ids`` are ``length`` ids as `ID_TYPE`, padded behind ``n_tokens``."""
     source, packed = windows(df, key, text, length, vocabulary, window_tokens)
 
     def run(batches):
@@ -196,7 +200,7 @@ def unpack(rows) -> dict[int | None, list[int]]:
     """Ids by document from collected packed rows (for checks of round trips)."""
     found: dict[int | None, list[tuple[int, list[int]]]] = {}
     for r in rows:
-        ids = np.frombuffer(r["input_ids"], "<i4")
+        ids = np.frombuffer(r["input_ids"], ID_TYPE)
         for doc, at, a, b in zip(r["doc_ids"], r["doc_offsets"], r["cu_seqlens"], r["cu_seqlens"][1:]):
             found.setdefault(doc, []).append((at, ids[a:b].tolist()))
     return {k: [x for _, part in sorted(v) for x in part] for k, v in found.items()}
@@ -217,7 +221,7 @@ def write(df: DataFrame, uri: str, key: str = "doc_id", text: str = "text", leng
         fs.create_dir(base, recursive=True)
         for n, rows in packed(batches, task.partitionId()):
             name = f"{base}/part-{task.partitionId():06d}-{n:06d}-{task.taskAttemptId()}"
-            index = {"window": values(rows, "window")[0], "shape": [len(rows), length], "dtype": "<i4"} | {k: values(rows, k) for k in INDEX}
+            index = {"window": values(rows, "window")[0], "shape": [len(rows), length], "dtype": ID_TYPE} | {k: values(rows, k) for k in INDEX}
             with fs.open_output_stream(f"{name}.bin") as f:
                 for raw in rows.column("input_ids"):
                     f.write(raw.as_buffer())
@@ -238,9 +242,10 @@ def read(manifest: DataFrame, uri: str) -> DataFrame:
                 with fs.open_input_stream(file.removesuffix(".bin") + ".json") as f:
                     index = json.loads(f.read())
                 n, length = index["shape"]
+                size = np.dtype(index["dtype"]).itemsize * length
                 with fs.open_input_stream(file) as f:
-                    raw = [f.read(4 * length) for _ in range(n)]
-                if any(len(r) != 4 * length for r in raw):
+                    raw = [f.read(size) for _ in range(n)]
+                if any(len(r) != size for r in raw):
                     raise EOFError(f"{file} ends early")
                 rows = {"window": [index["window"]] * n, "row": list(range(n)), "input_ids": raw, "ids_sha256": [hashlib.sha256(r).hexdigest() for r in raw]} | {k: index[k] for k in INDEX}
                 yield pa.RecordBatch.from_pydict(rows, schema=ARROW)

@@ -485,7 +485,7 @@ def test_packing_is_lossless(spark, docs, library, tmp_path, none, odd):
     assert back == sorted(rows) and sum(r["rows"] for r in manifest.collect()) == len(rows) and manifest.count() > 3
     for r in manifest.collect():
         index = json.load(open(r["file"].removesuffix("bin") + "json"))
-        m = np.fromfile(r["file"], "<i4").reshape(index["shape"])
+        m = np.fromfile(r["file"], index["dtype"]).reshape(index["shape"])
         assert len(m) == r["rows"] == len(index["cu_seqlens"])
     assert sum(len(r["doc_ids"]) for r in packing.pack(odd, length=10**6).collect()) == len(ODD) and not packing.pack(none).collect()
     got = packing.report(odd).collect()
