@@ -66,6 +66,11 @@ def shuffled_head(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
+def log_samples(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """T-8: the rows that a step logs: the first ``n`` of a shuffle that depends on keys and seed only, whatever their order was."""
+    return shuffled_head(df, key, n, seed)
+
+
 def split_by_hash(df: DataFrame, key: str, test_share: float = 0.1, seed: int = 0) -> DataFrame:
     """T-10 / O-13: a stable train/test mark."""
     return df.withColumn("split", F.when(md5_uniform(F.col(key), seed) < test_share, "test").otherwise("train"))

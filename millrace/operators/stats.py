@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,12 +35,15 @@ def entropy(counts: DataFrame, size: str = "size", k: int | None = None, base: f
 def gini(counts: DataFrame, size: str = "size", top: int = 10) -> DataFrame:
     """A-5: Gini coefficient, share of the ``top`` largest and ratio of the largest to the smallest.
 
-    The cluster table is ranked in one window; it has a row per cluster, not per record.
+    Sizes are ranked by ranges (`batch.numbered`); equal sizes may stand in any order.
     """
-    ranked = counts.select(F.col(size).cast("double").alias("s"), F.row_number().over(Window.orderBy(size)).alias("i"), F.row_number().over(Window.orderBy(F.desc(size))).alias("d"))
+    from millrace.operators.batch import numbered
+
+    ranked, n = numbered(counts.select(F.col(size).cast("double").alias("s")), ["s"], "i"), float(counts.count())
+    i, s = F.col("i") + 1, F.col("s")
     return ranked.agg(
-        (2 * F.sum(F.col("i") * F.col("s")) / (F.count(F.lit(1)) * F.sum("s")) - (F.count(F.lit(1)) + 1) / F.count(F.lit(1))).alias("gini"),
-        (F.sum(F.when(F.col("d") <= top, F.col("s")).otherwise(0.0)) / F.sum("s")).alias("top_share"), (F.max("s") / F.min("s")).alias("max_min_ratio"),
+        (2 * F.sum(i * s) / (n * F.sum(s)) - (n + 1) / n).alias("gini") if n else F.lit(None).cast("double").alias("gini"),
+        (F.sum(F.when(i > n - top, s).otherwise(0.0)) / F.sum(s)).alias("top_share"), (F.max(s) / F.min(s)).alias("max_min_ratio"),
     )
 
 

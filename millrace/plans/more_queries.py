@@ -199,17 +199,17 @@ def concept_rules(s, d):
 # ---- advantages
 
 
-@query("reinforce_plus_plus", """WITH e AS (SELECT user_id, value / 100 AS v, CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events),
+@query("reinforce_plus_plus", """WITH e AS (SELECT user_id, sqrt(abs(value) + 0.1) AS v, CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events),
 g AS (SELECT *, coalesce(sum(1 - m) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM e),
 k AS (SELECT a.user_id, a.t, a.m, sum(b.v * pow(0.9, b.t - a.t)) AS ret FROM g a JOIN e b ON a.user_id = b.user_id AND b.t >= a.t AND NOT EXISTS (SELECT 1 FROM e z WHERE z.user_id = a.user_id AND z.m = 0 AND z.t > a.t AND z.t <= b.t) GROUP BY ALL)
-SELECT user_id, t, round(ret, 6) AS returns, round((ret - avg(ret) FILTER (m = 1) OVER ()) / sqrt(var_samp(ret) FILTER (m = 1) OVER () + 1e-8), 5) AS advantage FROM k""")
+SELECT user_id, t, round(ret, 4) AS returns, round((ret - avg(ret) FILTER (m = 1) OVER ()) / sqrt(var_samp(ret) FILTER (m = 1) OVER () + 1e-8), 4) AS advantage FROM k""")
 def reinforce(s, d):
-    e = table(s, d, "events").select("user_id", "ts", "event_id", (F.col("value") / 100).alias("v"), F.when(F.col("event_type") == "view", 0).otherwise(1).alias("m"))
+    e = table(s, d, "events").select("user_id", "ts", "event_id", F.sqrt(F.abs("value") + 0.1).alias("v"), F.when(F.col("event_type") == "view", 0).otherwise(1).alias("m"))
     seq = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "v", "m"))).alias("s"))
     seq = seq.select("user_id", F.transform("s", lambda x: x["v"]).alias("v"), F.transform("s", lambda x: x["m"]).alias("m"))
     out = advantage.by_name(seq, "reinforce_plus_plus", "user_id", "v", mask="m", gamma=0.9)
     rows = out.select("user_id", F.posexplode(F.arrays_zip("returns", "advantage")).alias("i", "z"))
-    return rows.select("user_id", (F.col("i") + 1).cast("long").alias("t"), F.round("z.returns", 6).alias("returns"), F.round("z.advantage", 5).alias("advantage"))
+    return rows.select("user_id", (F.col("i") + 1).cast("long").alias("t"), F.round("z.returns", 4).alias("returns"), F.round("z.advantage", 4).alias("advantage"))
 
 
 @query("value_loss", "SELECT event_id, round(0.5 * greatest(pow(v - t, 2), pow(greatest(o - 0.5, least(o + 0.5, v)) - t, 2)), 6) AS loss, pow(greatest(o - 0.5, least(o + 0.5, v)) - t, 2) > pow(v - t, 2) AS clipped, round(t - 0.1 * (v - o), 6) AS penalized FROM (SELECT event_id, value AS v, value * 0.9 AS o, value % 3 AS t FROM events)")
@@ -302,6 +302,11 @@ def vector_comparison(s, d):
     return e.join(b, "vec_id").select("vec_id", *[r6(c, n) for n, c in out.items()])
 
 
+@query("log_samples", "SELECT doc_id, text FROM documents ORDER BY md5('5:' || doc_id), doc_id LIMIT 25")
+def log_samples(s, d):
+    return select.log_samples(table(s, d, "documents").select("doc_id", "text"), "doc_id", 25, seed=5)
+
+
 # ---- state
 
 

@@ -49,3 +49,22 @@ def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def write_json(df: DataFrame, path: str) -> None:
     """O-3 / O-15."""
     df.write.mode("overwrite").json(path)
+
+
+def log_metrics(metrics: DataFrame, path: str, step: int) -> None:
+    """O-21: one step's metrics as JSON under ``step=...``; logging a step again replaces it. What shows them reads that folder."""
+    metrics.write.mode("overwrite").json(f"{path}/step={step}")
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """All steps logged, with their ``step``."""
+    return spark.read.json(path)
+
+
+def save_batch(df: DataFrame, path: str) -> None:
+    """O-122: a batch as Parquet, read again by `load_batch`. A data frame is built from records or columns by ``createDataFrame``."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def load_batch(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

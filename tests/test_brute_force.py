@@ -312,6 +312,23 @@ def test_text_readers(spark, tmp_path):
     assert [(r["answer"], r["copy"]) for r in first] == [("1", 1), ("1", 2)]
 
 
+def test_writers(spark, tmp_path):
+    scored = spark.createDataFrame([("a", 0.5, "1"), ("b", 0.9, "2"), ("c", 0.5, "None")], "problem string, score double, answer string")
+    writers.publish(scored, f"{tmp_path}/solver", f"{tmp_path}/all")
+    assert [r["problem"] for r in spark.read.parquet(f"{tmp_path}/solver").collect()] == ["a"] and spark.read.parquet(f"{tmp_path}/all").count() == 3
+    writers.save_clusters(spark.createDataFrame([(1, 0), (2, 0)], "id long, cluster_id long"), spark.createDataFrame([(0, [1.0])], "cluster_id long, centroid array<double>"), f"{tmp_path}/c")
+    found = writers.load_clusters(spark, f"{tmp_path}/c")
+    assert found["stats"].first()["count"] == 2 and found["assignments"].count() == 2
+    for step, loss in ((1, 0.5), (2, 0.25), (2, 0.125)):
+        writers.log_metrics(spark.createDataFrame([(loss,)], "loss double"), f"{tmp_path}/m", step)
+    assert sorted((r["step"], r["loss"]) for r in writers.read_metrics(spark, f"{tmp_path}/m").collect()) == [(1, 0.5), (2, 0.125)]
+    writers.save_batch(scored, f"{tmp_path}/b")
+    assert sorted(writers.load_batch(spark, f"{tmp_path}/b").collect()) == sorted(scored.collect())
+    named = spark.createDataFrame([("a", "train"), ("b", "test")], "x string, split string")
+    named.write.parquet(f"{tmp_path}/named")
+    assert [r["x"] for r in readers.read_named(spark, f"{tmp_path}/named@test").collect()] == ["b"]
+
+
 # ---- interfaces
 
 
