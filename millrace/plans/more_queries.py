@@ -310,9 +310,9 @@ def log_samples(s, d):
 # ---- state
 
 
-@query("ema_steps", "WITH b AS (SELECT event_id // 1000 AS b, user_id % 16 AS c, count(*) AS n FROM events WHERE event_id < 3000 GROUP BY ALL) SELECT k AS cluster_id, round(pow(0.9, 3) + coalesce((SELECT sum(0.1 * pow(0.9, 2 - b) * n) FROM b WHERE c = k), 0), 6) AS count FROM (SELECT unnest(range(20)) AS k)")
+@query("ema_steps", "WITH b AS (SELECT event_id % 3 AS b, user_id % 16 AS c, count(*) AS n FROM events GROUP BY ALL) SELECT k AS cluster_id, round(pow(0.9, 3) + coalesce((SELECT sum(0.1 * pow(0.9, 2 - b) * n) FROM b WHERE c = k), 0), 6) AS count FROM (SELECT unnest(range(20)) AS k)")
 def ema_steps(s, d):
-    e = table(s, d, "events").select(F.floor(F.col("event_id") / 1000).alias("b"), (F.col("user_id") % 16).alias("c"))
+    e = table(s, d, "events").select((F.col("event_id") % 3).alias("b"), (F.col("user_id") % 16).alias("c"))
     now = state.ema_initial(s, 20)
     for b in range(3):
         now = state.ema_step(now, e.where(F.col("b") == b), "c")
