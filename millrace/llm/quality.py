@@ -82,11 +82,17 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES, "") != "")
     stops = sorted({w for v in STOP_WORDS.values() for w in v})
     stop_count = F.size(F.filter(words, lambda w: F.lower(w).isin(stops)))
-    # Word windows: number them, sort by content, keep those with an equal neighbour; each covers three words.
-    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(
-        F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("t"), i.alias("i"))))
+    # Word windows: sort them by hash and number; each that has an equal neighbour covers three words. Equal hashes are only
+    # taken for equal windows where the words agree.
+    window = lambda i: [F.get(words, i + k) for k in range(3)]
+    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(*window(i)).alias("h"), i.alias("i"))))
+
+    def alike(x: Column, y: Column) -> Column:
+        agree = [a == b for a, b in zip(window(x["i"]), window(y["i"]))]
+        return (x["h"] == y["h"]) & agree[0] & agree[1] & agree[2]
+
     same = F.filter(
-        F.transform(tri, lambda x, k: F.when((F.get(tri, k - 1)["t"] == x["t"]) | (F.get(tri, k + 1)["t"] == x["t"]), x["i"])),
+        F.transform(tri, lambda x, k: F.when(alike(x, F.get(tri, k - 1)) | alike(x, F.get(tri, k + 1)), x["i"])),
         lambda x: x.isNotNull(),
     )
     at = F.col(P + "at")
@@ -104,9 +110,9 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         P + "n_dup_lines": (F.size(kept_lines) - F.size(F.array_distinct(kept_lines))).cast("long"),
         P + "n_bang_words": _count(t, "!?").cast("long") / 2,
         P + "n_stop_words": stop_count.cast("long"),
-        P + "tri": F.coalesce(F.sort_array(windows), F.array().cast("array<struct<t:string,i:int>>")),
-    }).drop(P + "words", P + "lines")
-    out = out.withColumn(P + "at", F.sort_array(same)).drop(P + "tri")
+        P + "tri": F.coalesce(F.sort_array(windows), F.array().cast("array<struct<h:bigint,i:int>>")),
+    }).drop(P + "lines")
+    out = out.withColumn(P + "at", F.sort_array(same)).drop(P + "tri", P + "words")
     return out.withColumn(P + "n_repeat_words", covered.cast("long")).drop(P + "at")
 
 
