@@ -119,7 +119,8 @@ def group_forest(fp: np.ndarray, rep: np.ndarray, bits: int = MAX_BITS) -> list[
 def masks(spans: list[tuple[int, int]], bits: int = MAX_BITS) -> list[int]:
     """The longer keys that refine a key: its own blocks with every choice of half of ``2 * bits`` blocks of the other bits.
 
-    A linked pair under the key differs in ``bits`` of the other bits at most and so agrees in one of these choices.
+    A linked pair under the key differs in ``bits`` of the other bits at most and so agrees in one of these choices. With
+    `MAX_BITS` a longer key fixes 36 bits or more.
     """
     own = sum(((1 << width) - 1) << offset for offset, width in spans)
     rest = np.array_split([i for i in range(64) if not own >> i & 1], 2 * bits)
