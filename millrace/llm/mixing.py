@@ -34,6 +34,8 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 FRACTION = 0.6
 #: Size up to which the fitted table of cells is broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Cells up to which, counted, the rounds run in one task each; more are dealt out.
+ONE_TASK_CELLS = 50_000
 P = "__mr_x_"
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -84,16 +86,21 @@ def fit(weighed: DataFrame, rounds: int = ROUNDS, powers: dict[str, float] | Non
             share = raised.select(P + d, (F.col("g") / raised.agg(F.sum("g")).scalar()).alias(P + "goal_" + d))
         cells = cells.join(share, P + d)
     cells = materialize(cells)
+    if cells.count() <= ONE_TASK_CELLS:  # one partition: the sums and joins of the rounds need no exchange
+        cells = cells.coalesce(1)
     gap = None
     for _ in range(rounds if tolerance is None else MOST_ROUNDS):
-        before, gap = gap, 0.0
+        before, step = gap, cells.withColumn(P + "gap", F.lit(0.0))
         for d in DIMENSIONS:
-            now = cells.groupBy(P + d).agg(F.sum(F.col(P + "mass") * F.col(P + "factor")).alias(P + "now"))
-            cells = cells.join(now, P + d).withColumn(P + "gap", F.abs(F.col(P + "now") - F.col(P + "goal_" + d)))
-            cells = materialize(cells.withColumn(P + "factor", F.col(P + "factor") * F.col(P + "goal_" + d) / F.col(P + "now")).drop(P + "now"))
-            if tolerance is not None:
-                gap = max(gap, cells.agg(F.max(P + "gap")).first()[0] or 0.0)
-            cells = cells.drop(P + "gap")
+            now = step.groupBy(P + d).agg(F.sum(F.col(P + "mass") * F.col(P + "factor")).alias(P + "now"))
+            goal = F.col(P + "goal_" + d)
+            step = step.join(now, P + d).withColumns({
+                P + "gap": F.greatest(F.col(P + "gap"), F.abs(F.col(P + "now") - goal)), P + "factor": F.col(P + "factor") * goal / F.col(P + "now"),
+            }).drop(P + "now")
+        cells = materialize(step)  # lineage is cut once a round
+        if tolerance is not None:
+            gap = cells.agg(F.max(P + "gap")).first()[0] or 0.0
+        cells = cells.drop(P + "gap")
         if tolerance is not None and (gap <= tolerance or before is not None and 0 <= before - gap <= 1e-3 * gap):
             break
     if tolerance is not None and gap > tolerance:
