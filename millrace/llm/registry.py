@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import ann, bpe, chunks, licenses, mixing, packing, quality, simhash, warc, wordpiece
+from millrace.llm import ann, bpe, chunks, licenses, mixing, packing, pieces, quality, simhash, warc, wordpiece
 from millrace.session import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_quality_rules": lambda s, d: quality.report(table(s, d, "documents")),
         "op9_bpe_round_trip": lambda s, d: bpe.digest_table(table(s, d, "documents")),
         "op10_warc_round_trip": lambda s, d: warc.round_trip(table(s, d, "pages")),
+        "op13_sentencepiece_round_trip": lambda s, d: pieces.digest_table(table(s, d, "documents")),
     }
 
 
