@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import ann, bpe, centroids, chunks, licenses, mixing, packing, pieces, quality, simhash, warc, wordpiece
+from millrace.llm import ann, bpe, centroids, chunks, licenses, mixing, negatives, packing, pieces, quality, simhash, warc, wordpiece
 from millrace.session import table
 
 
@@ -19,9 +19,15 @@ def queries() -> dict:
         "op9_bpe_round_trip": lambda s, d: bpe.digest_table(table(s, d, "documents")),
         "op10_warc_round_trip": lambda s, d: warc.round_trip(table(s, d, "pages")),
         "op11_centroid_clusters": lambda s, d: centroids.cluster(table(s, d, "embeddings")),
+        "op12_hard_negatives": lambda s, d: negatives.mine(table(s, d, "embeddings")),
         "op13_sentencepiece_round_trip": lambda s, d: pieces.digest_table(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": mixing.oracle(), "op8_quality_rules": quality.oracle(), "op11_centroid_clusters": centroids.oracle()}
+    return {
+        "op5_source_mixing": mixing.oracle(),
+        "op8_quality_rules": quality.oracle(),
+        "op11_centroid_clusters": centroids.oracle(),
+        "op12_hard_negatives": negatives.oracle(),
+    }
