@@ -41,7 +41,9 @@ SCAN_LIMIT = 128
 CACHE_STRETCHES, CACHE_CHARS = 250_000, 64
 #: Characters of a text from which its stretches are streamed rather than listed.
 STREAM_CHARS, STREAM_STRETCHES = 2_000_000, 100_000
-NONE = 1 << 60
+#: Bytes of texts whose stretches are learned together, and stretches that are merged side by side.
+LEARN_BYTES, BATCH = 1 << 20, 4096
+NONE, LAST = 1 << 60, np.int32(2**31 - 1)
 
 
 def default_model() -> str:
@@ -171,10 +173,24 @@ class PieceCodec:
         self.is_byte = np.array([kind == BYTE for kind in kinds])
         self.sizes = np.array([1 if kind == BYTE else len(p.encode()) for p, kind in zip(self.pieces, kinds)], np.int64)
         self.surfaces = [self._surface(i) for i in range(len(pieces))]
-        # No piece holds a mark behind another character: then no piece crosses from one stretch into the next.
-        apart = all(MARK not in p.lstrip(MARK) for p in self.ids)
-        self.pattern = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if apart else "(?s).+")
+        # Stretches that no piece crosses: a mark never follows another character within a piece, and a character that no
+        # longer piece holds stands by itself.
+        joined = {c for p in self.ids if len(p) > 1 for c in p} - {MARK}
+        inner = "".join(map(re.escape, sorted(joined)))
+        apart = inner and all(MARK not in p.lstrip(MARK) for p in self.ids)
+        self.pattern = re.compile(f"{MARK}+[{inner}]*|[{inner}]+|[^{MARK}{inner}]" if apart else "(?s).+")
         self.stretches = _Stretches(self.encode_stretch)
+        # Every way to make a piece of two others, by the pair's number: for stretches that are merged side by side.
+        made = {}
+        for p, i in self.ids.items():
+            for cut in range(1, len(p)):
+                a, b = self.ids.get(p[:cut]), self.ids.get(p[cut:])
+                if a is not None and b is not None:
+                    made[a * len(pieces) + b] = i
+        self.pairs = np.array(sorted(made), np.int64)
+        self.singles = {p for p in self.ids if len(p) == 1}
+        self.made = np.array([made[k] for k in self.pairs.tolist()], np.int32)
+        self.pair_ranks = np.array([self.ranks[self.pieces[i]] for i in self.made.tolist()], np.int32)
 
     # ---- normalisation
 
@@ -276,16 +292,72 @@ class PieceCodec:
                     heapq.heappush(heap, (r, x, len(parts[x]), len(parts[y])))
         return [p for p in parts if p]
 
+    # ---- merging of many stretches side by side
+
+    def _look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank, or LAST, and piece of each pair of ids; a negative id makes no pair."""
+        key = a * np.int64(len(self.pieces)) + b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (a >= 0) & (b >= 0), self.pair_ranks[at], LAST), self.made[at]
+
+    def learn(self, stretches) -> None:
+        """Encodes the short ones of some lists of stretches that are not known yet, a step of all of them at a time."""
+        singles, new = self.singles, set().union(*stretches).difference(self.stretches)
+        new = [w for w in new if len(w) <= CACHE_CHARS]
+        by_width: dict[int, list[str]] = {}
+        for w in new if len(self.pairs) else ():
+            if singles.issuperset(w):
+                by_width.setdefault(len(w) + 3 & ~3, []).append(w)
+        for width, words in by_width.items():
+            for at in range(0, len(words), BATCH):
+                self._learn(words[at : at + BATCH], width)
+
+    def _learn(self, words: list[str], width: int) -> None:
+        parts = np.full((len(words), width), -1, np.int32)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        parts[np.arange(width) < sizes[:, None]] = list(map(self.ids.__getitem__, "".join(words)))
+        rows = np.arange(len(words))
+        ranks = self._look(parts[:, :-1], parts[:, 1:])[0]
+        while len(rows):
+            j = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
+            least = np.take_along_axis(ranks, j[:, None], 1)[:, 0] if ranks.shape[1] else np.full(len(rows), LAST)
+            done = least == LAST
+            if done.any():
+                flat = parts[done]
+                ends, raw = 4 * np.cumsum((flat >= 0).sum(axis=1)), flat[flat >= 0].astype("<u4").tobytes()
+                begin = 0
+                for i, end in zip(rows[done].tolist(), ends.tolist()):
+                    self.stretches[words[i]] = raw[begin:end]
+                    begin = end
+                rows, parts, ranks, j = rows[~done], parts[~done], ranks[~done], j[~done]
+                if not len(rows):
+                    break
+            # Every row left joins one pair, so all become one part shorter.
+            here, cols = np.arange(len(rows)), np.arange(parts.shape[1] - 1)
+            joined = self._look(parts[here, j], parts[here, j + 1])[1]
+            parts = np.take_along_axis(parts, cols + (cols > j[:, None]), 1)
+            parts[here, j] = joined
+            ranks = np.take_along_axis(ranks, cols[:-1] + (cols[:-1] >= j[:, None]), 1)
+            for left in (j - 1, j):
+                some = np.flatnonzero((left >= 0) & (left < ranks.shape[1]))
+                ranks[some, left[some]] = self._look(parts[some, left[some]], parts[some, left[some] + 1])[0]
+
     # ---- encoding
 
-    def encode_iter(self, norm: bytes):
+    def listed(self, norm: bytes) -> list[str] | None:
+        """The stretches of a normalised text, or None for one that is streamed."""
+        text = norm.decode()
+        return self.pattern.findall(text) if len(text) < STREAM_CHARS else None
+
+    def encode_iter(self, norm: bytes, stretches: list[str] | None):
         """Ids of a normalised text as bytes of 32-bit integers, one part after the other."""
-        text, look = norm.decode(), self.stretches.__getitem__
-        if len(text) < STREAM_CHARS:
-            yield b"".join(map(look, self.pattern.findall(text)))
+        look = self.stretches.__getitem__
+        if stretches is not None:
+            yield b"".join(map(look, stretches))
         else:
-            every = (m[0] for m in self.pattern.finditer(text))
+            every = (m[0] for m in self.pattern.finditer(norm.decode()))
             while part := list(islice(every, STREAM_STRETCHES)):
+                self.learn([part])
                 yield b"".join(map(look, part))
                 self.trim()
         self.trim()
@@ -294,11 +366,24 @@ class PieceCodec:
         if len(self.stretches) > CACHE_STRETCHES:
             self.stretches.clear()
 
-    def encode_parts(self, text: bytes):
-        """``(ids, begins, ends)`` of a text's pieces, without begin and end, one part after the other."""
-        norm, alignment = self.normalize(text)
+    def normalized(self, texts):
+        """``(normalised text, alignment, stretches)`` of each text; the stretches of some `LEARN_BYTES` are learned together."""
+        held, size = [], 0
+        for text in texts:
+            norm, alignment = self.normalize(text or b"")
+            held.append((norm, alignment, self.listed(norm)))
+            size += len(norm)
+            if size > LEARN_BYTES:
+                self.learn([x[2] for x in held if x[2]])
+                yield from held
+                held, size = [], 0
+        self.learn([x[2] for x in held if x[2]])
+        yield from held
+
+    def encode_parts(self, norm: bytes, alignment: Alignment, stretches: list[str] | None):
+        """``(ids, begins, ends)`` of a normalised text's pieces, without begin and end, one part after the other."""
         at, plain = 0, np.frombuffer(norm, np.uint8)
-        for ids in self.encode_iter(norm):
+        for ids in self.encode_iter(norm, stretches):
             ids = np.frombuffer(ids, np.uint32)
             edges = at + np.r_[0, np.cumsum(self.sizes[ids])]
             at = int(edges[-1])
@@ -311,7 +396,7 @@ class PieceCodec:
     def encode(self, text: str | bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(ids, begins, ends)`` of a whole text with begin and end ids."""
         raw = text.encode() if isinstance(text, str) else text or b""
-        parts = list(self.encode_parts(raw))
+        parts = [p for found in self.normalized([raw]) for p in self.encode_parts(*found)]
         edges = [np.array([self.begin]), *[p[0] for p in parts], np.array([self.end])]
         spans = [[np.zeros(1, np.int64), *[p[k] for p in parts], np.full(1, len(raw), np.int64)] for k in (1, 2)]
         return np.concatenate(edges).astype(np.uint32), np.concatenate(spans[0]), np.concatenate(spans[1])
@@ -420,10 +505,10 @@ def encode_table(df: DataFrame, key: str = "doc_id", text: str = "text", model:
     return _source(df, key, text).mapInArrow(run, "id long, ids array<int>, pieces array<string>, begins array<long>, ends array<long>, decoded string")
 
 
-def _digest(c: PieceCodec, text: bytes) -> tuple[int, str, str, str]:
+def _digest(c: PieceCodec, norm: bytes, alignment: Alignment, stretches: list[str] | None) -> tuple[int, str, str, str]:
     named, spans = hashlib.sha256(struct.pack("<I", c.begin)), hashlib.sha256()
     every = [np.array([c.begin], "<u4")]
-    for ids, begins, ends in c.encode_parts(text):
+    for ids, begins, ends in c.encode_parts(norm, alignment, stretches):
         named.update(ids.tobytes())
         spans.update(np.stack([begins, ends], axis=1).tobytes())
         every.append(ids)
@@ -439,7 +524,7 @@ def digest_table(df: DataFrame, key: str = "doc_id", text: str = "text", model:
     def run(batches):
         c = codec(source.value)
         for batch in batches:
-            rows = [_digest(c, t or b"") for _, t in text_bytes(batch)]
+            rows = [_digest(c, *found) for found in c.normalized(t for _, t in text_bytes(batch))]
             n, ids, plain, spans = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(values(batch, "id"), pa.int64()), pa.array(np.array(n, np.int64)), pa.array(ids, pa.string()), pa.array(plain, pa.string()), pa.array(spans, pa.string())],

@@ -66,6 +66,14 @@ def test_long_stretches_agree(codec):
         assert codec._scan(list(t)) == codec._heap(list(t))
 
 
+def test_stretches_side_by_side_agree(codec):
+    for t in drawn(["a", "b", "in", "th", "e", "▁", "▁▁", "er", "中", "\U0010fffe", "on"], 9, 400, 40):
+        words = codec.pattern.findall(t)
+        codec.stretches.clear()
+        codec.learn([words])
+        assert all(codec.stretches[w] == codec.encode_stretch(w) for w in words)
+
+
 def test_streamed_text(codec, library, monkeypatch):
     monkeypatch.setattr(pieces, "STREAM_CHARS", 50)
     monkeypatch.setattr(pieces, "STREAM_STRETCHES", 7)
