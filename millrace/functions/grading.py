@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.deadline import TIMED_OUT, Deadline
 from millrace.functions.text import normalize_a, normalize_b, split_gold
 
 
@@ -48,39 +49,38 @@ def fuzzy(p: Column, r: Column) -> Column:
 def bounded(grade: Callable[[str, str], bool], seconds: float = 10.0):
     """E-3: an Arrow-batched UDF of a verifier given by the caller: ``"True"``, ``"False"``, ``"TIMED_OUT"`` or ``"FAILED"``.
 
-    A verdict that takes longer than ``seconds`` is given up; its thread is left behind and another takes the next pair.
+    The verifier runs in a process beside the task, which is killed when a verdict takes longer than ``seconds``; see `deadline`.
     """
 
     @F.pandas_udf("string")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        import threading
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        with Deadline(grade, seconds) as timed:
+            for a, b in parts:
+                yield pd.Series([timed(x, y) for x, y in zip(a, b)], dtype=object)
 
-        def one(x, y):
-            said = ["TIMED_OUT"]
+    return run
 
-            def work():
-                try:
-                    said[0] = str(bool(grade(x, y)))
-                except Exception:  # noqa: BLE001  the verifier's own failures are a verdict
-                    said[0] = "FAILED"
 
-            t = threading.Thread(target=work, daemon=True)
-            t.start()
-            t.join(seconds)
-            return said[0]
+def verified(a: Column, b: Column, grade, seconds: float = 10.0) -> Column:
+    """E-1 with a symbolic verifier: equal by rule, or verified in either direction within the time. The verifier only
+    sees the pairs that the rules leave open, and the second direction only where the first says no."""
 
-        return pd.Series([one(x, y) for x, y in zip(a, b)])
+    @F.pandas_udf("boolean")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        with Deadline(grade, seconds) as timed:
+            for known, xs, ys in parts:
+                yield pd.Series([bool(k) or (x is not None and y is not None and either_way(timed, x, y) == "True") for k, x, y in zip(known, xs, ys)], dtype=bool)
 
-    return run
+    return run(F.coalesce(equivalent(a, b), F.lit(False)), a, b)
 
 
-def verified(a: Column, b: Column, grade, seconds: float = 10.0) -> Column:
-    """E-1 with a symbolic verifier: equal by rule, or verified in either direction within the time. The verifier only
-    sees the pairs that the rules leave open."""
-    run = bounded(grade, seconds)
-    open_ = ~F.coalesce(equivalent(a, b), F.lit(False)) & a.isNotNull() & b.isNotNull()
-    left, right = F.when(open_, a), F.when(open_, b)
-    return ~open_ & F.coalesce(equivalent(a, b), F.lit(False)) | (run(F.coalesce(left, F.lit("")), F.coalesce(right, F.lit(""))) == "True") & open_ | (run(F.coalesce(right, F.lit("")), F.coalesce(left, F.lit(""))) == "True") & open_
+def either_way(grade, a: str, b: str) -> str:
+    """``"True"`` if one of both directions holds; a direction that is timed out ends the comparison, one that fails counts as no."""
+    for x, y in ((a, b), (b, a)):
+        said = grade(x, y)
+        if said in ("True", TIMED_OUT):
+            return said
+    return "False"
 
 
 def judged(df: DataFrame, question: Column, given: Column, gold: Column, generate) -> DataFrame:

@@ -54,6 +54,82 @@ def no_rule(a: str, b: str) -> bool:
     return a == b or ("no " in a.lower() and "no " in b.lower())
 
 
+def any_case_rule(a: str, b: str) -> bool:
+    """V-5: equal in any case, or both say no."""
+    return no_rule(a.lower(), b.lower())
+
+
+GRADED = "answer string, votes long, n long, score double, timeouts long"
+
+
+def graded(df: DataFrame, group: str, answer: Column, order: list, grade=None, seconds: float = 10.0, rule=no_rule, denominator: str = "non_empty") -> DataFrame:
+    """``(group, answer, votes, n, score, timeouts)``: V-1, V-4 and V-5 with a grader, which need not be transitive.
+
+    In order of arrival an answer joins the first class whose representative it equals by ``rule``, or by ``grade`` in either
+    direction within ``seconds``; a comparison that is timed out goes on to the next class. What an answer joins depends only
+    on the different answers before it, so equal ones are counted before the shuffle; those of a group then pass through
+    one task in order, which holds the group's classes and no rows. ``denominator``: of non-empty answers, or of all rows.
+    Null and blank answers have no class, groups without others no row.
+    """
+    rows = df.select(F.col(group).alias("g"), F.trim(answer).alias("a"), F.struct(*order).alias("at"))
+    counted = rows.where("a <> ''").groupBy("g", "a").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    kind = dict(counted.dtypes)["g"]
+
+    def run(batches):
+        from millrace.functions.deadline import TIMED_OUT, Deadline
+        from millrace.functions.grading import either_way
+
+        def row(g, classes, late):
+            n, best = sum(classes.values()), max(classes, key=classes.get)
+            return pd.DataFrame({"g": [g], "answer": [best], "votes": [classes[best]], "n": [n], "score": [classes[best] / n], "timeouts": [late]})
+
+        with Deadline(grade, seconds) as timed:
+            last, classes, late = None, {}, 0  # a class by its representative, in order of creation
+            for batch in batches:
+                for g, a, n in zip(batch["g"], batch["a"], batch["n"]):
+                    if classes and g != last:
+                        yield row(last, classes, late)
+                        classes, late = {}, 0
+                    last = g
+                    for known in classes:
+                        said = "True" if rule(a, known) else either_way(timed, a, known) if grade else "False"
+                        late += said == TIMED_OUT
+                        if said == "True":
+                            classes[known] += n
+                            break
+                    else:
+                        classes[a] = n
+            if classes:
+                yield row(last, classes, late)
+
+    won = counted.where("g IS NOT NULL").repartition("g").sortWithinPartitions("g", "at").select("g", "a", "n").mapInPandas(run, f"g {kind}, {GRADED}")
+    out = won.withColumnRenamed("g", group)
+    if denominator == "all":
+        every = rows.groupBy(F.col("g").alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+        out = out.join(every, F.col(group) == F.col("__g")).withColumns({"n": F.col("__n"), "score": F.col("votes") / F.col("__n")}).drop("__g", "__n")
+    return out
+
+
+def graded_agreement(df: DataFrame, group: str, answer: Column, own: Column, order: list, grade, seconds: float = 10.0) -> DataFrame:
+    """V-4 with a grader: `graded` by equality, and how many answers agree with the questioner's own; groups without an answer are rows of zeros.
+
+    The verifier sees each different pair of answer and own answer of a group once.
+    """
+    from millrace.functions.grading import verified
+
+    rows = df.select(F.col(group), F.trim(answer).alias("__a"), F.trim(own).alias("__own"), *[F.col(c) for c in order if c != group])
+    won = graded(rows, group, F.col("__a"), order, grade, seconds, rule=lambda a, b: a == b)
+    pairs = rows.groupBy(group, "__a", "__own").agg(F.count(F.lit(1)).alias("__n"))
+    same = (F.col("__a") == F.col("__own")) | verified(F.col("__a"), F.col("__own"), grade, seconds)
+    agreed = pairs.withColumn("__same", F.when(F.col("__a") != "", F.coalesce(same, F.lit(False))).otherwise(False)).groupBy(group)
+    out = agreed.agg(F.sum(F.when(F.col("__same"), F.col("__n")).otherwise(0)).alias("agreed")).join(won, group, "left")
+    n = F.coalesce("n", F.lit(0))
+    return out.select(
+        group, F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("votes", F.lit(0)).alias("votes"), n.alias("n"), F.coalesce("score", F.lit(0.0)).alias("score"),
+        "agreed", F.coalesce(F.try_divide("agreed", n), F.lit(0.0)).alias("agreement"), F.coalesce("timeouts", F.lit(0)).alias("timeouts"),
+    )
+
+
 def self_consistency(df: DataFrame, group: str, answer: Column, order: list, least: int = 2, right: float = 1.0, wrong: float = 0.0, penalty: float = 0.5) -> DataFrame:
     """E-6: null answers are wrong with a penalty; without ``least`` agreeing answers all are wrong; else match the mode."""
     mode = majority(df, group, answer, order).select(group, F.col("answer").alias("mode"), F.col("votes").alias("mode_votes"))

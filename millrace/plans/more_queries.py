@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from millrace.functions import grading, models, text
@@ -22,12 +24,12 @@ def r6(c, name):
 # ---- votes and grading
 
 
-@query("vote_agreement", f"""WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS a, CASE WHEN user_id % 2 = 0 THEN ' click ' ELSE 'purchase' END AS own FROM events WHERE user_id % 10 < 9 OR event_type = 'view'),
+@query("vote_agreement", f"""WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS a, CASE WHEN user_id % 2 = 0 THEN ' click ' ELSE 'purchase' END AS own FROM events),
 c AS (SELECT user_id, a, count(*) AS votes, min((ts, event_id)) AS first FROM e WHERE a <> '' GROUP BY ALL), w AS (SELECT *, sum(votes) OVER (PARTITION BY user_id) AS n, {FIRST} AS k FROM c),
 g AS (SELECT user_id, count(*) FILTER (a <> '' AND a = trim(own)) AS agreed FROM e GROUP BY 1)
 SELECT g.user_id, coalesce(w.a, '') AS answer, coalesce(votes, 0) AS votes, CAST(coalesce(n, 0) AS BIGINT) AS n, round(coalesce(votes / n, 0), 6)::DOUBLE AS score, agreed, round(coalesce(agreed / n, 0), 6)::DOUBLE AS agreement FROM g LEFT JOIN w ON g.user_id = w.user_id AND k = 1""")
 def vote_agreement(s, d):
-    e = table(s, d, "events").where((F.col("user_id") % 10 < 9) | (F.col("event_type") == "view"))
+    e = table(s, d, "events")
     answer, own = F.when(F.col("event_type") != "view", F.col("event_type")).otherwise(""), F.when(F.col("user_id") % 2 == 0, " click ").otherwise("purchase")
     out = vote.agreement(e, "user_id", answer, own, ARRIVAL)
     return out.select("user_id", F.coalesce("answer", F.lit("")).alias("answer"), "votes", "n", r6(F.col("score"), "score"), "agreed", r6(F.col("agreement"), "agreement"))
@@ -81,15 +83,60 @@ def judged_answers(s, d):
 
 
 def _same_start(a: str, b: str) -> bool:
+    """Fails without an answer; never ends (within a regular expression that backtracks) for an answer that begins with 'loop'."""
     if not a:
         raise ValueError("nothing to grade")
+    if a.startswith("loop"):
+        re.match(r"(a|aa)+$", "a" * 200 + "b")
     return a[0] == b[0]
 
 
-@query("bounded_grading", "SELECT conv_id, turn, CASE WHEN a = '' THEN 'FAILED' WHEN a[1] = role[1] THEN 'True' ELSE 'False' END AS verdict FROM (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN '' WHEN turn % 3 = 1 THEN 'user ' || turn ELSE 'assistant' END AS a FROM conversations)")
+@query("bounded_grading", """SELECT conv_id, turn, CASE WHEN a = '' THEN 'FAILED' WHEN a = 'loop' THEN 'TIMED_OUT' WHEN a[1] = role[1] THEN 'True' ELSE 'False' END AS verdict
+FROM (SELECT conv_id, turn, role, CASE WHEN conv_id = 0 AND turn = 1 THEN 'loop' WHEN turn % 3 = 0 THEN '' WHEN turn % 3 = 1 THEN 'user ' || turn ELSE 'assistant' END AS a FROM conversations)""")
 def bounded_grading(s, d):
-    a = F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, F.concat(F.lit("user "), "turn")).otherwise("assistant")
-    return table(s, d, "conversations").select("conv_id", "turn", grading.bounded(_same_start)(a, F.col("role")).alias("verdict"))
+    a = F.when((F.col("conv_id") == 0) & (F.col("turn") == 1), "loop").when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, F.concat(F.lit("user "), "turn")).otherwise("assistant")
+    return table(s, d, "conversations").select("conv_id", "turn", grading.bounded(_same_start, 2.0)(a, F.col("role")).alias("verdict"))
+
+
+def _begins(a: str, b: str) -> bool:
+    return b.startswith(a)
+
+
+def _first_word(s, d):
+    """Turns as rollouts of their conversation; the answer is the first word, two letters of it on every other turn, none where the text has none."""
+    word = F.get(F.split("text", " "), F.lit(0))
+    return table(s, d, "conversations").withColumn("a", F.when(F.col("turn") % 2 == 0, F.substring(word, 1, 2)).otherwise(word))
+
+
+# In order of arrival: the first class that `{0}` says is the same, of the answers `a` of each conversation.
+GRADED = """turns AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN substr(split_part(text, ' ', 1), 1, 2) ELSE split_part(text, ' ', 1) END AS a FROM conversations),
+many AS (SELECT conv_id, a, count(*) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn), a) AS k FROM turns WHERE a <> '' GROUP BY conv_id, a),
+steps AS (SELECT conv_id, 1 AS k, [a] AS reps, [n] AS votes FROM many WHERE k = 1
+  UNION ALL SELECT conv_id, k, CASE WHEN hit IS NULL THEN list_append(reps, a) ELSE reps END, CASE WHEN hit IS NULL THEN list_append(votes, n) ELSE list_transform(votes, lambda v, i: CASE WHEN i = hit THEN v + n ELSE v END) END
+  FROM (SELECT s.conv_id, m.k, reps, votes, a, n, list_position(list_transform(reps, lambda r: {0}), true) AS hit FROM steps s JOIN many m ON m.conv_id = s.conv_id AND m.k = s.k + 1)),
+won AS (SELECT conv_id, reps[list_position(votes, list_max(votes))] AS answer, list_max(votes)::BIGINT AS votes, list_sum(votes)::BIGINT AS n FROM steps QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1)"""
+BEGINS, SAYS_NO = "starts_with(r, a) OR starts_with(a, r)", "contains(lower(r), 'no ') AND contains(lower(a), 'no ')"
+
+
+@query("vote_graded", f"WITH RECURSIVE {GRADED.format(f'{BEGINS} OR {SAYS_NO}')} SELECT conv_id, answer, votes, n, round(votes / n, 6) AS score, 0::BIGINT AS timeouts FROM won")
+def vote_graded(s, d):
+    return vote.graded(_first_word(s, d), "conv_id", F.col("a"), ["turn", "a"], _begins).withColumn("score", F.round("score", 6))
+
+
+@query("vote_graded_any_case", f"WITH RECURSIVE {GRADED.format(f'lower(r) = lower(a) OR {SAYS_NO} OR {BEGINS}')} SELECT conv_id, answer, votes, e.n AS n, round(votes / e.n, 6) AS score FROM won JOIN (SELECT conv_id, count(*) AS n FROM turns GROUP BY 1) e USING (conv_id)")
+def vote_graded_any_case(s, d):
+    out = vote.graded(_first_word(s, d), "conv_id", F.col("a"), ["turn", "a"], _begins, rule=vote.any_case_rule, denominator="all")
+    return out.withColumn("score", F.round("score", 6)).drop("timeouts")
+
+
+@query("vote_graded_agreement", f"""WITH RECURSIVE {GRADED.format(f'r = a OR {BEGINS}')}, own AS (SELECT conv_id, min(split_part(text, ' ', 1)) AS own FROM conversations WHERE turn = 0 GROUP BY 1),
+agreed AS (SELECT conv_id, count(*) FILTER (a <> '' AND (starts_with(a, own) OR starts_with(own, a))) AS agreed FROM turns JOIN own USING (conv_id) GROUP BY 1)
+SELECT conv_id, coalesce(answer, '') AS answer, coalesce(votes, 0) AS votes, coalesce(n, 0) AS n, round(coalesce(votes / n, 0), 6)::DOUBLE AS score, agreed, round(coalesce(agreed / n, 0), 6)::DOUBLE AS agreement FROM agreed LEFT JOIN won USING (conv_id)""")
+def vote_graded_agreement(s, d):
+    t = _first_word(s, d)
+    own = t.where("turn = 0").groupBy("conv_id").agg(F.min(F.get(F.split("text", " "), F.lit(0))).alias("own"))
+    out = vote.graded_agreement(t.join(own, "conv_id"), "conv_id", F.col("a"), F.col("own"), ["turn"], _begins)
+    return out.select("conv_id", "answer", "votes", "n", r6(F.col("score"), "score"), "agreed", r6(F.col("agreement"), "agreement"))
 
 
 @query("prompt_step", "SELECT item_id, ('0x' || substr(md5('Solve: ' || text), 1, 8))::BIGINT % 7 || '' AS answer FROM benchmark")
