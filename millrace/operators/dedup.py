@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import dedup_key
+from millrace.operators import similar
 from millrace.operators.components import connected_components
 
-#: Rows of one cluster that a sequential selection takes into one task; beyond it the caller must block further.
-MAX_GROUP = 200_000
-
-
 def lexical(df: DataFrame, text: str, order: str) -> DataFrame:
     """O-48: the first row of every normalized text; ``order`` names rows. The key is hashed for the shuffle, minima combine
     before it, and only the names of the first rows are joined with the texts."""
@@ -27,26 +22,9 @@ def lexical_groups(df: DataFrame, text: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(order).alias("first_id"), F.count(F.lit(1)).alias("n")).drop("k")
 
 
-def _unit(v) -> np.ndarray:
-    x = np.stack(v).astype(np.float64)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-
 def greedy_in_cluster(df: DataFrame, cluster: str, key: str, vector: str, threshold: float = 0.95) -> DataFrame:
     """O-47: in key order, drop a row that is too similar to an earlier kept one; a dropped row suppresses nothing."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_GROUP:
-            raise ValueError(f"cluster {pdf['c'].iloc[0]} has {len(pdf)} rows; split clusters to at most {MAX_GROUP}")
-        pdf = pdf.sort_values("k")
-        x, alive = _unit(pdf["v"]), np.ones(len(pdf), bool)
-        for i in range(len(pdf)):
-            if alive[i]:
-                alive[i + 1 :] &= x[i + 1 :] @ x[i] <= threshold
-        return pd.DataFrame({key: pdf["k"][alive], cluster: pdf["c"][alive]})
-
-    t = dict(df.dtypes)
-    return df.select(F.col(cluster).alias("c"), F.col(key).alias("k"), F.col(vector).alias("v")).groupBy("c").applyInPandas(run, f"{key} {t[key]}, {cluster} {t[cluster]}")
+    return similar.removed(df, cluster, key, vector, threshold).where("NOT duplicate").select(key, cluster)
 
 
 def against_accepted(df: DataFrame, accepted: DataFrame, key: str, vector: str, block: str, threshold: float = 0.92) -> DataFrame:
@@ -60,44 +38,13 @@ def against_accepted(df: DataFrame, accepted: DataFrame, key: str, vector: str,
 
 def against_growing(df: DataFrame, key: str, vector: str, block: str, threshold: float = 0.92, accepted: DataFrame | None = None) -> DataFrame:
     """O-49: ``(key, block, duplicate)`` in key order: a row is a duplicate if it is at least ``threshold`` alike to an accepted
-    row of its block, given or accepted before it. Vectors of ``accepted`` are kept in the block, whose rows are bounded."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > MAX_GROUP:
-            raise ValueError(f"block {rows['c'].iloc[0]} has {len(rows)} rows; split blocks to at most {MAX_GROUP}")
-        rows = rows.sort_values(["new", "k"], ignore_index=True)
-        x, again = _unit(rows["v"]), np.zeros(len(rows), bool)
-        for i in range(len(rows)):
-            if not again[i]:
-                behind = np.arange(len(rows)) > i
-                again |= behind & rows["new"].to_numpy() & (x @ x[i] >= threshold)
-        new = rows["new"].to_numpy()
-        return pd.DataFrame({key: rows["k"][new], block: rows["c"][new], "duplicate": again[new]})
-
-    t = dict(df.dtypes)
-    cols = lambda d, new: d.select(F.col(block).alias("c"), F.col(key).alias("k"), F.col(vector).alias("v"), F.lit(new).alias("new"))
-    rows = cols(df, True) if accepted is None else cols(df, True).unionByName(cols(accepted, False))
-    return rows.groupBy("c").applyInPandas(run, f"{key} {t[key]}, {block} {t[block]}, duplicate boolean")
+    row of its block, given or accepted before it."""
+    return similar.removed(df, block, key, vector, threshold, inclusive=True, accepted=accepted)
 
 
 def top_neighbours(df: DataFrame, key: str, vector: str, block: str, k: int = 10) -> DataFrame:
     """T-3: ``(key, neighbour, similarity, rank)``: the ``k`` most similar other rows of each row's block; ties by key."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > MAX_GROUP:
-            raise ValueError(f"block has {len(rows)} rows; split blocks to at most {MAX_GROUP}")
-        rows = rows.sort_values("k", ignore_index=True)
-        x, keys, out, most = _unit(rows["v"]), rows["k"].to_numpy(), [], min(k, len(rows) - 1)
-        for at in range(0, len(rows) if most > 0 else 0, 1024):
-            s = x[at : at + 1024] @ x.T
-            s[np.arange(len(s)), at + np.arange(len(s))] = -np.inf
-            top = np.argsort(-s, axis=1, kind="stable")[:, :most]
-            n = len(s)
-            out.append(pd.DataFrame({key: np.repeat(keys[at : at + n], most), "neighbour": keys[top.ravel()], "similarity": np.take_along_axis(s, top, 1).ravel(), "rank": np.tile(np.arange(1, most + 1), n)}))
-        return pd.concat(out) if out else pd.DataFrame({key: [], "neighbour": [], "similarity": [], "rank": []})
-
-    kind = dict(df.dtypes)[key]
-    return df.select(F.col(block).alias("c"), F.col(key).alias("k"), F.col(vector).alias("v")).groupBy("c").applyInPandas(run, f"{key} {kind}, neighbour {kind}, similarity double, rank int")
+    return similar.neighbours(df, key, vector, block, k)
 
 
 def similar_pairs(df: DataFrame, key: str, vector: str, block: str, threshold: float) -> DataFrame:
@@ -109,8 +56,13 @@ def similar_pairs(df: DataFrame, key: str, vector: str, block: str, threshold: f
     return a.join(b, "b").where("src < dst").select("src", "dst", cosine(F.col("v"), F.col("w")).alias("similarity")).where(F.col("similarity") > threshold)
 
 
-def similarity_groups(df: DataFrame, key: str, vector: str, block: str, threshold: float = 0.85) -> DataFrame:
-    """O-50: components of the similarity graph, ``(node, component)`` for groups of two or more."""
+def similarity_groups(df: DataFrame, key: str, vector: str, block: str | None = None, threshold: float = 0.85, recall: float = 0.95) -> DataFrame:
+    """O-50: components of the similarity graph, ``(node, component)`` for groups of two or more.
+
+    Without blocks from the caller pairs are found by `similar.similar_groups`; with them all pairs of a block are compared.
+    """
+    if block is None:
+        return similar.similar_groups(df, key, vector, threshold, recall)
     return connected_components(similar_pairs(df, key, vector, block, threshold))
 
 

@@ -7,7 +7,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.dedup import MAX_GROUP, _unit
+
+
+#: Rows of one cluster that the sequential selection takes into one task; beyond it the caller must block further.
+MAX_GROUP = 200_000
+
+
+def _unit(v) -> np.ndarray:
+    x = np.stack(v).astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
 def hash_uniform(*key: Column | str, seed: int = 0) -> Column:

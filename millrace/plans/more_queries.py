@@ -215,6 +215,9 @@ def growing_dedup(s, d):
 NAMES = ["Prime Numbers", "prime  number", "GCD (greatest common divisor)", "gcd", "Divisibility by 3", "divisibility rules", "Modular arithmetic properties", "sets", "Sets of points", "graph theory"]
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
 def names(s, d):
     n = F.element_at(F.array(*[F.lit(x) for x in NAMES]), (F.col("doc_id") % len(NAMES) + 1).cast("int"))
     return table(s, d, "documents").groupBy(n.alias("name")).agg(F.count(F.lit(1)).alias("n"))
@@ -225,13 +228,15 @@ def _rules(x: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_full_match({x}, '{quoted(p).removesuffix('$')}') THEN '{quoted(c)}'" for p, c in text.CONCEPT_RULES) + f" ELSE {x} END"
 
 
-@query("concept_clean", f"""WITH c AS (SELECT [{', '.join(repr(x) for x in NAMES)}][doc_id % {len(NAMES)} + 1] AS name, count(*) AS n FROM documents GROUP BY 1), k AS (SELECT name, n, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS x FROM c),
-p AS (SELECT name, n, {_rules('x')} AS p1 FROM k), t AS (SELECT p1, sum(n) AS n FROM p GROUP BY 1), g AS (SELECT left(p1, 3) AS g, arg_min(p1, (-n, length(p1), p1)) AS best, count(*) AS k FROM t GROUP BY 1),
-m AS (SELECT p.name, p.n, CASE WHEN g.k > 1 THEN g.best ELSE p.p1 END AS p2 FROM p JOIN g ON left(p.p1, 3) = g.g) SELECT name, n, CASE WHEN p2 = 'graph theory' THEN 'graphs' ELSE p2 END AS canonical FROM m""")
+@query("concept_clean", f"""WITH RECURSIVE c AS (SELECT [{', '.join(repr(x) for x in NAMES)}][doc_id % {len(NAMES)} + 1] AS name, count(*) AS n FROM documents GROUP BY 1), k AS (SELECT name, n, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS x FROM c),
+p AS (SELECT name, n, {_rules('x')} AS p1 FROM k), t AS (SELECT p1, sum(n) AS n, [{', '.join(f"(length(p1) - length(replace(p1, '{x}', '')))::DOUBLE" for x in LETTERS)}] AS v FROM p GROUP BY 1),
+e AS (SELECT a.p1 AS u, b.p1 AS v FROM t a JOIN t b ON a.p1 <> b.p1 AND list_cosine_similarity(a.v, b.v) > 0.85), r(node, m) AS (SELECT u, u FROM e UNION SELECT e.v, r.m FROM r JOIN e ON r.node = e.u),
+q AS (SELECT node, min(m) AS g FROM r GROUP BY 1), g AS (SELECT g, arg_min(p1, (-n, length(p1), p1)) AS best FROM q JOIN t ON p1 = node GROUP BY 1),
+m AS (SELECT name, n, coalesce(best, p1) AS p2 FROM p LEFT JOIN q ON node = p1 LEFT JOIN g USING (g)) SELECT name, n, CASE WHEN p2 = 'graph theory' THEN 'graphs' ELSE p2 END AS canonical FROM m""")
 def concept_clean(s, d):
-    def alike(left):  # names that begin alike stand for similar ones: groups of two or more as (node, component)
-        first = left.groupBy(F.left("name", F.lit(3)).alias("g")).agg(F.min("name").alias("component"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        return left.join(first, F.left("name", F.lit(3)) == F.col("g")).select(F.col("name").alias("node"), "component")
+    def alike(left):  # counts of letters stand for an embedding
+        v = F.array(*[(F.length("name") - F.length(F.replace("name", F.lit(x), F.lit("")))).cast("double") for x in LETTERS])
+        return dedup.similarity_groups(left.withColumn("v", v), "name", "v", threshold=0.85, recall=0.9999)
 
     merges = s.createDataFrame([("graph theory", "graphs")], "name string, canonical string")
     return dedup.clean_names(names(s, d), "name", "n", text.CONCEPT_RULES, alike, merges)
