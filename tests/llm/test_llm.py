@@ -645,8 +645,8 @@ def test_licenses_several_in_a_block():
 
 def test_registry():
     names = registry.queries()
-    assert len(names) == 10 and set(registry.oracle_sql()) <= set(names)
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert len(names) == 13 and set(registry.oracle_sql()) <= set(names)
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
 def test_combinations_cover():
