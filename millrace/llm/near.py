@@ -4,8 +4,13 @@ Texts are compared by their sets of `SHINGLE`-word shingles, hashed to 64 bits.
 pairs that `simhash` links: fingerprints of the sets that share a pigeonhole block and differ in `simhash.MAX_BITS` bits
 at most, all of them. At a similarity of 0.8 fingerprints of 64 bits differ in about ten, which no affordable choice of
 blocks covers, so two nodes are candidates too where one of `BANDS` bands of `ROWS` MinHash values agrees; a pair at 0.8 does
-with probability 0.98. Buckets up to `SMALL` nodes give all their pairs, larger ones a spanning forest of what their
-signatures make likely, so pairs grow with the rows. Every candidate is then verified on the whole sets.
+with probability 0.98.
+
+A band with up to `SMALL` nodes gives all its pairs. A larger one gives first the spanning tree of the highest agreement of
+signatures, which is verified. Where its nodes then still lie in several components, their sets are brought to the band and every pair across
+components whose signatures agree in `LIKELY` of their values is verified there; at 0.8 they do with probability
+0.9997. Bands with more than two blocks of nodes are cut into blocks that meet in pairs, so none is gathered in a task. Every
+link is verified on the whole sets.
 
 Defined results: as those of `simhash.keep_one`; texts without words are alike.
 """
@@ -13,7 +18,6 @@ Defined results: as those of `simhash.keep_one`; texts without words are alike.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -21,15 +25,18 @@ from pyspark.sql import functions as F
 
 from millrace.llm import simhash
 from millrace.llm.common import text_bytes, values
+from millrace.operators.components import connected_components
 from millrace.session import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 5
-#: Nodes of a bucket whose pairs are all verified.
-SMALL = 48
-#: Share of equal signature values from which a large bucket's pair is verified.
-LIKELY = 0.7
+#: Nodes of a band whose pairs are all verified, and nodes of a block of a band that is cut.
+SMALL, BLOCK = 48, 1024
+#: Share of equal signature values from which a pair of a larger band can be 0.8 alike.
+LIKELY = 0.6
+#: Bytes of sets that a task of a cut band holds about: longer sets make smaller blocks.
+HELD = 1 << 26
 _RNG = np.random.default_rng(42)
 FACTORS = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -79,31 +86,66 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return _source(df, key, text).mapInArrow(run, "id long, fp long, sim long, sig binary")
 
 
-def sets(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(fp, found)`` per row: the set as bytes."""
+def sets(df: DataFrame, asked: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(fp, found)``: the sets as bytes of the documents whose ids are ``asked``; other texts are neither shipped as sets nor hashed."""
 
     def run(batches):
         for batch in batches:
             found = [shingles(t) for _, t in text_bytes(batch)]
             yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["fp", "found"])
 
-    return _source(df, key, text).mapInArrow(run, "fp long, found binary")
+    some = _source(df, key, text).join(asked, "id", "left_semi").select("text")
+    return some.mapInArrow(run, "fp long, found binary").groupBy("fp").agg(F.min("found").alias("found"))
+
+
+def agreement(sig: np.ndarray, at: int, others: np.ndarray) -> np.ndarray:
+    return (sig[others] == sig[at]).mean(axis=1)
+
+
+def tree(sig: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning trees of the highest agreement among the rows of signatures; pairs below `LIKELY` are not linked."""
+    left, out = np.arange(1, len(sig)), []
+    best, by = agreement(sig, 0, left), np.zeros(len(left), np.int64)
+    while len(left):
+        i = int(best.argmax())
+        at = int(left[i])
+        if best[i] >= LIKELY:
+            out.append((int(by[i]), at))
+        left, best, by = np.delete(left, i), np.delete(best, i), np.delete(by, i)
+        now = agreement(sig, at, left)
+        nearer = now > best
+        best, by = np.where(nearer, now, best), np.where(nearer, at, by)
+    return out
 
 
 def bucket_pairs(fp: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
-    """Candidates within one bucket: all pairs of a small one, else a forest of the likely ones."""
+    """Candidates within one band: all pairs of a small one, else the trees of the likely ones."""
     if len(fp) <= SMALL:
         i, j = np.triu_indices(len(fp), 1)
         return list(zip(fp[i].tolist(), fp[j].tolist()))
-    left, out = np.arange(len(fp)), []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            near = (sig[left] == sig[at]).mean(axis=1) >= LIKELY
-            out += [(int(fp[at]), int(x)) for x in fp[left[near]]]
-            queue.extend(left[near].tolist())
-            left = left[~near]
+    return [(int(fp[i]), int(fp[j])) for i, j in tree(sig)]
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets are at least `SIMILARITY` alike."""
+    small, large = sorted((len(x), len(y)))
+    if small < SIMILARITY * large:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= SIMILARITY * (len(x) + len(y) - both)
+
+
+def across(fp: np.ndarray, sig: np.ndarray, component: np.ndarray, found: list) -> list[tuple[int, int]]:
+    """Links that join components: every likely pair of nodes that are not joined yet is verified, the likeliest first."""
+    out, component = [], component.copy()
+    own = [np.frombuffer(x, np.uint64) for x in found]
+    for i in range(len(fp)):
+        rest = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
+        score = agreement(sig, i, rest)
+        for j in rest[np.argsort(-score, kind="stable")][: int((score >= LIKELY).sum())].tolist():
+            if component[i] != component[j] and alike(own[i], own[j]):
+                out.append((int(fp[i]), int(fp[j])))
+                component[component == component[j]] = component[i]
     return out
 
 
@@ -114,10 +156,10 @@ def close(nodes: DataFrame) -> DataFrame:
     return same.unionByName(simhash.all_links(sims).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")))
 
 
-def banded(nodes: DataFrame) -> DataFrame:
-    """``(a, b)``: names of sets that share a band."""
+def keyed(nodes: DataFrame) -> DataFrame:
+    """``(key, fp, sig)``: a row for each node and band."""
 
-    def keyed(batches):
+    def run(batches):
         for batch in batches:
             fp, sig = np.asarray(values(batch, "fp"), np.int64), values(batch, "sig")
             for band in range(BANDS):
@@ -125,29 +167,65 @@ def banded(nodes: DataFrame) -> DataFrame:
                 key = [xxhash.xxh64_intdigest(s[part], band) - 2**63 for s in sig]
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(fp), pa.array(sig, pa.binary())], ["key", "fp", "sig"])
 
-    def of(rows: pd.DataFrame):
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(len(rows), -1)
-        key, fp, out = rows["key"].to_numpy(), rows["fp"].to_numpy(), []
-        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        for a, b in zip(edge[:-1], edge[1:]):
+    return nodes.select("fp", "sig").mapInArrow(run, "key long, fp long, sig binary")
+
+
+def by_band(rows: DataFrame, sizes: DataFrame, of) -> DataFrame:
+    """``(a, b)``: what ``of`` finds among the rows of each key; keys of ``sizes`` ``(key, n)`` are cut into ``n`` blocks that meet in pairs."""
+    columns = [c for c in rows.columns if c != "key"]
+    marked = rows.join(sizes.select(F.col("key").alias("__key"), "n"), F.col("key") == F.col("__key"), "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    own = marked.withColumn("o", F.pmod("fp", F.col("n")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    dealt = own.select("key", F.least("o", "p").alias("i"), F.greatest("o", "p").alias("j"), *columns)
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        label = np.stack([t[n].to_numpy() for n in ("key", "i", "j")], axis=1)
+        edge, out = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]).any(axis=1), True]), []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
             if b - a > 1:
-                out += bucket_pairs(fp[a:b], sig[a:b])
+                out += of(t.slice(a, b - a))
         ends = np.array(out, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], ["a", "b"])
 
     def run(batches):
         held = None  # rows of the last key so far, which the next batch may go on with
-        for rows in (b.to_pandas() for b in batches):
-            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            if len(rows):
-                last = rows["key"] == rows["key"].iloc[-1]
-                held = rows[last]
-                yield of(rows[~last])
-        if held is not None:
-            yield of(held)
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            if not len(t):
+                continue
+            last = np.ones(len(t), bool)
+            for n in ("key", "i", "j"):
+                last &= t[n].to_numpy() == t[n][-1].as_py()
+            first = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            held = t.slice(first)
+            if first:
+                yield pairs(t.slice(0, first))
+        if held is not None and len(held):
+            yield pairs(held)
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp").mapInArrow(run, "a long, b long")
+
+
+def signature_rows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    sig = t["sig"].to_pylist()
+    return t["fp"].to_numpy(), np.frombuffer(b"".join(sig), np.uint32).reshape(len(sig), -1)
 
-    rows = nodes.select("fp", "sig").mapInArrow(keyed, "key long, fp long, sig binary")
-    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
+
+def banded(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(a, b)``: candidates of the rows of `keyed`, whose keys with over `SMALL` nodes are ``counts``."""
+    cut = counts.where(F.col("count") > 2 * BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("n"))
+    return by_band(rows, cut, lambda t: bucket_pairs(*signature_rows(t)))
+
+
+def left_open(rows: DataFrame, counts: DataFrame, component: DataFrame, found: DataFrame) -> DataFrame:
+    """``(a, b)``: the links that large bands lack whose nodes lie in several components ``(fp, c)``."""
+    large = rows.join(counts.select("key"), "key", "left_semi").join(component, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
+    several = large.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
+    whole = materialize(large.join(several, "key", "left_semi").join(found, "fp").select("key", "fp", "sig", "c", "found"))
+    size = whole.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.sum(F.length("found").cast("double")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(2 * F.col("bytes") / HELD)).cast("int")
+    cut = size.where((F.col("count") > 2 * BLOCK) | (F.col("bytes") > HELD)).select("key", blocks.alias("n"))
+    return by_band(whole, cut, lambda t: across(*signature_rows(t), t["c"].to_numpy(), t["found"].to_pylist()))
 
 
 def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -157,9 +235,7 @@ def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
         for batch in batches:
             good = []
             for x, y in zip(values(batch, "x"), values(batch, "y")):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= SIMILARITY * (len(x) + len(y) - both))
+                good.append(alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     joined = pairs.join(found.select(F.col("fp").alias("a"), F.col("found").alias("x")), "a").join(found.select(F.col("fp").alias("b"), F.col("found").alias("y")), "b")
@@ -170,13 +246,19 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """``(id, fp, component_id)`` per row."""
     rows = materialize(signatures(df, key, text))
     nodes = materialize(rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.min("sim").alias("sim"), F.min("sig").alias("sig")))
-    pairs = materialize(close(nodes).unionByName(banded(nodes)).distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    found = materialize(sets(df, key, text).join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("found").alias("found")))
+    bands = keyed(nodes)
+    counts = materialize(bands.groupBy("key").count().where(F.col("count") > SMALL))
+    pairs = materialize(close(nodes).unionByName(banded(bands, counts)).distinct())
     reps = nodes.select("fp", "rep")
+    # A node that no pair names agrees likely with none: its set is not asked for.
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    found = materialize(sets(df, reps.join(asked, "fp", "left_semi").select(F.col("rep").alias("id")), key, text))
+    links = materialize(verified(pairs, found))
+    if not counts.isEmpty():
+        component = connected_components(links, "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("c"))
+        links = links.unionByName(left_open(bands, counts, component, found))
     edges = (
-        verified(pairs, found)
-        .join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("src")), "a")
+        links.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("src")), "a")
         .join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("dst")), "b")
         .select("src", "dst")
     )
