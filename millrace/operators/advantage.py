@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators import scans
+
 
 def group_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Mean, sample deviation, sum and count joined to every row; combined before the shuffle, so hot groups are cheap."""
@@ -23,19 +25,14 @@ def leave_one_out(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def discounted(rewards: Column, gamma: float) -> Column:
-    """W-3 on an array: the reverse scan ``r_t + gamma * next``."""
-    seed = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out"))
-    step = lambda acc, r: F.struct((r + gamma * acc["run"]).alias("run"), F.array_append(acc["out"], r + gamma * acc["run"]).alias("out"))
-    return F.reverse(F.aggregate(F.reverse(rewards), seed, step, lambda acc: acc["out"]))
+    """W-3 on an array: the reverse scan ``r_t + gamma * next``, in one pass."""
+    r = rewards.cast("array<double>")
+    return scans.masked_scan(r, F.transform(r, lambda x: F.lit(1.0)), F.lit(float(gamma)))
 
 
 def masked_returns(rewards: Column, mask: Column, gamma: float) -> Column:
-    """W-3 with the mask: ``r_t + gamma * next``, where what is carried on is 0 behind a masked position."""
-    steps = F.reverse(F.zip_with(rewards, mask, lambda r, m: F.struct(r.cast("double").alias("r"), m.cast("double").alias("m"))))
-    seed = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out"))
-    ret = lambda acc, x: x["r"] + gamma * acc["run"]
-    step = lambda acc, x: F.struct((ret(acc, x) * x["m"]).alias("run"), F.array_append(acc["out"], ret(acc, x)).alias("out"))
-    return F.reverse(F.aggregate(steps, seed, step, lambda acc: acc["out"]))
+    """W-3 with the mask: ``r_t + gamma * next``, where what is carried on is 0 behind a masked position; in one pass."""
+    return scans.masked_scan(rewards.cast("array<double>"), mask.cast("array<double>"), F.lit(float(gamma)))
 
 
 def reinforce_plus_plus(df: DataFrame, rewards: str, mask: str, gamma: float = 1.0, eps: float = 1e-8) -> DataFrame:
@@ -58,13 +55,10 @@ def kl_penalized(score: Column, kl_value: Column, coefficient: float) -> Column:
 
 
 def gae(df: DataFrame, group: str, order: list, reward: str, value: str, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
-    """W-4: generalized advantage estimates as rows ``(group, t, advantage, return)``; sequences are one record's tokens."""
-    at = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    nxt = F.coalesce(F.lead(value).over(Window.partitionBy(group).orderBy(*order)), F.lit(0.0))
-    d = df.select(group, at.alias("t"), F.col(value).cast("double").alias("v"), (F.col(reward) + gamma * nxt - F.col(value)).cast("double").alias("delta"))
-    seq = d.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("t", "delta", "v"))).alias("s"))
-    scan = seq.select(group, F.posexplode(F.arrays_zip(F.col("s"), discounted(F.transform("s", lambda x: x["delta"]), gamma * lam).alias("a"))).alias("i", "z"))
-    return scan.select(group, (F.col("i") + 1).alias("t"), F.col("z.a").alias("advantage"), (F.col("z.a") + F.col("z.s.v")).alias("return"))
+    """W-4: generalized advantage estimates as rows ``(group, t, advantage, return)`` in linear time, for sequences of any length."""
+    some = df.select(group, *[c for c in order if c != group], F.col(reward).cast("double").alias("__reward"), F.col(value).cast("double").alias("__value"))
+    at = scans.positions(scans.gae(some, group, order, F.col("__reward"), F.col("__value"), gamma, lam), group, order, F.lit(1))
+    return at.select(group, (F.col("position") + 1).alias("t"), "advantage", "return")
 
 
 def kl(log_p: Column, log_q: Column, kind: str = "kl") -> Column:
@@ -102,9 +96,7 @@ def response_mask(ids: Column, end: int) -> Column:
 
 def position_ids(mask: Column) -> Column:
     """W-9: ``max(cumulative sum - 1, 0)``, in one pass."""
-    seed = F.struct(F.lit(0).alias("run"), F.array().cast("array<int>").alias("out"))
-    step = lambda acc, x: F.struct((acc["run"] + x.cast("int")).alias("run"), F.array_append(acc["out"], F.greatest(F.lit(0), acc["run"] + x.cast("int") - 1)).alias("out"))
-    return F.aggregate(mask, seed, step, lambda acc: acc["out"])
+    return scans.running_positions(mask.cast("array<int>"))
 
 
 def adaptive_kl(kls: Column, start: float, target: float, horizon: float, batch: int) -> Column:

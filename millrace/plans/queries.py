@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import grading, models, rewards, text
-from millrace.operators import advantage, batch, components, dedup, filters, graph, joins, penalty, select, stats, vectors, vote
+from millrace.operators import advantage, batch, components, dedup, filters, graph, joins, penalty, scans, select, stats, vectors, vote
 from millrace.plans import curation, more_queries, report_queries, text_queries  # noqa: F401  register their own
 from millrace.plans.registry import query
 from millrace.session import table
@@ -488,8 +488,9 @@ SEQ = "WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id
 
 @query("discounted_return", SEQ + "SELECT a.user_id, a.t, round(sum(b.value / 7 * pow(0.9, b.t - a.t)), 6) AS ret FROM e a JOIN e b ON a.user_id = b.user_id AND b.t >= a.t GROUP BY ALL")
 def discounted(s, d):
-    seq = table(s, d, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"] / 7).alias("v"))
-    return seq.select("user_id", F.posexplode(advantage.discounted(F.col("v"), 0.9)).alias("i", "x")).select("user_id", (F.col("i") + 1).cast("long").alias("t"), F.round("x", 6).alias("ret"))
+    e = table(s, d, "events").select("user_id", "ts", "event_id", (F.col("value") / 7).alias("v"))
+    out = scans.positions(scans.discounted(e, "user_id", ARRIVAL, F.col("v"), 0.9), "user_id", ARRIVAL, F.lit(1))
+    return out.select("user_id", (F.col("position") + 1).cast("long").alias("t"), F.round("returns", 6).alias("ret"))
 
 
 @query("gae", SEQ + ", d AS (SELECT user_id, t, value / 100 AS v, value - floor(value) + 0.99 * coalesce(lead(value / 100) OVER (PARTITION BY user_id ORDER BY t), 0) - value / 100 AS dl FROM e) SELECT a.user_id, a.t, round(sum(b.dl * pow(0.99 * 0.95, b.t - a.t)), 5) AS advantage, round(sum(b.dl * pow(0.99 * 0.95, b.t - a.t)) + a.v, 5) AS \"return\" FROM d a JOIN d b ON a.user_id = b.user_id AND b.t >= a.t GROUP BY a.user_id, a.t, a.v")
