@@ -284,14 +284,14 @@ def mini_batches(s, d):
     return batch.epochs(table(s, d, "documents").select("doc_id"), "doc_id", 3, 64, seed=3).select(F.col("epoch").cast("long").alias("epoch"), "doc_id", "batch")
 
 
-@query("split_by_size", "SELECT n_nationkey::BIGINT AS row, floor(n_nationkey * (25 // 4) / 25)::BIGINT AS chunk FROM nation")
+@query("split_by_size", "SELECT doc_id AS row, floor(doc_id * (n // 48) / n)::BIGINT AS chunk FROM documents, (SELECT count(*) AS n FROM documents)")
 def split_by_size(s, d):
-    return batch.split_by_size(table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("row")), 4, "row")
+    return batch.split_by_size(table(s, d, "documents").select(F.col("doc_id").alias("row")), 48, "row")
 
 
-@query("nested_columns", "SELECT n_nationkey::BIGINT AS \"row\", n_name AS \"nation/name\", n_regionkey::BIGINT AS \"nation/at/region\" FROM nation")
+@query("nested_columns", "SELECT doc_id AS \"row\", source AS \"doc/name\", n_chars AS \"doc/at/size\" FROM documents")
 def nested_columns(s, d):
-    n = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("n"), F.col("n_name").alias("nation/name"), F.col("n_regionkey").cast("long").alias("nation/at/region"))
+    n = table(s, d, "documents").select(F.col("doc_id").alias("n"), F.col("source").alias("doc/name"), F.col("n_chars").alias("doc/at/size"))
     return batch.flatten(batch.unflatten(batch.rename(n, {"n": "row"})))
 
 

@@ -80,21 +80,31 @@ def upsert(s, d):
     return vote.upsert(o, o.where("o_orderkey % 7 = 0").select("o_orderkey", F.lit("R").alias("o_orderstatus")), "o_orderkey")
 
 
-FUZZY = "[('(a)','a'),('a','(a)'),('1.0','1'),('it''s','its'),('[x]','x'),('x','[x]'),('what?','what'),('a','b'),('1','2'),('x','x'),('(b)','c')]"
+# Every form that the match knows, made of a turn's first word and number: eight kinds, in turn.
+FUZZY = """SELECT conv_id, turn, CASE turn % 8 WHEN 0 THEN '(' || w[1] || ')' WHEN 1 THEN w[1] WHEN 2 THEN turn || '.0' WHEN 3 THEN w || '''s' WHEN 4 THEN '[' || w || ']' WHEN 6 THEN w || '?' ELSE w END AS p,
+CASE turn % 8 WHEN 0 THEN w[1] WHEN 1 THEN '(' || w[1] || ')' WHEN 2 THEN turn || '' WHEN 3 THEN w || 's' WHEN 5 THEN '[' || w || ']' WHEN 7 THEN role ELSE w END AS r FROM (SELECT *, split_part(text, ' ', 1) AS w FROM conversations)"""
 
 
-@query("fuzzy_match", f"""WITH t AS (SELECT unnest({FUZZY}) AS x), p AS (SELECT x[1] AS p, x[2] AS r FROM t)
-SELECT p, r, CASE WHEN p = r THEN true WHEN length(p) = 3 AND p[1] = '(' AND p[3] = ')' THEN p[2] = r WHEN length(r) = 3 AND r[1] = '(' AND r[3] = ')' THEN r[2] = p
-ELSE coalesce(TRY_CAST(p AS DOUBLE) = TRY_CAST(r AS DOUBLE), false) OR replace(p, '''', '') = replace(r, '''', '') OR '[' || r || ']' = p OR '[' || p || ']' = r OR (p LIKE '%?' AND p[:-2] = r) END AS hit FROM p""")
+@query("fuzzy_match", f"""SELECT conv_id, turn, CASE WHEN p = r THEN true WHEN length(p) = 3 AND p[1] = '(' AND p[3] = ')' THEN p[2] = r WHEN length(r) = 3 AND r[1] = '(' AND r[3] = ')' THEN r[2] = p
+ELSE coalesce(TRY_CAST(p AS DOUBLE) = TRY_CAST(r AS DOUBLE), false) OR replace(p, '''', '') = replace(r, '''', '') OR '[' || r || ']' = p OR '[' || p || ']' = r OR (p LIKE '%?' AND p[:-2] = r) END AS hit FROM ({FUZZY})""")
 def fuzzy(s, d):
-    rows = [("(a)", "a"), ("a", "(a)"), ("1.0", "1"), ("it's", "its"), ("[x]", "x"), ("x", "[x]"), ("what?", "what"), ("a", "b"), ("1", "2"), ("x", "x"), ("(b)", "c")]
-    return s.createDataFrame(rows, "p string, r string").select("p", "r", grading.fuzzy(F.col("p"), F.col("r")).alias("hit"))
+    w, kind, turn = F.get(F.split("text", " "), F.lit(0)), F.col("turn") % 8, F.col("turn").cast("string")
+    first = F.substring(w, 1, 1)
+    around = lambda a, x, b: F.concat(F.lit(a), x, F.lit(b))
+    p = F.when(kind == 0, around("(", first, ")")).when(kind == 1, first).when(kind == 2, around("", turn, ".0")).when(kind == 3, around("", w, "'s"))
+    p = p.when(kind == 4, around("[", w, "]")).when(kind == 6, around("", w, "?")).otherwise(w)
+    r = F.when(kind == 0, first).when(kind == 1, around("(", first, ")")).when(kind == 2, turn).when(kind == 3, around("", w, "s"))
+    r = r.when(kind == 5, around("[", w, "]")).when(kind == 7, F.col("role")).otherwise(w)
+    return table(s, d, "conversations").select("conv_id", "turn", grading.fuzzy(p, r).alias("hit"))
 
 
-@query("answer_equivalence", "SELECT unnest(['1/2','(1)/(2)','0.5','\\frac{1}{2}','2']) AS a, unnest([true,true,true,true,false]) AS same")
+@query("answer_equivalence", "SELECT conv_id, turn, conv_id % 5 = turn % 5 AS same FROM conversations")
 def equivalence(s, d):
-    rows = [("1/2",), ("(1)/(2)",), ("0.5",), ("\\frac{1}{2}",), ("2",)]
-    return s.createDataFrame(rows, "a string").select("a", grading.equivalent(F.col("a"), F.lit("0.50")).alias("same"))
+    """Halves written as quotients, in brackets, as decimals and as fractions, against decimals."""
+    x, kind = (F.col("conv_id") % 5).cast("string"), F.col("turn") % 4
+    around = lambda a, y, b: F.concat(F.lit(a), y, F.lit(b))
+    a = F.when(kind == 0, around("", x, "/2")).when(kind == 1, around("(", x, ")/(2)")).when(kind == 2, (F.col("conv_id") % 5 / 2).cast("string")).otherwise(around("\\frac{", x, "}{2}"))
+    return table(s, d, "conversations").select("conv_id", "turn", grading.equivalent(a, F.format_string("%.2f", F.col("turn") % 5 / 2)).alias("same"))
 
 
 # ---- text (documents, conversations)
@@ -511,10 +521,11 @@ def clipped(s, d):
     return table(s, d, "events").select("event_id", r6(out["loss"], "loss"), out["clipped"].alias("clipped"))
 
 
-@query("lr_schedules", "SELECT s AS step, least(1.0, s / 10.0)::DOUBLE AS constant, round(CASE WHEN s < 10 THEN s / 10.0 ELSE greatest(0, 0.5 * (1 + cos(pi() * (s - 10) / 90.0))) END, 6)::DOUBLE AS cosine FROM (SELECT unnest(range(101)) AS s)")
+@query("lr_schedules", "SELECT s AS step, least(1.0, s / 10.0)::DOUBLE AS constant, round(CASE WHEN s < 10 THEN s / 10.0 ELSE greatest(0, 0.5 * (1 + cos(pi() * (s - 10) / 90.0))) END, 6)::DOUBLE AS cosine FROM (SELECT DISTINCT event_id // 64 AS s FROM events)")
 def schedules(s, d):
-    st = F.col("step")
-    return s.range(101).withColumnRenamed("id", "step").select(st, advantage.warmup_constant(st, 10).alias("constant"), r6(advantage.warmup_cosine(st, 10, 100), "cosine"))
+    st = F.col("step")  # batches of 64 events
+    steps = table(s, d, "events").select(F.floor(F.col("event_id") / 64).cast("long").alias("step")).distinct()
+    return steps.select(st, advantage.warmup_constant(st, 10).alias("constant"), r6(advantage.warmup_cosine(st, 10, 100), "cosine"))
 
 
 # ---- graph (sets: event types per user, sources per language)
@@ -563,36 +574,46 @@ def comps(s, d):
 # ---- batches, joins, streams
 
 
-@query("repeat_interleave", "SELECT n_nationkey, r AS rep, n_nationkey * 3 + r AS position FROM nation, range(3) t(r)")
+# Documents as dense rows: doc_id counts from 0.
+
+
+def doc_rows(s, d, *more):
+    return table(s, d, "documents").select(F.col("doc_id").alias("row"), *more)
+
+
+@query("repeat_interleave", "SELECT doc_id AS row, r AS rep, doc_id * 3 + r AS position FROM documents, range(3) t(r)")
 def repeat(s, d):
-    return batch.repeat(table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey")), 3, "n_nationkey").select("n_nationkey", "rep", "position")
+    return batch.repeat(doc_rows(s, d), 3, "row").select("row", "rep", "position")
 
 
-@query("pad_to_divisor", "SELECT n_nationkey::BIGINT AS row, n_name, false AS padded FROM nation UNION ALL SELECT 25 + i, n_name, true FROM range(7) t(i) JOIN nation ON n_nationkey = i % 25")
+@query("pad_to_divisor", """SELECT doc_id AS row, source, false AS padded FROM documents
+UNION ALL SELECT n + i, source, true FROM (SELECT count(*) AS n FROM documents), range(48) t(i) JOIN documents ON doc_id = i WHERE i < (48 - n % 48) % 48""")
 def pad(s, d):
-    return batch.pad_to_divisor(table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("row"), "n_name"), 8, "row")
+    return batch.pad_to_divisor(doc_rows(s, d, "source"), 48, "row")
 
 
-@query("chunk_rows", "SELECT n_nationkey::BIGINT AS row, floor(n_nationkey * 5 / 25)::BIGINT AS chunk FROM nation")
+@query("chunk_rows", "SELECT doc_id AS row, floor(doc_id * 7 / (SELECT count(*) FROM documents))::BIGINT AS chunk FROM documents")
 def chunk(s, d):
-    return batch.chunk(table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("row")), 5, "row")
+    return batch.chunk(doc_rows(s, d), 7, "row")
 
 
-@query("reorder_rows", "SELECT 24 - n_nationkey::BIGINT AS position, n_name FROM nation")
+@query("reorder_rows", "SELECT (SELECT max(doc_id) FROM documents) - doc_id AS position, source FROM documents")
 def reorder(s, d):
-    n = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("row"), "n_name")
-    return batch.reorder(n, s.range(25).select(F.col("id").alias("position"), (24 - F.col("id")).alias("row")), "row").select("position", "n_name")
+    n = doc_rows(s, d, "source")
+    order = n.select("row").crossJoin(F.broadcast(n.agg(F.max("row").alias("last")))).select((F.col("last") - F.col("row")).alias("position"), "row")  # one row
+    return batch.reorder(n, order, "row").select("position", "source")
 
 
-@query("column_union", "SELECT n_nationkey::BIGINT AS row, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+@query("column_union", "SELECT doc_id AS row, source, lang FROM documents")
 def column_union(s, d):
-    n = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("row"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
-    return batch.column_union(n.select("row", "n_name"), n, "row")
+    n = doc_rows(s, d, "source", "lang")
+    return batch.column_union(n.select("row", "source"), n, "row")
 
 
-@query("positional_join", "SELECT r_name, n_name FROM region JOIN nation ON r_regionkey = n_nationkey")
+@query("positional_join", "SELECT source, html[:9] AS head FROM documents JOIN pages ON doc_id = page_id")
 def positional(s, d):
-    return batch.zip_join(table(s, d, "region").select(F.col("r_regionkey").alias("row"), "r_name"), table(s, d, "nation").select(F.col("n_nationkey").alias("row"), "n_name"), "row").select("r_name", "n_name")
+    pages = table(s, d, "pages").select(F.col("page_id").alias("row"), F.substring("html", 1, 9).alias("head"))
+    return batch.zip_join(doc_rows(s, d, "source"), pages, "row").select("source", "head")
 
 
 @query("resume_antijoin", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)")
@@ -609,11 +630,12 @@ def fallback(s, d):
     return joins.left_with_fallback(table(s, d, "documents").select("doc_id"), l, ["doc_id"], "quality", F.concat(F.lit("doc-"), F.col("doc_id"))).select("doc_id", "quality")
 
 
-@query("probe_join", "SELECT n_name, n_nationkey::BIGINT AS found FROM nation")
+@query("probe_join", "SELECT 'Name ' || doc_id AS name, doc_id AS found FROM documents")
 def probe(s, d):
-    n = table(s, d, "nation")
-    key = F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).when(F.col("n_nationkey") % 3 == 1, F.lower("n_name")).otherwise(F.concat(F.lit("concept:"), F.lower("n_name")))
-    return joins.probe(n.select("n_name"), "n_name", n.select(key.alias("k"), F.col("n_nationkey").cast("long").alias("found")), "k", "found")
+    name = F.concat(F.lit("Name "), F.col("doc_id"))
+    key = F.when(F.col("doc_id") % 3 == 0, name).when(F.col("doc_id") % 3 == 1, F.lower(name)).otherwise(F.concat(F.lit("concept:"), F.lower(name)))
+    n = table(s, d, "documents").select(name.alias("name"), key.alias("k"), F.col("doc_id").alias("found"))
+    return joins.probe(n.select("name"), "name", n.select("k", "found"), "k", "found")
 
 
 @query("ema_counts", "WITH b AS (SELECT event_id // 1000 AS b, user_id % 16 AS c, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT b, row_number() OVER (ORDER BY b) AS t FROM (SELECT DISTINCT b FROM b)), m AS (SELECT max(t) AS T FROM t) SELECT k AS cluster_id, round(pow(0.9, (SELECT T FROM m)) + coalesce((SELECT sum(0.1 * pow(0.9, (SELECT T FROM m) - t) * n) FROM b JOIN t USING (b) WHERE c = k), 0), 6) AS count FROM (SELECT unnest(range(20)) AS k)")

@@ -101,9 +101,9 @@ def deep(s, d):
     return reports.deep_chains(iterations(s, d), "user_id", 26).select("user_id", "it", "num_valid", "decision")
 
 
-@query("concept_heat_map", TRACE + "SELECT user_id, " + ", ".join(f"round(avg(r_m) FILTER (it = {i}), 6) AS s{i}" for i in range(1, 6)) + " FROM q GROUP BY 1")
+@query("concept_heat_map", TRACE + "SELECT user_id, " + ", ".join(f"round(avg(r_m) FILTER (it = {i}), 6) AS s{i}" for i in range(1, 32)) + " FROM q GROUP BY 1")
 def heat(s, d):
-    return rounded(reports.heat_map(trace(s, d), "user_id", "it", list(range(1, 6)), "r_m"), *[f"s{i}" for i in range(1, 6)])
+    return rounded(reports.heat_map(trace(s, d), "user_id", "it", list(range(1, 32)), "r_m"), *[f"s{i}" for i in range(1, 32)])
 
 
 @query("dataset_score_table", TRACE + "SELECT user_id, count(*) AS n, round(avg(valid::INT) * 100, 2) AS score FROM q WHERE (user_id, event_id) NOT IN (SELECT (user_id, max(event_id)) FROM q GROUP BY user_id) GROUP BY 1")
@@ -169,9 +169,10 @@ def whiten(s, d):
     return rounded(advantage.whiten(table(s, d, "events"), "event_type", "value", F.col("event_type") != "view").select("event_id", "whitened"), "whitened")
 
 
-@query("advantage_remax", "SELECT event_id, round(value - n_chars / 100.0, 6)::DOUBLE AS advantage FROM events JOIN documents ON event_id = doc_id")
+@query("advantage_remax", "SELECT event_id, round(value - b, 6)::DOUBLE AS advantage FROM events JOIN (SELECT user_id, min_by(value, event_id) AS b FROM events GROUP BY 1) USING (user_id)")
 def remax(s, d):
-    e = table(s, d, "events").join(table(s, d, "documents").select(F.col("doc_id").alias("event_id"), (F.col("n_chars") / 100.0).alias("b")), "event_id")
+    greedy = table(s, d, "events").groupBy("user_id").agg(F.min_by("value", "event_id").alias("b"))  # the first rollout stands for the greedy one
+    e = table(s, d, "events").join(greedy, "user_id")
     return rounded(advantage.by_name(e, "remax", "user_id", "value", baseline="b").select("event_id", "advantage"), "advantage")
 
 
