@@ -22,14 +22,14 @@ def affine(df: DataFrame, group: str, order: list[str], a: Column, b: Column, re
     """
     keep = [c for c in df.columns if c not in ("before", "after")]
     by = [F.col(group).desc(), *[F.col(c).desc() for c in order]] if reverse else [F.col(group).asc(), *[F.col(c).asc() for c in order]]
-    given = df.select(*keep, F.coalesce(a.cast("double"), F.lit(0.0)).alias("__a"), F.coalesce(b.cast("double"), F.lit(0.0)).alias("__b"))
-    dealt = (given.repartitionByRange(partitions, *by) if partitions else given.repartitionByRange(*by)).sortWithinPartitions(*by).withColumn("__p", F.spark_partition_id())
+    given = df.select(*keep, F.coalesce(a.cast("double"), F.lit(0.0)).alias("__mr_a"), F.coalesce(b.cast("double"), F.lit(0.0)).alias("__mr_b"))
+    dealt = (given.repartitionByRange(partitions, *by) if partitions else given.repartitionByRange(*by)).sortWithinPartitions(*by).withColumn("__mr_p", F.spark_partition_id())
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
 
     def compose(batches):
         last, run, coefficient, first = None, 0.0, 1.0, True
         for batch in batches:
-            out = {"__x": [], "__c": [], "__y": [], "__d": [], "__f": []}
+            out = {"__mr_x": [], "__mr_c": [], "__mr_y": [], "__mr_d": [], "__mr_f": []}
             new = batch[group].ne(batch[group].shift()) & ~(batch[group].isna() & batch[group].shift().isna())
             starts = new.to_numpy(copy=True)
             if len(batch):
@@ -38,46 +38,46 @@ def affine(df: DataFrame, group: str, order: list[str], a: Column, b: Column, re
                 else:
                     starts[0] = False  # the first segment may go on from the partition before
                 last = (batch[group].iloc[-1],)
-            for begins, x, y in zip(starts.tolist(), batch["__a"].tolist(), batch["__b"].tolist()):
+            for begins, x, y in zip(starts.tolist(), batch["__mr_a"].tolist(), batch["__mr_b"].tolist()):
                 if begins:
                     run, coefficient, first = 0.0, 1.0, False
                 for name, value in zip(out, (run, coefficient if first else 0.0)):
                     out[name].append(value)
                 run, coefficient = y + x * run, x * coefficient
-                out["__y"].append(run)
-                out["__d"].append(coefficient if first else 0.0)
-                out["__f"].append(first)
+                out["__mr_y"].append(run)
+                out["__mr_d"].append(coefficient if first else 0.0)
+                out["__mr_f"].append(first)
             yield batch.assign(**out)
 
-    held = materialize(dealt.mapInPandas(compose, f"{kind}, __x double, __c double, __y double, __d double, __f boolean"))
+    held = materialize(dealt.mapInPandas(compose, f"{kind}, __mr_x double, __mr_c double, __mr_y double, __mr_d double, __mr_f boolean"))
     # Of each partition the first and last group and the total of what reaches its end: a row per partition.
-    held_n = held.withColumn("__n", F.monotonically_increasing_id())
-    ends = held_n.groupBy("__p").agg(
-        F.min_by(F.struct(F.col(group).alias("g")), "__n").alias("first"), F.max_by(F.struct(F.col(group).alias("g"), F.col("__y").alias("y"), F.col("__d").alias("d")), "__n").alias("last")
+    held_n = held.withColumn("__mr_n", F.monotonically_increasing_id())
+    ends = held_n.groupBy("__mr_p").agg(
+        F.min_by(F.struct(F.col(group).alias("g")), "__mr_n").alias("first"), F.max_by(F.struct(F.col(group).alias("g"), F.col("__mr_y").alias("y"), F.col("__mr_d").alias("d")), "__mr_n").alias("last")
     )
     carries, group_before, value = [], None, 0.0
-    for r in sorted(ends.collect(), key=lambda r: r["__p"]):
+    for r in sorted(ends.collect(), key=lambda r: r["__mr_p"]):
         comes = value if group_before is not None and group_before[0] == r["first"]["g"] else 0.0
-        carries.append((r["__p"], comes))
+        carries.append((r["__mr_p"], comes))
         group_before, value = (r["last"]["g"],), r["last"]["y"] + r["last"]["d"] * comes
-    carried = F.broadcast(df.sparkSession.createDataFrame(carries, "__q int, __comes double"))
-    joined = held.join(carried, F.col("__p") == F.col("__q"), "left")
-    return joined.select(*keep, (F.col("__x") + F.col("__c") * F.col("__comes")).alias("before"), (F.col("__y") + F.col("__d") * F.col("__comes")).alias("after"))
+    carried = F.broadcast(df.sparkSession.createDataFrame(carries, "__mr_q int, __mr_comes double"))
+    joined = held.join(carried, F.col("__mr_p") == F.col("__mr_q"), "left")
+    return joined.select(*keep, (F.col("__mr_x") + F.col("__mr_c") * F.col("__mr_comes")).alias("before"), (F.col("__mr_y") + F.col("__mr_d") * F.col("__mr_comes")).alias("after"))
 
 
 def discounted(df: DataFrame, group: str, order: list[str], reward: Column, gamma: float, mask: Column | None = None) -> DataFrame:
     """W-3: ``df`` with ``returns``: the reward and ``gamma`` times what follows, of which nothing is carried on behind a masked row."""
     m = F.lit(1.0) if mask is None else mask.cast("double")
-    out = affine(df.withColumn("__r", reward.cast("double")), group, order, m * gamma, m * F.col("__r"), reverse=True)
-    return out.withColumn("returns", F.col("__r") + gamma * F.col("before")).drop("__r", "before", "after")
+    out = affine(df.withColumn("__mr_r", reward.cast("double")), group, order, m * gamma, m * F.col("__mr_r"), reverse=True)
+    return out.withColumn("returns", F.col("__mr_r") + gamma * F.col("before")).drop("__mr_r", "before", "after")
 
 
 def gae(df: DataFrame, group: str, order: list[str], reward: Column, value: Column, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
     """W-4: ``df`` with ``advantage`` and ``return``. What is carried is ``gamma * (value + lam * advantage)`` of the next row, so no row looks ahead."""
-    some = df.withColumns({"__r": reward.cast("double"), "__v": value.cast("double")})
-    rest = F.col("__r") - F.col("__v")
-    out = affine(some, group, order, F.lit(gamma * lam), gamma * F.col("__v") + gamma * lam * rest, reverse=True)
-    return out.withColumn("advantage", rest + F.col("before")).withColumn("return", F.col("advantage") + F.col("__v")).drop("__r", "__v", "before", "after")
+    some = df.withColumns({"__mr_r": reward.cast("double"), "__mr_v": value.cast("double")})
+    rest = F.col("__mr_r") - F.col("__mr_v")
+    out = affine(some, group, order, F.lit(gamma * lam), gamma * F.col("__mr_v") + gamma * lam * rest, reverse=True)
+    return out.withColumn("advantage", rest + F.col("before")).withColumn("return", F.col("advantage") + F.col("__mr_v")).drop("__mr_r", "__mr_v", "before", "after")
 
 
 def positions(df: DataFrame, group: str, order: list[str], mask: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from millrace.functions import text
 from millrace.operators import advantage, batch, dedup, filters, graph, reports, select, vectors
 from millrace.plans.registry import query
 from millrace.session import table
+from millrace.streaming import rewards
 
 
 def r6(c, name):
@@ -225,6 +226,20 @@ def diversity(s, d):
     c, zone = F.col, F.least(F.col("s"), 1 - F.col("s")) / 0.5
     return known.select("event_id", *[r6(vectors.diversity_bonus(m, c("s") >= 0.5, c("rarity"), c("u"), c("w"), zone), f"m{m}") for m in range(1, 6)])
 
+@query("diversity_rewards", """WITH e AS (SELECT event_id, event_id // 1000 AS b, user_id % 16 AS c, value - floor(value) AS s, value * 7 - floor(value * 7) AS w, value - floor(value) >= 0.5 AND event_type <> 'view' AS ok FROM events),
+n AS (SELECT b, c, count(*) AS n FROM e WHERE ok GROUP BY ALL), steps AS (SELECT b, row_number() OVER (ORDER BY b) - 1 AS i, sum(n) AS m FROM n GROUP BY b),
+sums AS (SELECT a.b, n.c, sum(0.1 * pow(0.9, a.i - 1 - z.i) * n.n) AS held FROM steps a JOIN steps z ON z.i < a.i JOIN n ON n.b = z.b GROUP BY ALL),
+k AS (SELECT a.b, m, x.c, pow(0.9, i) + coalesce(held, 0) AS held FROM steps a CROSS JOIN (SELECT unnest(range(20)) AS c) x LEFT JOIN sums ON sums.b = a.b AND sums.c = x.c),
+r AS (SELECT b, c, m, exp(-held / (sum(held) OVER (PARTITION BY b) / 20)) AS rarity FROM k),
+p AS (SELECT event_id, ok, w, least(s, 1 - s) / 0.5 AS z, rarity, CASE WHEN m <= 1 THEN 1 ELSE 1 - (n - 1) / (m - 1) END AS u FROM e LEFT JOIN n USING (b, c) LEFT JOIN r USING (b, c))
+SELECT event_id, 0::DOUBLE AS bonus_1, round(CASE WHEN ok THEN 0.1 * rarity * z ELSE 0 END, 6)::DOUBLE AS bonus_2, round(CASE WHEN ok THEN (0.1 * rarity + 0.05 * u + 0.05 * w) * z ELSE 0 END, 6)::DOUBLE AS bonus_4, round(CASE WHEN ok THEN rarity ELSE 0 END, 6)::DOUBLE AS bonus_5 FROM p""")
+def diversity_rewards(s, d):
+    v = F.col("value")
+    part = v - F.floor(v)
+    e = table(s, d, "events").select("event_id", "event_type", "value", F.floor(F.col("event_id") / 1000).alias("b"), (F.col("user_id") % 16).alias("c"), (F.least(part, 1 - part) / 0.5).alias("zone"))
+    out = rewards.rewards_by_batch(e, "b", "c", (part >= 0.5) & (F.col("event_type") != "view"), v * 7 - F.floor(v * 7), 20, (1, 2, 4, 5), "zone")
+    return out.select("event_id", *[r6(F.col(f"bonus_{m}"), f"bonus_{m}") for m in (1, 2, 4, 5)])
+
 
 # ---- sets and graphs (sets: event types of a user)
 

@@ -14,10 +14,10 @@ def ema_closed_form(df: DataFrame, batch: str, cluster: str, k: int, alpha: floa
 
     Batches are numbered by rank among those that are not empty.
     """
-    from pyspark.sql import Window
+    from millrace.operators.batch import numbered
 
     per = df.groupBy(batch, F.col(cluster).cast("long").alias("cluster_id")).agg(F.count(F.lit(1)).alias("n"))
-    number = per.select(batch).distinct().withColumn("t", F.row_number().over(Window.orderBy(batch)))
+    number = numbered(per.select(batch).distinct(), [batch], "t").withColumn("t", F.col("t") + 1)
     last = number.agg(F.coalesce(F.max("t"), F.lit(0)).alias("steps"))
     sums = per.join(number, batch).crossJoin(last).groupBy("cluster_id").agg(F.sum((1 - gamma) * F.pow(F.lit(gamma), F.col("steps") - F.col("t")) * F.col("n")).alias("s"))
     return df.sparkSession.range(k).withColumnRenamed("id", "cluster_id").join(sums, "cluster_id", "left").crossJoin(last).select(
