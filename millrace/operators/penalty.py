@@ -33,20 +33,37 @@ def bleu(hypothesis: list[str], reference: list[str], n: int = 4, epsilon: float
 
 
 def average_linkage(d: np.ndarray, threshold: float) -> np.ndarray:
-    """Labels of average-linkage clustering cut at a distance, by the nearest-pair rule with running sums."""
-    n = len(d)
-    link, size, alive, label = d.astype(float).copy(), np.ones(n), np.ones(n, bool), np.arange(n)
+    """Labels of average-linkage clustering cut at a distance, by chains of nearest neighbours; a cluster is named by its first text.
+
+    Of equal distances the pair whose names come first is nearer; with that order the chains find the merges of the nearest-pair rule, in
+    time quadratic in the texts. Sums of distances are kept, so averages do not depend on the order of merges. A cluster whose
+    nearest neighbour is at the threshold or beyond is done.
+    """
+    n, total = len(d), d.astype(float).copy()
+    link, size, label, todo = d.astype(float).copy(), np.ones(n), np.arange(n), np.ones(n, bool)
     np.fill_diagonal(link, np.inf)
-    while alive.sum() > 1:
-        i, j = np.unravel_index(np.argmin(link), link.shape)
-        if link[i, j] >= threshold:
-            break
-        merged = (size[i] * link[i] + size[j] * link[j]) / (size[i] + size[j])
-        link[i], link[:, i] = merged, merged
-        link[i, i] = np.inf
-        link[j], link[:, j], alive[j] = np.inf, np.inf, False
-        size[i] += size[j]
-        label[label == j] = i
+    chain: list[int] = []
+    while chain or todo.any():
+        if not chain:
+            chain.append(int(todo.argmax()))
+        at = chain[-1]
+        near = int(link[at].argmin())  # the first of equal ones
+        if link[at, near] >= threshold:
+            todo[chain.pop()] = False
+            link[at], link[:, at] = np.inf, np.inf
+        elif len(chain) > 1 and near == chain[-2]:
+            del chain[-2:]
+            i, j = sorted((at, near))
+            total[i] += total[j]
+            total[:, i] = total[i]
+            size[i] += size[j]
+            merged = np.where(np.isinf(link[i]) | np.isinf(link[j]), np.inf, total[i] / (size[i] * size))
+            merged[[i, j]] = np.inf
+            link[j], link[:, j] = np.inf, np.inf
+            link[i], link[:, i] = merged, merged
+            label[label == j], todo[j] = i, False
+        else:
+            chain.append(near)
     return label
 
 

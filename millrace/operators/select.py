@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from millrace.operators import scans
+from millrace.operators.batch import numbered
+from millrace.session import materialize
 
 #: Rows of one cluster that the sequential selection takes into one task; beyond it the caller must block further.
 MAX_GROUP = 200_000
@@ -85,12 +87,39 @@ def split_by_hash(df: DataFrame, key: str, test_share: float = 0.1, seed: int =
 
 
 def weighted_draws(groups: DataFrame, group: str, weight: str, draws: int, seed: int = 0) -> DataFrame:
-    """T-6: ``draws`` groups with probability by weight: a range join of hash uniforms with cumulative shares."""
-    w = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, 0)
-    total = groups.agg(F.sum(weight).alias("__t"))
-    edges = groups.withColumn("__c", F.sum(weight).over(w)).crossJoin(total).select(group, ((F.col("__c") - F.col(weight)) / F.col("__t")).alias("lo"), (F.col("__c") / F.col("__t")).alias("hi"))
-    u = groups.sparkSession.range(draws).select(F.col("id").alias("draw"), hash_uniform("id", seed=seed).alias("u"))
-    return u.join(edges, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", group)
+    """T-6: ``(draw, group)``: ``draws`` groups with probability by weight, with replacement: uniforms of a hash meet the cumulative shares in one scan."""
+    whole = groups.where(F.col(weight) > 0).select(F.col(group).alias("__g"), F.col(weight).cast("double").alias("__w"))
+    shares = materialize(scans.affine(whole.withColumn("__o", F.lit(0)), "__o", ["__g"], F.lit(1), F.col("__w")))
+    named = materialize(numbered(shares, ["__g"], "__i"))
+    total = named.agg(F.sum("__w")).first()[0] or 0.0
+    edges = named.select(F.lit(0).alias("__o"), (F.col("before") / (total or 1.0)).alias("__at"), F.lit(0).alias("__kind"), F.col("__i").alias("__v"))
+    asked = groups.sparkSession.range(draws).select(F.lit(0).alias("__o"), md5_uniform(F.col("id"), seed).alias("__at"), F.lit(1).alias("__kind"), F.col("id").alias("__v"))
+    carry, value = F.col("__kind"), F.when(F.col("__kind") == 0, F.col("__v")).otherwise(0)
+    met = scans.affine(edges.unionByName(asked), "__o", ["__at", "__kind", "__v"], carry, value).where("__kind = 1")
+    return met.select(F.col("__v").alias("draw"), F.col("after").cast("long").alias("__i")).join(named.select("__i", F.col("__g").alias(group)), "__i").select("draw", group)
+
+
+def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 0) -> DataFrame:
+    """T-6: ``n`` rows without replacement, with probability by weight: the smallest exponential keys ``-ln(u) / weight``."""
+    u = F.greatest(md5_uniform(F.col(key), seed), F.lit(2.0**-60))
+    return df.where(F.col(weight) > 0).orderBy(-F.log(u) / F.col(weight), key).limit(n)
+
+
+def draws_with_examples(df: DataFrame, group: str, key: str, draws: int, examples: int = 3, seed: int = 0) -> DataFrame:
+    """T-6: ``(draw, group, place, key)``: groups drawn by their size, each with ``examples`` different rows of it, all if it has fewer.
+
+    Rows of a group are numbered in the order of a hash; a draw takes neighbours in it from a hashed start on, so a draw reads as many rows as it
+    gets and a large group costs no more.
+    """
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    rows = numbered(df.select(F.col(group).alias("__g"), F.col(key).alias("__k"), order.alias("__h")), ["__g", "__h", "__k"], "__n")
+    held = materialize(rows)
+    sizes = materialize(held.groupBy("__g").agg(F.count(F.lit(1)).alias("__size"), F.min("__n").alias("__first")))
+    drawn = weighted_draws(sizes.select(F.col("__g").alias(group), "__size"), group, "__size", draws, seed)
+    start = F.floor(md5_uniform(F.col("draw"), seed + 1) * F.col("__size"))
+    places = drawn.join(sizes, F.col(group) == F.col("__g")).withColumn("place", F.explode(F.sequence(F.lit(0), F.least(F.lit(examples).cast("long"), F.col("__size")).cast("int") - 1)))
+    at = places.select("draw", group, "place", (F.col("__first") + (start + F.col("place")) % F.col("__size")).alias("__at"))
+    return at.join(held, F.col("__at") == F.col("__n")).select("draw", group, "place", F.col("__k").alias(key))
 
 
 def kmeans(df: DataFrame, vector: str, k: int, seed: int = 42, starts: int = 10, iterations: int = 300):

@@ -149,3 +149,15 @@ def vector_moments(df: DataFrame, vector: str) -> DataFrame:
     parts = df.select(F.posexplode(vector).alias("position", "x"))
     x = F.col("x").cast("double")
     return parts.groupBy("position").agg(F.avg(x).alias("mean"), F.var_pop(x).alias("variance"))
+
+
+def runs(df: DataFrame, order: str, hit: Column) -> DataFrame:
+    """O-59: ``(first, last, length)`` of every run of rows that hold, with consecutive numbers; no window over the table, runs at the edges of
+    partitions are joined by a scan over the rows that hold."""
+    from millrace.operators import scans
+
+    rows = df.where(hit).select(F.lit(0).alias("__g"), F.col(order).cast("long").alias("__i"))
+    begins = scans.affine(rows, "__g", ["__i"], F.lit(0), F.col("__i") + 1)  # before: one more than the row before
+    new = F.when((F.col("before") == 0) | (F.col("before") != F.col("__i")), 1).otherwise(0)
+    first = begins.withColumn("__new", F.when(F.col("__i") == 0, 1).otherwise(new)).drop("before", "after")
+    return scans.affine(first, "__g", ["__i"], F.lit(1), F.col("__new")).groupBy("after").agg(F.min("__i").alias("first"), F.max("__i").alias("last"), F.count(F.lit(1)).alias("length")).drop("after")

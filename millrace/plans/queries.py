@@ -362,11 +362,31 @@ def split(s, d):
     return select.split_by_hash(table(s, d, "documents").select("doc_id"), "doc_id")
 
 
-@query("weighted_group_draws")
+U = "(('0x' || substr(md5({}), 1, 13))::BIGINT / {}::DOUBLE)".format("{}", 16**13)
+SHARES = "g AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), e AS (SELECT source, n, (sum(n) OVER (ORDER BY source) - n) / (SELECT sum(n) FROM g) AS lo FROM g)"
+
+
+@query("weighted_group_draws", f"""WITH {SHARES}, u AS (SELECT d AS draw, {U.format("'0:' || d")} AS u FROM range(200) t(d))
+SELECT draw, source FROM u JOIN e ON lo <= u QUALIFY row_number() OVER (PARTITION BY draw ORDER BY lo DESC) = 1""")
 def draws(s, d):
     return select.weighted_draws(stats.sizes(table(s, d, "documents"), "source"), "source", "size", 200)
 
 
+@query("draws_with_examples", f"""WITH {SHARES}, u AS (SELECT d AS draw, {U.format("'0:' || d")} AS u, {U.format("'1:' || d")} AS v FROM range(200) t(d)),
+w AS (SELECT draw, v, source, n FROM u JOIN e ON lo <= u QUALIFY row_number() OVER (PARTITION BY draw ORDER BY lo DESC) = 1),
+k AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('0:' || doc_id), doc_id) - 1 AS i FROM documents)
+SELECT draw, w.source, place::INT AS place, doc_id FROM w CROSS JOIN range(3) t(place) JOIN k ON k.source = w.source AND k.i = (floor(v * n)::BIGINT + place) % n WHERE place < n""")
+def draws_with_examples(s, d):
+    return select.draws_with_examples(table(s, d, "documents").select("doc_id", "source"), "source", "doc_id", 200).withColumn("place", F.col("place").cast("int"))
+
+
+@query("zero_runs", """SELECT min(vec_id) AS first, max(vec_id) AS last, count(*) AS length FROM (SELECT vec_id, vec_id - row_number() OVER (ORDER BY vec_id) AS g FROM embeddings WHERE label < 4) GROUP BY g""")
+def zero_runs(s, d):
+    """Vectors of some labels are set to zero."""
+    e = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.when(F.col("label") < 4, 0.0).otherwise(x)).alias("v"))
+    return vectors.runs(e, "vec_id", ~F.exists("v", lambda x: x != 0))
+
+
 @query("mmr_select")
 def mmr(s, d):
     e = table(s, d, "embeddings").withColumn("score", select.md5_uniform(F.col("vec_id"))).withColumn("source", F.pmod("vec_id", F.lit(4)))
