@@ -175,12 +175,32 @@ def corpus_counts(df: DataFrame) -> DataFrame:
 
 
 def read_limited(spark: SparkSession, paths: list[str], schema: str, limit: int) -> DataFrame:
-    """O-11: JSON lines of several sources, one after the other, up to a limit over all; lines that do not parse are skipped."""
-    parts, out = [], None
-    for i, p in enumerate(paths):
-        bad = "__mr_bad"
-        rows = spark.read.schema(f"{schema}, {bad} string").option("columnNameOfCorruptRecord", bad).json(p)
-        parts.append(rows.where(F.col(bad).isNull()).drop(bad).withColumn("source_number", F.lit(i)))
-    for p in parts:
-        out = p if out is None else out.unionByName(p)
-    return out.orderBy("source_number").limit(limit)
+    """O-11: JSON lines of several sources, one after the other, up to a limit over all; lines that do not parse are skipped.
+
+    ``row`` counts from 0 by source, file and line, however the files are split: rows are counted by file block, a scan gives what lies before each
+    block, and only within a block are rows put in order. Sources behind the one that reaches the limit are not read.
+    """
+    from pyspark.sql import Window
+
+    from millrace.operators import scans
+    from millrace.session import materialize
+
+    bad, at = "__mr_bad", ["source_number", "__mr_file", "__mr_block"]
+    taken, held = None, 0
+    for i, path in enumerate(paths):
+        if held >= limit:
+            break
+        rows = spark.read.schema(f"{schema}, {bad} string").option("columnNameOfCorruptRecord", bad).json(path)
+        names = [c for c in rows.columns if c != bad]
+        where = [F.lit(i).alias("source_number"), F.col("_metadata.file_path").alias("__mr_file"), F.col("_metadata.file_block_start").alias("__mr_block")]
+        # The place within what a task reads is taken before any other step.
+        rows = rows.select(*names, bad, *where, F.monotonically_increasing_id().alias("__mr_place")).where(F.col(bad).isNull() & F.to_json(F.struct(*names)).isNotNull()).drop(bad)
+        held += rows.count()
+        taken = rows if taken is None else taken.unionByName(rows)
+    if taken is None:
+        return spark.createDataFrame([], f"{schema}, source_number int, row long")
+    blocks = materialize(taken.groupBy(*at).agg(F.count(F.lit(1)).alias("__mr_n"))).withColumn("__mr_all", F.lit(0))
+    ahead = scans.affine(blocks, "__mr_all", at, F.lit(1), F.col("__mr_n")).where(F.col("before") < limit).select(*at, F.col("before").cast("long").alias("__mr_ahead"))
+    inside = F.row_number().over(Window.partitionBy(*at).orderBy("__mr_place")) - 1
+    out = taken.withColumn("__mr_inside", inside).join(ahead, at).withColumn("row", F.col("__mr_ahead") + F.col("__mr_inside")).where(F.col("row") < limit)
+    return out.drop("__mr_file", "__mr_block", "__mr_place", "__mr_inside", "__mr_ahead").orderBy("row")

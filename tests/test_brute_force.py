@@ -329,6 +329,29 @@ def test_writers(spark, tmp_path):
     assert [r["x"] for r in readers.read_named(spark, f"{tmp_path}/named@test").collect()] == ["b"]
 
 
+def test_limit_over_sources_by_file_and_line(spark, tmp_path):
+    want, n = [], 0
+    for source in "ab":
+        (tmp_path / source).mkdir()
+        for f in range(3):
+            lines = []
+            for _ in range(700):
+                good = n % 11 != 3
+                lines.append('{"t": %d, "pad": "%s"}' % (n, "x" * (n % 90)) if good else "{broken")
+                want += [n] if good else []
+                n += 1
+            (tmp_path / source / f"part-{f}.jsonl").write_text("\n".join(lines) + "\n")
+    paths = [str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "missing")]  # the last is behind the limit and never read
+    for split in ("4k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            for limit in (1, 1000, 2500):
+                got = sorted((r["row"], r["t"]) for r in readers.read_limited(spark, paths, "t long, pad string", limit).collect())
+                assert got == list(enumerate(want[:limit]))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 # ---- interfaces
 
 
