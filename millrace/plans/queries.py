@@ -325,8 +325,8 @@ def cluster_accuracy(s, d):
     return stats.cluster_accuracy(rows, "cluster_id", F.col("label") == F.col("cluster_id")).select("clusters", r6(F.col("mean_accuracy"), "mean_accuracy"), r6(F.col("var_accuracy"), "var_accuracy"))
 
 
-# Every third vector has a near copy without its first eight components, every fifth an exact one.
-COPIES = """SELECT vec_id * 3 AS id, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT vec_id * 3 + 1, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN i <= 8 THEN 0 ELSE x END) FROM embeddings WHERE vec_id % 3 = 0
+# Every third vector has a near copy with eight components moved by a hundredth, every fifth an exact one.
+COPIES = """SELECT vec_id * 3 AS id, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT vec_id * 3 + 1, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN i <= 8 THEN x + 0.01 ELSE x END) FROM embeddings WHERE vec_id % 3 = 0
 UNION ALL SELECT vec_id * 3 + 2, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 5 = 0"""
 
 
@@ -334,7 +334,7 @@ UNION ALL SELECT vec_id * 3 + 2, embedding::DOUBLE[] FROM embeddings WHERE vec_i
 r(n, m) AS (SELECT u, u FROM e UNION SELECT e.v, r.m FROM r JOIN e ON r.n = e.u) SELECT n AS node, min(m) AS component FROM r GROUP BY n""")
 def similarity_components(s, d):
     t = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    near = t.where("vec_id % 3 = 0").select((F.col("vec_id") * 3 + 1).alias("id"), F.transform("v", lambda x, i: F.when(i < 8, 0.0).otherwise(x)).alias("v"))
+    near = t.where("vec_id % 3 = 0").select((F.col("vec_id") * 3 + 1).alias("id"), F.transform("v", lambda x, i: F.when(i < 8, x + 0.01).otherwise(x)).alias("v"))
     both = t.select((F.col("vec_id") * 3).alias("id"), "v").unionByName(near).unionByName(t.where("vec_id % 5 = 0").select((F.col("vec_id") * 3 + 2).alias("id"), "v"))
     return dedup.similarity_groups(both, "id", "v", threshold=0.85, recall=0.99)
 
