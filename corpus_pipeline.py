@@ -1,4 +1,10 @@
-"""A corpus pipeline in five stages, each written as Parquet and read again for the next."""
+"""A corpus pipeline in five stages, each written as Parquet and read again for the next.
+
+Defined results, beside those of the operators: a null or empty text fails the quality rules; a null source, language or topic is a cell of its own in
+the mixing; rows with a null doc_id are compared with nothing and stay; of rows that share a doc_id that with the smallest text stays, and a document drawn
+more than once by the mixing is repeated; very long texts are handled whole; an empty table gives an empty result; further columns are
+carried to the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
