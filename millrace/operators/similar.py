@@ -1,7 +1,7 @@
 """Similar vectors at any size of a cluster: sequential removal by rounds, nearest neighbours, and groups without blocks from the caller.
 
-Two tables are compared block by block: rows of a cluster are dealt to blocks of bounded size, each block of one side meets each of
-the other in a task, and only what is asked leaves it (a flag or a few neighbours per row, a spanning forest), never all pairs.
+Two tables are compared block by block: a task holds a block of bounded size of one side and sees the rows of the other a batch at a
+time, and only what is asked leaves it (a flag or a few neighbours per row, a spanning forest), never all pairs.
 Vectors that are null, empty, zero or hold a null or non-finite component are similar to nothing.
 """
 
@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.components import connected_components
@@ -41,44 +41,118 @@ def unit_rows(column) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-12)[:, None]
 
 
-def blocked(left: DataFrame, right: DataFrame, run, schema: str, block: int | None = None) -> DataFrame:
-    """``run(table, table)`` for every block of ``left`` and of ``right`` ``(c, k, v)`` of the same cluster ``c``."""
-    size = block or BLOCK
-    blocks = lambda d, name: d.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-    both = blocks(left, "nl").join(blocks(right, "nr"), "c").select(F.col("c").alias("__c"), "nl", "nr")  # a row per cluster
-    dealt = lambda d, own, other, n, m: d.join(both, F.col("c") == F.col("__c")).select("c", "k", "v", F.pmod(F.xxhash64("k"), F.col(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other))
-    a = dealt(left, "lb", "rb", "nl", "nr").select("c", "lb", "rb", "k", "v")
-    b = dealt(right, "rb", "lb", "nr", "nl").select(*[F.col(n).alias(f"o_{n}") for n in ("c", "lb", "rb", "k", "v")])  # new names: both sides may be one table
-
-    def paired(x: pa.Table, y: pa.Table) -> pa.Table:
-        return run(x.select(["c", "k", "v"]), y.rename_columns([n.removeprefix("o_") for n in y.column_names]).select(["c", "k", "v"]))
-
-    return a.groupBy("c", "lb", "rb").cogroup(b.groupBy("o_c", "o_lb", "o_rb")).applyInArrow(paired, schema)
+def streamed(left: DataFrame, right: DataFrame, begin, schema: str, block: int | None = None) -> DataFrame:
+    """``begin(table)`` for every block of ``left`` ``(c, k, v)``; its ``see(table)`` gets all rows of ``right`` of the same cluster, a batch at a time, then ``result()`` is asked for.
 
-
-def _places(a: pa.Table, b: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of both tables' keys that compare as the keys do."""
-    keys = np.unique(np.concatenate([x := a["k"].to_numpy(), y := b["k"].to_numpy()]))
-    return np.searchsorted(keys, x), np.searchsorted(keys, y)
+    A task holds a block and a batch, whatever the size of the cluster; what leaves it is a result for each block.
+    """
+    size = block or BLOCK
+    blocks = left.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n")).select(F.col("c").alias("__c"), "n")  # a row per cluster
+    joined = lambda d: d.join(blocks, F.col("c") == F.col("__c"))
+    own = joined(left).select("c", F.pmod(F.xxhash64("k"), F.col("n")).cast("int").alias("b"), F.lit(0).alias("side"), "k", "v")
+    other = joined(right).select("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("b"), F.lit(1).alias("side"), "k", "v")
+    rows = own.unionByName(other).repartition("c", "b").sortWithinPartitions("c", "b", "side")
+
+    def runs(batches):
+        """Batches cut where the block or the side changes."""
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            label = [t[n].to_numpy() for n in ("c", "b", "side")]
+            cut = np.zeros(max(0, len(t) - 1), bool)
+            for x in label:
+                cut |= x[1:] != x[:-1]
+            edges = [0, *(np.flatnonzero(cut) + 1).tolist(), len(t)]
+            for a, z in zip(edges, edges[1:]):
+                if z > a:
+                    yield (label[0][a], int(label[1][a])), int(label[2][a]), t.slice(a, z - a).select(["c", "k", "v"])
+
+    def run(batches):
+        at, held, work = None, [], None
+        for name, side, t in runs(batches):
+            if name != at:
+                if work is not None:
+                    yield from work.result().to_batches()
+                at, held, work = name, [], None
+            if side == 0:
+                held.append(t)
+            else:
+                if work is None and held:
+                    work = begin(pa.concat_tables(held).combine_chunks())
+                if work is not None:
+                    work.see(t)
+        if work is not None:
+            yield from work.result().to_batches()
+
+    return rows.mapInArrow(run, schema)
+
+
+class _Side:
+    """A block of rows that others are compared with."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows, self.x, self.keys = rows, unit_rows(rows["v"]), rows["k"].to_numpy()
+
+    def compared(self, t: pa.Table):
+        """``(from row, similarities to t, keys of t, own keys)``, some rows at a time; keys are numbers that compare as keys do."""
+        y, keys = unit_rows(t["v"]), t["k"].to_numpy()
+        width = max(self.x.shape[1], y.shape[1])
+        x, y = (np.pad(z, ((0, 0), (0, width - z.shape[1]))) for z in (self.x, y))
+        every = np.unique(np.concatenate([self.keys, keys]))
+        own, other = np.searchsorted(every, self.keys), np.searchsorted(every, keys)
+        for at in range(0, len(x), SLICE):
+            yield at, x[at : at + SLICE] @ y.T, other, own[at : at + SLICE]
+
+
+class _Near(_Side):
+    """Which rows are similar to some row seen."""
+
+    def __init__(self, rows: pa.Table, threshold: float, inclusive: bool, earlier: bool):
+        super().__init__(rows)
+        self.threshold, self.inclusive, self.earlier, self.hit = threshold, inclusive, earlier, np.zeros(len(rows), bool)
+
+    def see(self, t: pa.Table) -> None:
+        for at, s, other, own in self.compared(t):
+            near = s >= self.threshold if self.inclusive else s > self.threshold
+            self.hit[at : at + len(s)] |= (near & (other < own[:, None]) if self.earlier else near).any(axis=1)
+
+    def result(self) -> pa.Table:
+        return self.rows.select(["c", "k"]).filter(pa.array(self.hit))
+
+
+class _Top(_Side):
+    """The ``k`` most similar other rows seen."""
+
+    def __init__(self, rows: pa.Table, k: int, names: list[str]):
+        super().__init__(rows)
+        self.k, self.names = k, names
+        self.row, self.score, self.found = np.zeros(0, np.int64), np.zeros(0), self.keys[:0]
+
+    def see(self, t: pa.Table) -> None:
+        keys, rows, scores, found = t["k"].to_numpy(), [self.row], [self.score], [self.found]
+        for at, s, other, own in self.compared(t):
+            s[own[:, None] == other] = -np.inf
+            most = min(self.k, s.shape[1])
+            least = -np.partition(-s, most - 1, axis=1)[:, most - 1]
+            i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+            rows.append(at + i)
+            scores.append(s[i, j])
+            found.append(keys[j])
+        row, score, key = np.concatenate(rows), np.concatenate(scores), np.concatenate(found)
+        order = np.lexsort((np.unique(key, return_inverse=True)[1], -score, row))
+        row = row[order]
+        first = order[np.arange(len(row)) - np.searchsorted(row, row) < self.k]
+        self.row, self.score, self.found = np.concatenate(rows)[first], score[first], key[first]
+
+    def result(self) -> pa.Table:
+        kind = self.rows.schema.field("k").type
+        rank = np.arange(len(self.row)) - np.searchsorted(self.row, self.row) + 1
+        columns = [self.rows["k"].take(pa.array(self.row)), pa.array(self.found, kind), pa.array(self.score), pa.array(rank.astype(np.int32))]
+        return pa.table(columns, names=self.names)
 
 
 def near_earlier(left: DataFrame, right: DataFrame, threshold: float, inclusive: bool, earlier: bool, kinds: tuple[str, str], block: int | None = None) -> DataFrame:
     """``(c, k)`` of the rows of ``left`` that are similar to some row of ``right``, to one with a smaller key if ``earlier``."""
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        hit = np.zeros(len(a), bool)
-        if len(a) and len(b):
-            x, y = unit_rows(a["v"]), unit_rows(b["v"])
-            width = max(x.shape[1], y.shape[1])
-            x, y = (np.pad(z, ((0, 0), (0, width - z.shape[1]))) for z in (x, y))
-            own, other = _places(a, b)
-            for at in range(0, len(x), SLICE):
-                s = x[at : at + SLICE] @ y.T
-                near = s >= threshold if inclusive else s > threshold
-                hit[at : at + SLICE] = (near & (other < own[at : at + SLICE, None]) if earlier else near).any(axis=1)
-        return a.select(["c", "k"]).filter(pa.array(hit, pa.bool_()))
-
-    return blocked(left, right, run, f"c {kinds[0]}, k {kinds[1]}", block).distinct()
+    return streamed(left, right, lambda rows: _Near(rows, threshold, inclusive, earlier), f"c {kinds[0]}, k {kinds[1]}", block)
 
 
 def removed(df: DataFrame, cluster: str, key: str, vector: str, threshold: float, inclusive: bool = False, accepted: DataFrame | None = None, block: int | None = None) -> DataFrame:
@@ -120,29 +194,8 @@ def neighbours(df: DataFrame, key: str, vector: str, block: str, k: int = 10, si
     kind = dict(df.dtypes)[key]
     rows = df.select(F.col(block).alias("c"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("k").isNotNull() & F.col("c").isNotNull())
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = []
-        if len(a) and len(b):
-            x, y = unit_rows(a["v"]), unit_rows(b["v"])
-            width = max(x.shape[1], y.shape[1])
-            x, y = (np.pad(z, ((0, 0), (0, width - z.shape[1]))) for z in (x, y))
-            own, other = _places(a, b)
-            for at in range(0, len(x), SLICE):
-                s = x[at : at + SLICE] @ y.T
-                s[own[at : at + SLICE, None] == other] = -np.inf
-                least = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
-                i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-                order = np.lexsort((other[j], -s[i, j], i))
-                i, j = i[order], j[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j = i[place < k], j[place < k]
-                out.append(pa.table([a["k"].take(pa.array(at + i)), b["k"].take(pa.array(j)), pa.array(s[i, j])], names=[key, "neighbour", "similarity"]))
-        empty = pa.table([a["k"].slice(0, 0), a["k"].slice(0, 0), pa.array([], pa.float64())], names=[key, "neighbour", "similarity"])
-        return pa.concat_tables([empty, *out])
-
-    found = blocked(rows, rows, run, f"{key} {kind}, neighbour {kind}, similarity double", size)
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("similarity"), "neighbour"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+    names = [key, "neighbour", "similarity", "rank"]
+    return streamed(rows, rows, lambda t: _Top(t, k, names), f"{key} {kind}, neighbour {kind}, similarity double, rank int", size)
 
 
 # ---- groups without blocks
