@@ -51,6 +51,11 @@ def moded(score: Column, diversity: Column, mode: int, weight: float = 1.0, low:
     return zpd(score, diversity, weight)
 
 
+def additive(score: Column, bonus: Column, valid: Column) -> Column:
+    """R-3, the additive form: uncertainty and a diversity bonus; -1 without a question or for an invalid (null or negative) score."""
+    return F.when(F.coalesce(valid & (score >= 0), F.lit(False)), F.least(score, 1 - score) + bonus).otherwise(-1.0)
+
+
 def format_boxed(t: Column) -> Column:
     """R-7: 1 with 20 words before a non-empty box, 0.5 with fewer, 0 without a box."""
     before = F.regexp_extract(t, r"(?s)^(.*?)\\boxed\{.+\}", 1)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions import text
+from millrace.functions import rewards, text
 from millrace.operators import advantage, batch, dedup, filters, graph, reports, select, vectors
 from millrace.plans.registry import query
 from millrace.session import table
-from millrace.streaming import rewards
+from millrace.streaming import rewards as stateful
 
 
 def r6(c, name):
@@ -237,9 +237,40 @@ def diversity_rewards(s, d):
     v = F.col("value")
     part = v - F.floor(v)
     e = table(s, d, "events").select("event_id", "event_type", "value", F.floor(F.col("event_id") / 1000).alias("b"), (F.col("user_id") % 16).alias("c"), (F.least(part, 1 - part) / 0.5).alias("zone"))
-    out = rewards.rewards_by_batch(e, "b", "c", (part >= 0.5) & (F.col("event_type") != "view"), v * 7 - F.floor(v * 7), 20, (1, 2, 4, 5), "zone")
+    out = stateful.rewards_by_batch(e, "b", "c", (part >= 0.5) & (F.col("event_type") != "view"), v * 7 - F.floor(v * 7), 20, (1, 2, 4, 5), "zone")
     return out.select("event_id", *[r6(F.col(f"bonus_{m}"), f"bonus_{m}") for m in (1, 2, 4, 5)])
 
+@query("reward_additive", """SELECT event_id, CASE WHEN s IS NULL THEN -1 ELSE least(s, 1 - s) END::DOUBLE AS uncertainty, CASE WHEN s IS NULL OR event_type = 'error' THEN -1 ELSE round(least(s, 1 - s) + b, 6) END::DOUBLE AS additive
+FROM (SELECT event_id, event_type, CASE WHEN event_type <> 'view' THEN round(value - floor(value), 6) END AS s, value * 3 - floor(value * 3) AS b FROM events)""")
+def reward_additive(s, d):
+    """Views have no score, errors no question."""
+    v = F.col("value")
+    score = F.when(F.col("event_type") != "view", F.round(v - F.floor(v), 6))
+    total = rewards.additive(score, v * 3 - F.floor(v * 3), F.col("event_type") != "error")
+    return table(s, d, "events").select("event_id", rewards.uncertainty(score).alias("uncertainty"), r6(total, "additive"))
+
+
+@query("kl_full", """SELECT event_id, round(q * (ln(q) - ln(p)) + (1 - q) * (ln(1 - q) - ln(1 - p)), 6) AS kl FROM (SELECT event_id, 0.1 + 0.8 * (value - floor(value)) AS p, 0.1 + 0.8 * (value * 3 - floor(value * 3)) AS q FROM events)""")
+def kl_full(s, d):
+    v = F.col("value")
+    p, q = 0.1 + 0.8 * (v - F.floor(v)), 0.1 + 0.8 * (v * 3 - F.floor(v * 3))
+    return table(s, d, "events").select("event_id", r6(advantage.kl_full(F.array(F.log(p), F.log(1 - p)), F.array(F.log(q), F.log(1 - q))), "kl"))
+
+
+SEQUENCE = "SELECT user_id, list(event_id % 50 ORDER BY event_id) AS ids FROM events GROUP BY 1"
+LEFT = "CASE WHEN len(x) < 64 THEN list_concat(list_transform(range(64 - len(x)), lambda i: {0}), x) ELSE x[-64:] END"
+
+
+@query("padded_ids", f"""SELECT user_id, array_to_string({LEFT.format(-1).replace('x', 'ids')}, ',') AS ids, list_sum({LEFT.format(0).replace('x', 'mask')})::BIGINT AS n_masked, ids[1:8] = cut[1:8] AS head_kept
+FROM (SELECT user_id, ids, list_transform(ids, lambda i: 1) AS mask, ids[:64] AS cut FROM ({SEQUENCE}))""")
+def padded_ids(s, d):
+    seq = table(s, d, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: x % 50).alias("ids"))
+    ids, mask = F.col("ids"), F.transform("ids", lambda x: F.lit(1))
+    left = batch.pad_or_cut(ids, 64, -1, left_pad=True, truncation="left")
+    right = batch.pad_or_cut(ids, 64, -1, left_pad=False, truncation="right")
+    n = F.aggregate(batch.pad_or_cut(mask, 64, 0, left_pad=True, truncation="left"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return seq.select("user_id", F.array_join(left.cast("array<string>"), ",").alias("ids"), n.alias("n_masked"), (F.slice(ids, 1, 8) == F.slice(right, 1, 8)).alias("head_kept"))
+
 
 # ---- sets and graphs (sets: event types of a user)
 

@@ -224,3 +224,14 @@ def test_centroid_forms_agree(spark, monkeypatch):
     fast = {r["vec_id"]: (r["cluster_id"], round(r["similarity"], 9)) for r in vectors.assign(e, c, "vec_id", "embedding").collect()}
     monkeypatch.setattr(vectors, "BROADCAST_CENTROIDS", 1)
     assert fast == {r["vec_id"]: (r["cluster_id"], round(r["similarity"], 9)) for r in vectors.assign(e, c, "vec_id", "embedding").collect()}
+
+
+def test_pad_or_cut(spark):
+    from millrace.operators import batch
+
+    df = spark.createDataFrame([([1, 2, 3],), ([1],), ([],), (None,)], "a array<int>")
+    got = df.select(batch.pad_or_cut(F.col("a"), 2, 0, True, "left").alias("l"), batch.pad_or_cut(F.col("a"), 2, 0, False, "right").alias("r")).collect()
+    assert [tuple(r) for r in got] == [([2, 3], [1, 2]), ([0, 1], [1, 0]), ([0, 0], [0, 0]), (None, None)]
+    assert df.where(F.size("a") < 3).select(batch.pad_or_cut(F.col("a"), 2, 0).alias("x")).collect()[0]["x"] == [0, 1]
+    with pytest.raises(Exception, match="longer than 2"):
+        df.select(batch.pad_or_cut(F.col("a"), 2, 0)).collect()
