@@ -217,11 +217,13 @@ def banded(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return by_band(rows, cut, lambda t: bucket_pairs(*signature_rows(t)))
 
 
-def left_open(rows: DataFrame, counts: DataFrame, component: DataFrame, found: DataFrame) -> DataFrame:
-    """``(a, b)``: the links that large bands lack whose nodes lie in several components ``(fp, c)``."""
-    large = rows.join(counts.select("key"), "key", "left_semi").join(component, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
+def left_open(rows: DataFrame, counts: DataFrame, nodes: DataFrame, component: DataFrame, found: DataFrame) -> DataFrame:
+    """``(a, b)``: the links that large bands lack whose nodes lie in several components ``(fp, c)``. Only their signatures and sets are shipped."""
+    large = rows.select("key", "fp").join(counts.select("key"), "key", "left_semi").join(component, "fp", "left")
+    large = materialize(large.select("key", "fp", F.coalesce("c", "fp").alias("c")))
     several = large.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
-    whole = materialize(large.join(several, "key", "left_semi").join(found, "fp").select("key", "fp", "sig", "c", "found"))
+    open_ = materialize(large.join(several, "key", "left_semi"))
+    whole = materialize(open_.join(nodes.select("fp", "sig"), "fp").join(found, "fp").select("key", "fp", "sig", "c", "found"))
     size = whole.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.sum(F.length("found").cast("double")).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(2 * F.col("bytes") / HELD)).cast("int")
     cut = size.where((F.col("count") > 2 * BLOCK) | (F.col("bytes") > HELD)).select("key", blocks.alias("n"))
@@ -256,7 +258,7 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     links = materialize(verified(pairs, found))
     if not counts.isEmpty():
         component = connected_components(links, "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("c"))
-        links = links.unionByName(left_open(bands, counts, component, found))
+        links = links.unionByName(left_open(bands, counts, nodes, component, found))
     edges = (
         links.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("src")), "a")
         .join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("dst")), "b")
