@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import simhash
-from millrace.llm.common import text_bytes, values
+from millrace.llm.common import join_facts, text_bytes, values
 from millrace.operators.components import connected_components
 from millrace.session import materialize
 
@@ -37,6 +37,8 @@ SMALL, BLOCK = 48, 1024
 LIKELY = 0.6
 #: Bytes of sets that a task of a cut band holds about: longer sets make smaller blocks.
 HELD = 1 << 26
+#: Bits of the map that says which documents may be asked for (2 MB, whatever the table).
+MAP_BITS = 1 << 24
 _RNG = np.random.default_rng(42)
 FACTORS = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -86,15 +88,29 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return _source(df, key, text).mapInArrow(run, "id long, fp long, sim long, sig binary")
 
 
+def maybe_asked(rows: DataFrame, asked: DataFrame, bits: int | None = None) -> DataFrame:
+    """The rows whose ``id`` is ``asked`` and few others, without a shuffle of ``rows``: ids are looked up in a broadcast bit map of fixed size.
+
+    None that is asked for is lost; of the others about as many pass as the share of bits that are set, all if the map is full.
+    """
+    words = (bits or MAP_BITS) // 64
+    at = F.pmod(F.xxhash64("id"), F.lit(64 * words))
+    marks = asked.select(at.alias("at")).groupBy(F.expr("at div 64").alias("i")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("w"))
+    dense = rows.sparkSession.range(words).select(F.col("id").alias("i")).join(marks, "i", "left").select("i", F.coalesce("w", F.lit(0)).alias("w"))
+    whole = dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("__map"))
+    marked = rows.withColumn("__at", at)
+    return marked.join(F.broadcast(whole), F.expr("shiftright(__map[CAST(__at div 64 AS INT)], CAST(__at % 64 AS INT)) & 1 = 1"), "left_semi").drop("__at")
+
+
 def sets(df: DataFrame, asked: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(fp, found)``: the sets as bytes of the documents whose ids are ``asked``; other texts are neither shipped as sets nor hashed."""
+    """``(fp, found)``: the sets as bytes of the documents whose ids are ``asked`` (read twice); other texts are neither shipped, but for a few, nor hashed."""
 
     def run(batches):
         for batch in batches:
             found = [shingles(t) for _, t in text_bytes(batch)]
             yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["fp", "found"])
 
-    some = _source(df, key, text).join(asked, "id", "left_semi").select("text")
+    some = maybe_asked(_source(df, key, text), asked).join(asked, "id", "left_semi").select("text")
     return some.mapInArrow(run, "fp long, found binary").groupBy("fp").agg(F.min("found").alias("found"))
 
 
@@ -157,7 +173,7 @@ def close(nodes: DataFrame) -> DataFrame:
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
-    """``(key, fp, sig)``: a row for each node and band."""
+    """``(key, fp)``: a row for each node and band."""
 
     def run(batches):
         for batch in batches:
@@ -165,15 +181,15 @@ def keyed(nodes: DataFrame) -> DataFrame:
             for band in range(BANDS):
                 part = slice(4 * ROWS * band, 4 * ROWS * (band + 1))
                 key = [xxhash.xxh64_intdigest(s[part], band) - 2**63 for s in sig]
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(fp), pa.array(sig, pa.binary())], ["key", "fp", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(fp)], ["key", "fp"])
 
-    return nodes.select("fp", "sig").mapInArrow(run, "key long, fp long, sig binary")
+    return nodes.select("fp", "sig").mapInArrow(run, "key long, fp long")
 
 
-def by_band(rows: DataFrame, sizes: DataFrame, of) -> DataFrame:
-    """``(a, b)``: what ``of`` finds among the rows of each key; keys of ``sizes`` ``(key, n)`` are cut into ``n`` blocks that meet in pairs."""
+def by_band(rows: DataFrame, sizes: DataFrame | None, of) -> DataFrame:
+    """``(a, b)``: what ``of`` finds among the rows of each key; keys of ``sizes`` ``(key, blocks, n)`` (materialized) with ``n`` rows are cut into blocks that meet in pairs."""
     columns = [c for c in rows.columns if c != "key"]
-    marked = rows.join(sizes.select(F.col("key").alias("__key"), "n"), F.col("key") == F.col("__key"), "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    marked = (rows.withColumn("blocks", F.lit(None).cast("int")) if sizes is None else join_facts(rows, sizes, ["key"], "blocks", ["fp"])).withColumn("n", F.coalesce("blocks", F.lit(1)))
     own = marked.withColumn("o", F.pmod("fp", F.col("n")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
     dealt = own.select("key", F.least("o", "p").alias("i"), F.greatest("o", "p").alias("j"), *columns)
 
@@ -211,10 +227,13 @@ def signature_rows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return t["fp"].to_numpy(), np.frombuffer(b"".join(sig), np.uint32).reshape(len(sig), -1)
 
 
-def banded(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(a, b)``: candidates of the rows of `keyed`, whose keys with over `SMALL` nodes are ``counts``."""
-    cut = counts.where(F.col("count") > 2 * BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("n"))
-    return by_band(rows, cut, lambda t: bucket_pairs(*signature_rows(t)))
+def banded(rows: DataFrame, counts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(a, b)``: candidates of the rows of `keyed`, whose keys with over `SMALL` nodes are ``counts``. Signatures are brought to those keys only."""
+    small = rows.join(counts.select("key"), "key", "left_anti")
+    large = rows.join(counts.select("key"), "key", "left_semi").join(nodes.select("fp", "sig"), "fp").select("key", "fp", "sig")
+    cut = materialize(counts.where(F.col("count") > 2 * BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"), F.col("count").alias("n")))
+    every = by_band(small, None, lambda t: bucket_pairs(t["fp"].to_numpy(), None))
+    return every.unionByName(by_band(large, cut, lambda t: bucket_pairs(*signature_rows(t))))
 
 
 def left_open(rows: DataFrame, counts: DataFrame, nodes: DataFrame, component: DataFrame, found: DataFrame) -> DataFrame:
@@ -226,7 +245,7 @@ def left_open(rows: DataFrame, counts: DataFrame, nodes: DataFrame, component: D
     whole = materialize(open_.join(nodes.select("fp", "sig"), "fp").join(found, "fp").select("key", "fp", "sig", "c", "found"))
     size = whole.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.sum(F.length("found").cast("double")).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(2 * F.col("bytes") / HELD)).cast("int")
-    cut = size.where((F.col("count") > 2 * BLOCK) | (F.col("bytes") > HELD)).select("key", blocks.alias("n"))
+    cut = materialize(size.where((F.col("count") > 2 * BLOCK) | (F.col("bytes") > HELD)).select("key", blocks.alias("blocks"), F.col("count").alias("n")))
     return by_band(whole, cut, lambda t: across(*signature_rows(t), t["c"].to_numpy(), t["found"].to_pylist()))
 
 
@@ -250,11 +269,11 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     nodes = materialize(rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.min("sim").alias("sim"), F.min("sig").alias("sig")))
     bands = keyed(nodes)
     counts = materialize(bands.groupBy("key").count().where(F.col("count") > SMALL))
-    pairs = materialize(close(nodes).unionByName(banded(bands, counts)).distinct())
+    pairs = materialize(close(nodes).unionByName(banded(bands, counts, nodes)).distinct())
     reps = nodes.select("fp", "rep")
     # A node that no pair names agrees likely with none: its set is not asked for.
     asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    found = materialize(sets(df, reps.join(asked, "fp", "left_semi").select(F.col("rep").alias("id")), key, text))
+    found = materialize(sets(df, materialize(reps.join(asked, "fp", "left_semi").select(F.col("rep").alias("id"))), key, text))
     links = materialize(verified(pairs, found))
     if not counts.isEmpty():
         component = connected_components(links, "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("c"))

@@ -70,3 +70,31 @@ def test_trees_span_what_is_likely():
     sig[rng.random(sig.shape) < 0.1] = 7
     edges = near.tree(sig)
     assert len(edges) == 117 and all(i // 40 == j // 40 for i, j in edges)
+
+
+def shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    found = sc.statusStore().executorList(True)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_texts_and_signatures_of_documents_without_a_pair_are_not_shipped(spark, monkeypatch):
+    monkeypatch.setattr(near, "MAP_BITS", 1 << 14, raising=False)
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"{rng.getrandbits(64):x}" for _ in range(300))) for i in range(1500)]
+    rows += [(5000 + i, rows[i][1] + " more") for i in range(20)]
+    df = near.materialize(spark.createDataFrame(rows, "doc_id long, text string"))
+    before = shuffled(spark)
+    got = {r["id"]: r["component_id"] for r in near.components(df).collect()}
+    assert all(got[i] == i for i in range(1500)) and all(got[5000 + i] == i for i in range(20))
+    assert shuffled(spark) - before < 0.5 * sum(len(t) for _, t in rows)
+
+
+def test_map_of_asked_documents_loses_none(spark):
+    rows = spark.range(-3000, 3000)
+    asked = spark.range(-3000, 3000, 20)
+    few = {r["id"] for r in near.maybe_asked(rows, asked).collect()}
+    assert {r["id"] for r in asked.collect()} <= few and len(few) < 310
+    full = {r["id"] for r in near.maybe_asked(rows, asked, 64).collect()}  # nearly all bits are set
+    assert {r["id"] for r in asked.collect()} <= full and len(full) > 5000 and near.maybe_asked(rows, asked.limit(0)).count() == 0
