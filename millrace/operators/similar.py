@@ -19,6 +19,10 @@ from millrace.session import materialize
 
 #: Rows of a block, and rows of which similarities are held at once.
 BLOCK, SLICE = 2048, 512
+#: Planes of a bucket's name at most: the number of bands then follows from threshold and recall alone, so what is shipped is in proportion to the rows.
+BITS = 8
+#: Rows of a block of a bucket of short vectors, components that a block holds or similarities held at once, and the short form of 1.
+WIDE, HELD, SCALE = 1 << 14, 1 << 22, 32767
 
 
 def usable(vector: Column) -> Column:
@@ -201,11 +205,16 @@ def neighbours(df: DataFrame, key: str, vector: str, block: str, k: int = 10, si
 # ---- groups without blocks
 
 
+def bands_of(bits: int, threshold: float, recall: float) -> int:
+    """Bands enough that a pair at ``threshold`` shares a bucket of ``bits`` planes with probability ``recall``."""
+    same = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-same))) if same < 1 else 1
+
+
 def bands_for(n: int, threshold: float, recall: float, per_bucket: int = 64) -> tuple[int, int]:
     """``(bits, bands)``: buckets of about ``per_bucket`` unrelated rows, and bands enough that a pair at ``threshold`` shares one with probability ``recall``."""
     bits = max(4, math.ceil(math.log2(max(n, 1) / per_bucket)) if n > per_bucket else 4)
-    same = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log1p(-same))) if same < 1 else 1
+    return bits, bands_of(bits, threshold, recall)
 
 
 def forest(near: np.ndarray) -> np.ndarray:
@@ -223,81 +232,175 @@ def forest(near: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def links(nodes: DataFrame, threshold: float, bits: int, bands: int, seed: int = 17, block: int | None = None) -> DataFrame:
-    """``(src, dst)``: spanning forests, within each bucket, of the pairs of ``nodes`` ``(k, v)`` above the threshold.
-
-    A bucket's name is the sides of ``bits`` random planes on which a vector lies. Buckets above two blocks, counted, are cut
-    into blocks that meet in pairs, so a bucket has no size at which it is lost or gathered.
+def join_trees(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """``label`` (the smallest row of each row's tree) after the links ``i``, ``j``, and those of them that join trees: each tree is hung on a smaller one at a time."""
+    used = []
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label, used
+        i, j, low, high = i[apart], j[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        order = np.lexsort((low, high))
+        first = order[np.r_[True, high[order][1:] != high[order][:-1]]]
+        used.append(np.stack([i[first], j[first]], axis=1))
+        up = np.arange(len(label))
+        up[high[first]] = low[first]
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+
+
+def slack_of(dim: int) -> float:
+    """What a cosine of vectors in multiples of 1 / `SCALE`, multiplied in single precision, can be off at most."""
+    e = math.sqrt(dim) / (2 * SCALE)
+    return 2 * e + e * e + (dim + 4) * 2.0**-22
+
+
+def short_links(x: np.ndarray, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """``(sure, unsure, all)`` of short unit vectors: a spanning forest of the links beyond doubt, and the pairs across its trees that only the whole
+    vectors decide. ``all`` is False where those are more than ``most`` and are not all named."""
+    n, slack = len(x), slack_of(x.shape[1])
+    label, sure, unsure, whole = np.arange(n), [], [], True
+    step, at = max(1, min(SLICE, HELD // max(n, 1))), 0
+    while at < n:
+        s = x[at : at + step] @ x[at:].T
+        i, j = np.nonzero(s > threshold - slack)
+        later = j > i
+        i, j = i[later], j[later]
+        beyond = s[i, j] > threshold + slack
+        i, j = i + at, j + at
+        label, used = join_trees(label, i[beyond], j[beyond])
+        sure += used
+        i, j = i[~beyond], j[~beyond]
+        apart = label[i] != label[j]
+        if whole and apart.any():
+            unsure.append(np.stack([i[apart], j[apart]], axis=1))
+            if sum(map(len, unsure)) > most:
+                whole, unsure = False, []
+        at += step
+    pairs = np.concatenate(unsure) if unsure else np.zeros((0, 2), np.int64)
+    return np.concatenate(sure) if sure else np.zeros((0, 2), np.int64), pairs[label[pairs[:, 0]] != label[pairs[:, 1]]], whole
+
+
+def links(nodes: DataFrame, threshold: float, bits: int, bands: int, seed: int = 17, block: int | None = None, unsure: int = 4) -> DataFrame:
+    """``(src, dst)``: spanning forests, within each bucket, of the pairs of ``nodes`` ``(k, v)`` above the threshold. ``nodes`` is read more than once.
+
+    A bucket's name is the sides of ``bits`` random planes on which a vector lies. Buckets get unit vectors rounded to 16 bits a component, whose
+    cosines are known within `slack_of`; pairs nearer to the threshold than that are verified on the whole vectors. A bucket with more than
+    ``unsure`` such pairs a row is compared on whole vectors. Buckets above two blocks, counted, are cut into blocks that meet in pairs, so a
+    bucket has no size at which it is lost or gathered.
     """
-    size = block or BLOCK
     kind = dict(nodes.dtypes)["k"]
+    names = ["band", "bucket", "i", "j"]
 
-    def keyed(batches):
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            x = unit_rows(batch.column("v"))
-            if x.shape[1] not in planes:
-                planes[x.shape[1]] = np.random.default_rng(seed).standard_normal((bands * bits, x.shape[1])).T
-            sides = (x @ planes[x.shape[1]] > 0).reshape(len(x), bands, bits)
-            bucket = sides @ (1 << np.arange(bits, dtype=np.int64))
-            for band in range(bands):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), band, np.int32)), pa.array(bucket[:, band]), batch.column("k"), batch.column("v")], ["band", "bucket", "k", "v"])
-
-    # One length of vectors a pass of planes: vectors of other lengths are never compared.
-    rows = nodes.select("k", "v", F.size("v").alias("dim")).repartition("dim", F.pmod(F.xxhash64("k"), F.lit(997))).sortWithinPartitions("dim").select("k", "v")
-
-    def by_length(batches):
-        for batch in batches:
-            sizes = np.diff(batch.column("v").offsets.to_numpy())
-            edges = np.flatnonzero(np.diff(sizes)) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(sizes)]):
-                if b > a:
-                    yield from keyed([batch.slice(a, b - a)])
-
-    found = rows.mapInArrow(by_length, f"band int, bucket long, k {kind}, v array<double>")
-    hot = found.groupBy("band", "bucket").count().where(F.col("count") > 2 * size).select(F.col("band").alias("__b"), F.col("bucket").alias("__u"), F.ceil(F.col("count") / size).cast("int").alias("n"))
-    marked = found.join(hot, (F.col("band") == F.col("__b")) & (F.col("bucket") == F.col("__u")), "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    own = marked.withColumn("o", F.pmod(F.xxhash64("k"), F.col("n")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    pairs = own.select("band", "bucket", F.least("o", "p").alias("i"), F.greatest("o", "p").alias("j"), "k", "v")
-
-    def edges_of(t: pa.Table) -> pa.RecordBatch:
-        names = ["band", "bucket", "i", "j"]
+    def keyed(what: str):
+        """A row for each vector and band, with no vector (``none``), the ``short`` or the ``whole`` one."""
+
+        def run(batches):
+            planes: dict[int, np.ndarray] = {}
+            for batch in batches:
+                sizes = np.diff(batch.column("v").offsets.to_numpy())
+                for dim in np.unique(sizes).tolist():
+                    part = batch.filter(pa.array(sizes == dim)) if (sizes != dim).any() else batch
+                    x = unit_rows(part.column("v"))
+                    if dim not in planes:
+                        planes = planes if len(planes) < 16 else {}
+                        planes[dim] = np.random.default_rng(seed).standard_normal((bands * bits, dim)).T
+                    bucket = (x @ planes[dim] > 0).reshape(len(x), bands, bits) @ (1 << np.arange(bits, dtype=np.int64))
+                    if what == "short":
+                        data = np.rint(x * SCALE).astype("<i2")
+                        offsets = np.arange(len(x) + 1, dtype=np.int32) * (2 * dim)
+                        own = [part.column("k"), pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(data)])]
+                    else:
+                        own = [part.column("k"), part.column("v")] if what == "whole" else [pa.array(np.full(len(x), dim, np.int64))]
+                    for band in range(bands):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), band, np.int32)), pa.array(bucket[:, band]), *own], ["band", "bucket", "k", "v"][: 2 + len(own)] if what != "none" else ["band", "bucket", "dim"])
+
+        more = {"none": "dim long", "short": f"k {kind}, v binary", "whole": f"k {kind}, v array<double>"}[what]
+        return nodes.select("k", "v").mapInArrow(run, f"band int, bucket long, {more}")
+
+    counts = materialize(keyed("none").groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("dim").alias("parts")))  # 2 ** bits rows a band at most
+
+    def dealt(found: DataFrame, size: int, parts: int) -> DataFrame:
+        """Rows of each bucket together, those of large buckets once for each pair of blocks that they are in."""
+        blocks = F.ceil(F.greatest(F.col("rows") / size, F.col("parts") / parts)).cast("int")
+        hot = counts.where((F.col("rows") > 2 * size) | (F.col("parts") > 2 * parts)).select(F.col("band").alias("__b"), F.col("bucket").alias("__u"), blocks.alias("n"))
+        marked = found.join(F.broadcast(hot), (F.col("band") == F.col("__b")) & (F.col("bucket") == F.col("__u")), "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        own = marked.withColumn("o", F.pmod(F.xxhash64("k"), F.col("n")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        pairs = own.select("band", "bucket", F.least("o", "p").alias("i"), F.greatest("o", "p").alias("j"), "k", "v")
+        return pairs.repartition(*names).sortWithinPartitions(*names)
+
+    def result(t: pa.Table, edges: list, sure: list, opened: list):
+        """Edges by row, and buckets (by a row of theirs) that are left open."""
+        e = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+        ends = pa.array(np.r_[e[:, 0], np.zeros(len(opened), np.int64)], mask=np.arange(len(e) + len(opened)) >= len(e)), pa.array(np.r_[e[:, 1], np.zeros(len(opened), np.int64)], mask=np.arange(len(e) + len(opened)) >= len(e))
+        at = pa.array(np.r_[np.zeros(len(e), np.int64), np.array(opened, np.int64)], mask=np.arange(len(e) + len(opened)) < len(e))
+        flag = np.r_[np.concatenate(sure) if sure else np.zeros(0, bool), np.zeros(len(opened), bool)].astype(bool)
+        columns = [t["k"].take(ends[0]).combine_chunks(), t["k"].take(ends[1]).combine_chunks(), pa.array(flag), t["band"].take(at).combine_chunks(), t["bucket"].take(at).combine_chunks()]
+        return pa.RecordBatch.from_arrays(columns, ["src", "dst", "sure", "band", "bucket"])
+
+    def edges_of(t: pa.Table, short: bool) -> pa.RecordBatch:
         label = np.stack([t[n].to_numpy() for n in names], axis=1)
         cuts = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]).any(axis=1), True])
         column = t["v"].combine_chunks()
-        a, b = [], []
+        edges, sure, opened = [], [], []
         for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if end - start > 1:
                 part = column.slice(start, end - start)
-                sizes = part.value_lengths().to_numpy()
+                sizes = np.diff(part.offsets.to_numpy()) if not short else np.diff(np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1])
                 for dim in np.unique(sizes).tolist():
                     at = np.flatnonzero(sizes == dim)
-                    x = unit_rows(part.take(pa.array(at)))
-                    e = start + at[forest(x @ x.T > threshold)]
-                    a.append(e[:, 0])
-                    b.append(e[:, 1])
-        take = lambda y: t["k"].take(pa.array(np.concatenate(y) if y else np.zeros(0, np.int64))).combine_chunks()
-        return pa.RecordBatch.from_arrays([take(a), take(b)], ["src", "dst"])
-
-    def compare(batches):
-        held = None  # rows of the last bucket so far, which the next batch may go on with
+                    own = part.take(pa.array(at))
+                    if short:
+                        x = np.frombuffer(own.buffers()[2], "<i2", count=len(at) * dim // 2).reshape(len(at), -1).astype(np.float32) / np.float32(SCALE)
+                        beyond, maybe, whole = short_links(x, threshold, unsure * len(at))
+                        edges += [start + at[beyond], start + at[maybe]]
+                        sure += [np.ones(len(beyond), bool), np.zeros(len(maybe), bool)]
+                        if not whole:
+                            opened.append(start)
+                    else:
+                        x = unit_rows(own)
+                        edges.append(start + at[forest(x @ x.T > threshold)])
+                        sure.append(np.ones(len(edges[-1]), bool))
+        return result(t, edges, sure, opened)
+
+    def compared(rows: DataFrame, short: bool) -> DataFrame:
+        def run(batches):
+            held = None  # rows of the last bucket so far, which the next batch may go on with
+            for batch in batches:
+                t = pa.Table.from_batches([batch])
+                t = t if held is None else pa.concat_tables([held, t])
+                if not len(t):
+                    continue
+                last = np.ones(len(t), bool)
+                for n in names:
+                    last &= t[n].to_numpy() == t[n][-1].as_py()
+                first = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+                held = t.slice(first)
+                if first:
+                    yield edges_of(t.slice(0, first).combine_chunks(), short)
+            if held is not None and len(held):
+                yield edges_of(held.combine_chunks(), short)
+
+        return rows.mapInArrow(run, f"src {kind}, dst {kind}, sure boolean, band int, bucket long")
+
+    def verify(batches):
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            if not len(t):
-                continue
-            last = np.ones(len(t), bool)
-            for n in ("band", "bucket", "i", "j"):
-                last &= t[n].to_numpy() == t[n][-1].as_py()
-            first = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-            held = t.slice(first)
-            if first:
-                yield edges_of(t.slice(0, first))
-        if held is not None and len(held):
-            yield edges_of(held)
-
-    sorted_ = pairs.repartition("band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j")
-    return sorted_.mapInArrow(compare, f"src {kind}, dst {kind}").distinct()
+            x, y = unit_rows(batch.column("x")), unit_rows(batch.column("y"))
+            yield batch.select(["src", "dst"]).filter(pa.array((x * y).sum(axis=1) > threshold))
+
+    found = materialize(compared(dealt(keyed("short"), block or WIDE, HELD), True).distinct())
+    out = found.where("sure").select("src", "dst")
+    doubtful = found.where("src IS NOT NULL AND NOT sure").select("src", "dst").distinct()
+    if not doubtful.isEmpty():
+        ends = [nodes.select(F.col("k").alias(end), F.col("v").alias(v)) for end, v in (("src", "x"), ("dst", "y"))]
+        out = out.unionByName(doubtful.join(ends[0], "src").join(ends[1], "dst").select("src", "dst", "x", "y").mapInArrow(verify, f"src {kind}, dst {kind}"))
+    opened = found.where("src IS NULL").select("band", "bucket").distinct()
+    if not opened.isEmpty():
+        rows = dealt(keyed("whole").join(opened, ["band", "bucket"], "left_semi"), block or BLOCK, HELD)
+        out = out.unionByName(compared(rows, False).select("src", "dst"))
+    return out.distinct()
 
 
 def similar_groups(df: DataFrame, key: str, vector: str, threshold: float = 0.85, recall: float = 0.95, block: int | None = None) -> DataFrame:
@@ -308,7 +411,8 @@ def similar_groups(df: DataFrame, key: str, vector: str, threshold: float = 0.85
     """
     rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("k").isNotNull())
     nodes = materialize(rows.groupBy("v").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("n")))
-    bits, bands = bands_for(nodes.count(), threshold, recall)
+    bits = min(BITS, bands_for(nodes.count(), threshold, recall)[0])
+    bands = bands_of(bits, threshold, recall)
     found = connected_components(links(nodes.select("k", "v"), threshold, bits, bands, block=block))
     named = nodes.join(found, F.col("k") == F.col("node"), "left").where("node IS NOT NULL OR n > 1").select("v", F.coalesce("component", "k").alias("component"))
     return rows.join(named, "v").select(F.col("k").alias("node"), "component")

@@ -90,6 +90,52 @@ def test_groups(spark, rows, block):
     assert {r["node"]: r["component"] for r in got} == groups_of(rows, 0.93)
 
 
+@pytest.mark.parametrize("unsure", [0, 100])
+def test_pairs_that_short_vectors_leave_open(spark, unsure):
+    c = 0.85
+    rows = []
+    for i in range(60):  # cosines of 0.85 but for a millionth, on both sides, and a sure copy of each end
+        e = (-1) ** i * 1e-6
+        v, w = np.zeros(64), np.zeros(64)
+        v[i], w[i], w[(i + 1) % 64] = 1, c + e, np.sqrt(1 - (c + e) ** 2)
+        v, w = (x @ np.linalg.qr(np.random.default_rng(i).normal(size=(64, 64)))[0] for x in (v, w))
+        rows += [(0, 4 * i, v), (0, 4 * i + 1, w), (0, 4 * i + 2, v * 1.001 + 1e-3), (0, 4 * i + 3, w)]
+    got = similar.links(frame(spark, rows[::2] + rows[1::4]).select("k", "v"), c, 2, 40, unsure=unsure)
+    pairs = {tuple(sorted((r["src"], r["dst"]))) for r in got.collect()}
+    at = {k: k for _, k, _ in rows}
+    root = lambda k: k if at[k] == k else root(at[k])
+    for a, b in pairs:
+        at[max(root(a), root(b))] = min(root(a), root(b))
+    want = groups_of(rows[::2] + rows[1::4], c)
+    assert {k for k, g in want.items() if k % 4 == 1} and all(root(k) == g for k, g in want.items())
+    assert all(root(k) == k for _, k, _ in rows[::2] + rows[1::4] if k not in want)
+
+
+def test_trees_of_short_vectors_span_the_links():
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(40, 16)), 30, axis=0) + 0.05 * rng.normal(size=(1200, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sure, unsure, whole = similar.short_links(np.rint(x * similar.SCALE).astype(np.float32) / similar.SCALE, 0.9, 5000)
+    assert whole and len(sure) == 1160 and len({tuple(sorted((i // 30, j // 30))) for i, j in sure.tolist()}) == 40 and not len(unsure)
+    assert not similar.short_links(np.eye(20, dtype=np.float32), 0.0, 50)[2]
+
+
+def test_bytes_a_row_do_not_grow(spark):
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().executorList(True)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    def a_row(n):
+        rng, before = np.random.default_rng(5), shuffled()
+        similar.similar_groups(spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(n, 64)).tolist())], "k long, v array<double>"), "k", "v", 0.85, 0.99).count()
+        return (shuffled() - before) / n
+
+    # Before: 10,000 bytes for 20 bands, a fifth more with each doubling of the table.
+    assert a_row(20_000) < 6_000
+
+
 def test_recall_of_pairs_at_the_threshold(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(1500, 32))
