@@ -13,6 +13,8 @@ from millrace.session import materialize
 
 #: Rows of one cluster that the sequential selection takes into one task; beyond it the caller must block further.
 MAX_GROUP = 200_000
+#: Fits of k-means that run side by side.
+FITS = 10
 
 
 def _unit(v) -> np.ndarray:
@@ -123,14 +125,22 @@ def draws_with_examples(df: DataFrame, group: str, key: str, draws: int, example
 
 
 def kmeans(df: DataFrame, vector: str, k: int, seed: int = 42, starts: int = 10, iterations: int = 300):
-    """O-56: the best of several k-means|| fits; ``k`` falls to ``max(10, n // 5)`` when there are fewer rows."""
+    """O-56: the best of several k-means|| fits; ``k`` falls to ``max(10, n // 5)`` when there are fewer rows.
+
+    An iteration is a short job, so up to `FITS` fits run side by side; each is the same as alone, and holds a copy of the vectors in Spark's storage.
+    """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     data = df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
     n = data.count()
     k = k if n >= k else max(10, n // 5)
-    fits = [KMeans(k=k, seed=seed + i, maxIter=iterations).fit(data) for i in range(starts)]
+    fit = inheritable_thread_target(df.sparkSession)(lambda i: KMeans(k=k, seed=seed + i, maxIter=iterations).fit(data))
+    with ThreadPool(max(1, min(FITS, starts))) as pool:
+        fits = pool.map(fit, range(starts), chunksize=1)
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return best, best.transform(data).withColumnRenamed("prediction", "cluster_id").drop("features")
 

@@ -235,3 +235,22 @@ def test_pad_or_cut(spark):
     assert df.where(F.size("a") < 3).select(batch.pad_or_cut(F.col("a"), 2, 0).alias("x")).collect()[0]["x"] == [0, 1]
     with pytest.raises(Exception, match="longer than 2"):
         df.select(batch.pad_or_cut(F.col("a"), 2, 0)).collect()
+
+
+def test_kmeans_fits_run_side_by_side(spark, monkeypatch):
+    import threading
+
+    from pyspark.ml import clustering
+
+    from millrace.operators import select
+
+    meet, real = threading.Barrier(3, timeout=60), clustering.KMeans.fit
+
+    def met(self, data):
+        meet.wait()  # breaks if the fits come one by one
+        return real(self, data)
+
+    monkeypatch.setattr(clustering.KMeans, "fit", met)
+    df = spark.createDataFrame([(i, [float(i % 3), float(i)]) for i in range(60)], "k long, v array<double>")
+    model, out = select.kmeans(df, "v", 3, starts=3, iterations=5)
+    assert out.count() == 60 and not meet.broken
