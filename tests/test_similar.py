@@ -132,7 +132,6 @@ def test_bytes_a_row_do_not_grow(spark):
         similar.similar_groups(spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(n, 64)).tolist())], "k long, v array<double>"), "k", "v", 0.85, 0.99).count()
         return (shuffled() - before) / n
 
-    # Before: 10,000 bytes for 20 bands, a fifth more with each doubling of the table.
     assert a_row(20_000) < 6_000
 
 
